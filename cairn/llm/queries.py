@@ -5,14 +5,65 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .formatting_duplicates import collapsed, copies
 from .leakage import leaked_items, without_leaks
+from .subjects import subject_areas
+from .term_counts import term_counts
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+# ---------------------------------------------------------------- duplicates hidden by formatting
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return copies(_table(spark, d, "evidence_nodes"))
+
+
+def p1_records(spark: SparkSession, d: str) -> DataFrame:
+    return collapsed(_table(spark, d, "evidence_nodes"))
+
+
+def _canonical_sql(x: str) -> str:
+    words = f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'))"
+    return f"regexp_replace(regexp_replace({words}, '([^\\p{{Nd}}]) ', '\\1', 'g'), ' ([^\\p{{Nd}}])', '\\1', 'g')"
+
+
+_COPIES_SQL = f"""
+WITH c AS (SELECT _ord, {_canonical_sql("title")} AS t,
+  list_sort(list_filter(list_transform(string_split_regex(citation, '[;|；]'), lambda x: {_canonical_sql("x")}), lambda x: x <> '')) AS f FROM evidence_nodes),
+k AS (SELECT _ord, CASE WHEN t <> '' AND len(f) > 0 THEN t END AS t, CASE WHEN t <> '' AND len(f) > 0 THEN f END AS f FROM c),
+g AS (SELECT _ord, t, min(_ord) OVER (PARTITION BY t, f) AS kept FROM k)
+"""
+P1_FOUND_SQL = _COPIES_SQL + "SELECT kept AS kept_ord, _ord AS copy_ord FROM g WHERE t IS NOT NULL AND kept <> _ord"
+P1_RECORDS_SQL = _COPIES_SQL + "SELECT CASE WHEN t IS NULL THEN _ord ELSE kept END AS kept_ord, count(*) AS copies FROM g GROUP BY 1"
+
+# ---------------------------------------------------------------- frequency of terms
+
+
+def p3_terms(spark: SparkSession, d: str) -> DataFrame:
+    counts = term_counts([(_table(spark, d, "evidence_nodes"), "tags"), (_table(spark, d, "knowledge_base"), "tags")])
+    return counts.select("term", "occurrences", "records", "mark")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_terms(spark, d).select("term", "mark").where(F.col("mark").isNotNull())
+
+
+_BLANKS = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+P3_TERMS_SQL = f"""
+WITH r AS (SELECT row_number() OVER () AS rid, tags FROM (SELECT tags FROM evidence_nodes UNION ALL SELECT tags FROM knowledge_base)),
+e AS (SELECT rid, unnest(tags) AS tag FROM r),
+t AS (SELECT rid, lower(regexp_replace(tag, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')) AS term FROM e WHERE tag IS NOT NULL),
+c AS (SELECT term, count(*) AS occurrences, count(DISTINCT rid) AS records FROM t WHERE term <> '' GROUP BY term)
+SELECT term, occurrences, records, CASE WHEN records < 3 THEN 'rare' WHEN records > (SELECT count(*) FROM r) / 20.0 THEN 'common' END AS mark FROM c
+"""
+P3_FOUND_SQL = f"SELECT term, mark FROM ({P3_TERMS_SQL}) WHERE mark IS NOT NULL"
+
 # ---------------------------------------------------------------- leaked evaluation items
 
 
@@ -29,5 +80,27 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(_table(spark, d, "documents"), p7_leaks(spark, d)).select("doc_id", "page_id", "source", "lang")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_found": p7_found, "p7_leaks": p7_leaks, "p7_clean": p7_clean}
-SQL: dict[str, str] = {}
+# ---------------------------------------------------------------- subject areas
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subject_areas(_table(spark, d, "documents"), _table(spark, d, "subject_examples"))
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by subject."""
+    return p8_found(spark, d).groupBy("subject").agg(F.count("*").alias("pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_records": p1_records,
+    "p3_found": p3_found,
+    "p3_terms": p3_terms,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p7_clean": p7_clean,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
+}
+SQL: dict[str, str] = {"p1_found": P1_FOUND_SQL, "p1_records": P1_RECORDS_SQL, "p3_found": P3_FOUND_SQL, "p3_terms": P3_TERMS_SQL}
