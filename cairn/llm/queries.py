@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .formatting_duplicates import collapsed, copies
 from .leakage import leaked_items, without_leaks
+from .packing import containers, pack_documents
 from .subjects import subject_areas
 from .term_counts import term_counts
 
@@ -64,6 +65,20 @@ SELECT term, occurrences, records, CASE WHEN records < 3 THEN 'rare' WHEN record
 """
 P3_FOUND_SQL = f"SELECT term, mark FROM ({P3_TERMS_SQL}) WHERE mark IS NOT NULL"
 
+# ---------------------------------------------------------------- packing
+
+
+def p6_assigned(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(_table(spark, d, "documents"), _table(spark, d, "pack_capacity"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity: containers, tokens in them and the share of unused space."""
+    packs = _table(spark, d, "pack_capacity")
+    by = containers(p6_assigned(spark, d), packs).groupBy("pack_name")
+    return by.agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), (F.sum("unused") / (F.sum("tokens") + F.sum("unused"))).alias("unused_share"))
+
+
 # ---------------------------------------------------------------- leaked evaluation items
 
 
@@ -97,6 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_records": p1_records,
     "p3_found": p3_found,
     "p3_terms": p3_terms,
+    "p6_assigned": p6_assigned,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p7_clean": p7_clean,
