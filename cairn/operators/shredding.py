@@ -65,8 +65,8 @@ def unwrap_text(document: Column, depth: int = 2) -> Column:
 def case_list(document: Column) -> Column:
     """The cases of a document: ``{"cases": [...]}``, an array, ``{"case": {...}}`` or one bare object."""
     top = _as_object(document)
-    several = _as_list(F.try_element_at(top, F.lit("cases")))
-    single = F.try_element_at(top, F.lit("case"))
+    several = F.try_variant_get(document, "$.cases", "array<variant>")
+    single = F.try_variant_get(document, "$.case", "variant")
     return F.coalesce(
         _as_list(document),
         several,
@@ -84,7 +84,7 @@ def _walk(items: Column, names: Sequence[str], level: int, r: Column) -> Column:
 
     def element(v: Column, i: Column) -> Column:
         here = F.when(i == 0, r).otherwise(F.lit(level))
-        inside = F.try_element_at(_as_object(v), F.lit(names[0]))
+        inside = F.try_variant_get(v, f"$.{names[0]}", "variant")
         if len(names) == 1:
             present = inside.isNotNull() & ~F.is_variant_null(inside)
             below = F.when(present, F.array(_entry(here, 2 * level + 1, F.coalesce(_as_text(inside), F.to_json(inside))))).otherwise(F.array(_entry(here, 2 * level)))
