@@ -212,7 +212,7 @@ def _is_name(parts: list[str], began: int) -> bool:
     length = 0
     for part in parts[began:]:
         length += len(part)
-        if length > 300 or "\n" in part.strip():
+        if length > 300 or "\n\n" in part or "\n" in part.strip():
             return False
     return True
 
