@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import as_flag, as_number, as_word, child, filled, text_of
 from ..functions.text import IMAGING_PHRASES, affirmed
+from ..session import spread
 from .shredding import case_list, parse_document, unwrap_text
 
 # The sections of a case; the first five are expected of every case.
@@ -30,7 +31,7 @@ ZERO_IF_MISSING = {"fever_days", "macrolide_days"}
 
 def exploded_cases(records: DataFrame, key: str, payload: str) -> DataFrame:
     """``key``, ``case_no`` and the case as variant ``raw``, one row per case object."""
-    parsed = records.select(F.col(key), parse_document(F.col(payload)).alias("_d")).select(key, unwrap_text(F.col("_d")).alias("_d"))
+    parsed = spread(records.select(key, payload)).select(F.col(key), parse_document(F.col(payload)).alias("_d")).select(key, unwrap_text(F.col("_d")).alias("_d"))
     cases = parsed.select(key, F.posexplode(case_list(F.col("_d"))).alias("case_no", "raw"))
     return cases.where(F.try_variant_get("raw", "$", "map<string,variant>").isNotNull()).withColumn("case_no", F.col("case_no").cast("bigint"))
 

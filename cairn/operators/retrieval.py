@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bag_score, json_haystack, joined_haystack, mixed_tokens, token_set
+from ..session import spread
 from .ranking import pyramid_keys, ranked, type_order
 
 BLOCK = 200
@@ -60,7 +61,7 @@ def retrieve(nodes: DataFrame, questions: Sequence[Question], fields: Sequence[s
     included. Nodes that score are retrieved; where none does (or there are no tokens) all are, with score 0.
     """
     kept = ["_ord", "id", "evidence_type", "quality", "year", "month"]
-    scored = nodes.select(*kept, json_haystack(fields).alias("_hay"))
+    scored = spread(nodes.select(*dict.fromkeys([*kept, *fields]))).select(*kept, json_haystack(fields).alias("_hay"))
     scored = _asked(scored, questions).select("_q.qid", "_q.types", *kept, bag_score(mixed_tokens(F.col("_q.text")), F.col("_hay")).cast("bigint").alias("score"))
     best = scored.groupBy("qid").agg(F.max("score").alias("_best")).withColumnRenamed("qid", "_qid")  # a row per question
     return scored.join(F.broadcast(best), F.col("qid") == F.col("_qid")).where((F.col("score") > 0) | (F.col("_best") == 0)).drop("_qid", "_best")

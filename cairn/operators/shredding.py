@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 LEVELS = "array<struct<r:int,d:int,v:string>>"
 
 
@@ -103,7 +105,7 @@ def shred(df: DataFrame, key: str, payload: str, paths: Sequence[str]) -> DataFr
     before = spark.conf.get(allow)
     spark.conf.set(allow, "true")
     try:  # the setting is read when the expression is analysed, which happens here
-        parsed = df.select(F.col(key).alias(key), parse_document(F.col(payload)).alias("_doc"))
+        parsed = spread(df.select(key, payload)).select(F.col(key).alias(key), parse_document(F.col(payload)).alias("_doc"))
         parsed = parsed.select(key, unwrap_text(F.col("_doc")).alias("_doc")).select(key, case_list(F.col("_doc")).alias("_cases"))
     finally:
         spark.conf.set(allow, before)

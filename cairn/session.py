@@ -49,3 +49,18 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work that costs far more than a shuffle of its rows.
+
+    Only tables of a few small files are moved; a table with a partition for each core is left as it is, and
+    so is a plan that already shuffles.
+    """
+    if df.isStreaming:
+        return df
+    execution = df._jdf.queryExecution()
+    if "AdaptiveSparkPlan" in execution.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if execution.toRdd().getNumPartitions() >= cores else df.repartition(cores)
