@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 
 FIELD_SEPARATORS = "[;|；]"
 BLOCK_WORDS = 8  # 512 bits
@@ -70,7 +70,7 @@ def canonical_fields(text: Column, separators: str = FIELD_SEPARATORS) -> Column
 
 def canonical_rows(df: DataFrame, key: str, title: str, citation: str) -> DataFrame:
     """``_ord``, ``_title``, ``_fields`` and their hash ``_h``; nulls where the row can't have copies."""
-    read = df.select(F.col(key).alias("_ord"), composed(F.col(title)).alias("_t"), composed(F.col(citation)).alias("_c"))
+    read = spread(df.select(key, title, citation)).select(F.col(key).alias("_ord"), composed(F.col(title)).alias("_t"), composed(F.col(citation)).alias("_c"))
     forms = read.select("_ord", canonical(F.col("_t")).alias("_title"), F.array_join(canonical_fields(F.col("_c")), "\x1f").alias("_fields"))
     whole = (F.col("_title") != "") & (F.col("_fields") != "")
     return forms.select("_ord", *(F.when(whole, F.col(c)).alias(c) for c in ("_title", "_fields")), F.when(whole, F.xxhash64("_title", "_fields")).alias("_h"))

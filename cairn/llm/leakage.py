@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .wikitext import page_words, plain_words
 
 MIN_WORDS = 12
@@ -188,6 +189,7 @@ def leaked_items(
     ``item_word`` (where it begins, in words).
     """
     corpus = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
+    corpus = spread(corpus)
     passes = [corpus.mapInArrow(_searcher(block, min_words, shard_words), _SCHEMA) for block in _blocks(items, item_id, item_text, min_words, block_words)]
     if not passes:
         return corpus.select("doc_id").mapInArrow(lambda batches: iter(()), _SCHEMA)

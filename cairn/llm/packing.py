@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published splitting pattern of byte-level BPE.
@@ -58,7 +58,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, doc_id: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "source", "tokens"])
 
     rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    return rows.mapInArrow(count, "doc_id bigint, source string, tokens bigint")
+    return spread(rows).mapInArrow(count, "doc_id bigint, source string, tokens bigint")
 
 
 class Queue:

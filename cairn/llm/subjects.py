@@ -33,14 +33,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .wikitext import streams
 
-FIT_PAGES = 3_000
+FIT_PAGES = 2_500
 SHARE = 0.25
 BUCKETS = 1 << 17
 MIN_SENTENCE_WORDS = 4
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"[^\W_]+")
+# What a page that only points to another begins with.
+_REDIRECT = re.compile(r"\s*#(?:redirect|redirection|weiterleitung|redirección|redireccion)\b", re.IGNORECASE)
 _HEADING = re.compile(r"=+\s*(.*?)\s*=+\s*\Z")
 # Digits written for letters in vandalised text.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"})
@@ -54,6 +57,8 @@ def sentence_words(sentence: str) -> list[str]:
 def page_sentences(text: str | None) -> list[tuple[int, list[str]]]:
     """The sentences of a page with the number of their section."""
     out, section = [], 0
+    if text and _REDIRECT.match(text):
+        return out
     for stream in streams(text):
         for line in stream.split("\n"):
             line = line.strip()
@@ -211,8 +216,8 @@ def _fit(grams: list[list[int]], labels: np.ndarray, k: int, epochs: int = 6, ra
     sizes = np.array([len(g) for g in grams])
     for _ in range(epochs):
         order = rng.permutation(len(grams))
-        for at in range(0, len(order), 64):
-            batch = order[at : at + 64]
+        for at in range(0, len(order), 128):
+            batch = order[at : at + 128]
             flat = np.concatenate([np.asarray(grams[i]) for i in batch])
             n = sizes[batch]
             score = np.add.reduceat(weights[flat], np.cumsum(n) - n, axis=0) + bias
@@ -242,7 +247,7 @@ def _thresholds(score: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
         f1 = 2 * hits / (np.arange(1, len(s) + 1) + y.sum())
         i = int(f1.argmax())
         after = s[order][i + 1] if i + 1 < len(s) else s[order][i] - 2
-        out[c] = np.clip((s[order][i] + after) / 2, -4, 2)
+        out[c] = np.clip((s[order][i] + after) / 2, -2.5, 2)
     return out
 
 
@@ -307,4 +312,4 @@ def subject_areas(documents: DataFrame, examples: DataFrame, share: float = SHAR
     schema = "doc_id bigint, subject string"
     if model is None:
         return corpus.select("doc_id").mapInArrow(lambda batches: iter(()), schema)
-    return corpus.mapInArrow(_apply(model, share), schema)
+    return spread(corpus).mapInArrow(_apply(model, share), schema)

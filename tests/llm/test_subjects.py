@@ -71,4 +71,5 @@ def test_without_labels_or_pages(spark):
 def test_sentences():
     text = "== Head ==\nThe first one is here. Th3 sec0nd 0ne is too!\n\n== Next ==\nShort one.\n* a list item that is long"
     assert [(s, len(w)) for s, w in page_sentences(text)] == [(1, 5), (1, 5), (2, 6)]
+    assert page_sentences("#REDIRECT [[Court of law#The judge of it]]") == page_sentences(None) == []
     assert sentence_words("c0urt 1999 B52") == ["court", "bs2"]
