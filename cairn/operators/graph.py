@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .ranking import EVIDENCE_ORDER, ranked
 from .references import Reference, orphan_references
 
@@ -20,9 +21,10 @@ REQUIRED = ["id", "title", "evidence_type", "year", "main_findings"]
 def induced(edges: DataFrame, selected: DataFrame, by: Sequence[str] = (), node: str = "id") -> DataFrame:
     """Edges with both ends among the selected nodes, for each value of ``by`` (such as a question).
 
-    Two semi joins where there is no ``by``. A hot end stays on the probe side of a join, where AQE splits it.
+    Two semi joins where there is no ``by``. The selection is cut to the shared folder, so that the joins read plain
+    exchanges and AQE can split the partition of a hot end.
     """
-    ends = selected.select(*by, F.col(node).alias("_node")).where(F.col("_node").isNotNull()).distinct()
+    ends = cut(selected.select(*by, F.col(node).alias("_node")).where(F.col("_node").isNotNull()).distinct())
     if not by:
         return edges.join(ends, F.col("source") == F.col("_node"), "left_semi").join(ends, F.col("target") == F.col("_node"), "left_semi")
     first = edges.join(ends, F.col("source") == F.col("_node")).drop("_node")

@@ -66,7 +66,8 @@ def pyramid_keys() -> list[Column]:
 def ranked(df: DataFrame, by: Sequence[Column], within: Sequence[str] = (), name: str = "rank", partitions: int | None = None) -> DataFrame:
     """``df`` with its place from 1 in the order ``by``, within groups of equal ``within``.
 
-    ``by`` must be a total order; its columns come out as well, under their aliases.
+    ``by`` must be a total order; its columns come out as well, under their aliases. All columns of ``df`` are
+    shuffled and written to the shared folder once: select the needed ones before.
     """
     placed = df.select("*", *by)
     keys = [c for c in placed.columns if c not in df.columns]

@@ -12,8 +12,10 @@ the declared match semantics:
 
 References to the same parent columns share one exchange: they are stacked into
 one long table first. The parent side is reduced before it is shuffled: to
-distinct keys, or with validity to disjoint intervals per key. A hot referenced
-key stays on the probe side of the anti-join, where AQE splits its partition.
+distinct keys, or with validity to disjoint intervals per key, and cut to the shared
+folder. Both inputs of the anti-join are then plain exchanges, which is what AQE needs
+to split the partition of a hot referenced key; an aggregate between exchange and join
+would keep it whole.
 
 Defined results: an empty child gives no rows; with an empty parent every
 reference that needs a match is an orphan; repeated child rows are reported once
@@ -32,6 +34,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 @dataclass(frozen=True)
 class Reference:
@@ -110,10 +114,10 @@ def orphan_references(child: DataFrame, parent: DataFrame, references: Sequence[
         left = several.select(*out, *(c for c in ("_at",) if validity), "_r.reference", "_r.null_mask", *(F.col(f"_r.{k}").alias(k) for k in keys))
         if validity:
             right = _intervals(parent, parent_columns, validity)
-            right = right.select(*(F.col(k).alias(f"_p{k}") for k in keys), "_from", "_to")
+            right = cut(right.select(*(F.col(k).alias(f"_p{k}") for k in keys), "_from", "_to"))
             match = (F.col("_from") <= F.col("_at")) & (F.col("_to").isNull() | (F.col("_to") > F.col("_at")))
         else:
-            right = parent.select(*(F.col(c).alias(f"_p{k}") for c, k in zip(parent_columns, keys))).dropna().distinct()
+            right = cut(parent.select(*(F.col(c).alias(f"_p{k}") for c, k in zip(parent_columns, keys))).dropna().distinct())
             match = F.lit(True)
         on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_p{k}") for k in keys])
         parts.append(left.join(right, on & match, "left_anti").select(*out, "reference", "null_mask"))

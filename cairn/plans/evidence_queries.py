@@ -34,6 +34,11 @@ def _nodes(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "evidence_nodes")
 
 
+def _keyed(s: SparkSession, d: str) -> DataFrame:
+    """What the evidence order depends on; a rank writes all columns that it is given."""
+    return _nodes(s, d).select("_ord", "id", "evidence_type", "quality", "year", "month")
+
+
 def _edges(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "evidence_edges")
 
@@ -165,11 +170,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_token_counts": lambda s, d: _nodes(s, d).select("_ord", F.coalesce(F.size(mixed_tokens(F.col("title"))), F.lit(0)).cast("bigint").alias("mixed"), F.size(token_set(F.col("title"))).cast("bigint").alias("words")),
     "q_retrieve": lambda s, d: retrieval_order(retrieve(_nodes(s, d), QUESTIONS)).select("qid", "_ord", "score", "place"),
     "q_retrieve_by_type": lambda s, d: pyramid_order(of_types(retrieve(_nodes(s, d), QUESTIONS))).select("qid", "_ord", "place"),
-    "q_pyramid_rank": lambda s, d: pyramid(_nodes(s, d)).select("_ord", "pyramid_rank"),
+    "q_pyramid_rank": lambda s, d: pyramid(_keyed(s, d)).select("_ord", "pyramid_rank"),
     "q_type_inventory": lambda s, d: type_inventory(_nodes(s, d)),
-    "q_lane_positions": lambda s, d: lane_positions(_nodes(s, d)).select("_ord", "lane", "row_index"),
+    "q_lane_positions": lambda s, d: lane_positions(_keyed(s, d)).select("_ord", "lane", "row_index"),
     "q_relation_counts": lambda s, d: relation_counts(_edges(s, d)),
-    "q_edges_by_relation": lambda s, d: edges_by_relation(_edges(s, d)).select("_ord", "relation", "position"),
+    "q_edges_by_relation": lambda s, d: edges_by_relation(_edges(s, d).select("_ord", "relation")).select("_ord", "relation", "position"),
     "q_induced_subgraph": _subgraph,
     "q_high_level_relations": _guideline_edges,
     "q_dangling_edges": lambda s, d: dangling(_edges(s, d), _nodes(s, d)),

@@ -73,3 +73,19 @@ def test_declarations_are_checked():
         Reference("r", ("a",), ("a",), "loose")
     for match, width in itertools.product(("simple", "partial", "full"), (1, 2)):
         assert Reference("r", ("a",) * width, ("a",) * width, match).match == match
+
+
+def test_partition_of_a_hot_reference_is_split(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        child = spark.range(0, 60000, 1, 8).selectExpr("id AS k", "IF(id % 3 = 0, 'hot', concat('c', id)) AS a", "timestamp_ntz'2024-01-05' AS at")
+        parent = spark.createDataFrame([("hot", None, day(0), None, 1)], PARENT)
+        got = orphan_references(child, parent, [Reference("a", ("a",), ("a",))], ["k"], validity=Validity("at", "since", "until"))
+        assert len(got.collect()) == 40000
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
