@@ -139,6 +139,8 @@ def possible_repeats(rows: DataFrame, count: int, bits_per_row: int = BITS_PER_R
     """``rows`` with ``_again``: false if no other row has this ``_h``, else true (rarely also without another)."""
     passes = max(1, math.ceil(count * bits_per_row / (8 * filter_bytes)))
     blocks = max(1, math.ceil(count * bits_per_row / passes / (64 * BLOCK_WORDS)))
+    if passes > 1:
+        rows = cut(rows)  # each pass reads them twice
     # The pass, the block and the places in it come from different bits of the hash.
     placed = rows.withColumn("_pass", F.pmod(F.xxhash64("_h", F.lit(1)), F.lit(passes))).withColumn("_block", F.pmod(F.col("_h"), F.lit(blocks))).withColumn("_bits", F.xxhash64("_h", F.lit(2)).bitwiseAND((1 << 9 * PROBES) - 1))
     filters = None
