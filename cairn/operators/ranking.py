@@ -85,6 +85,12 @@ def pyramid(nodes: DataFrame) -> DataFrame:
     return ranked(nodes, pyramid_keys(), name="pyramid_rank")
 
 
+def first_in_pyramid(nodes: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
+    """The highest record, among those of ``types`` if given: a top-1, taken in each task first."""
+    shown = nodes if types is None else nodes.where(F.col("evidence_type").isin(*types))
+    return shown.orderBy(*pyramid_keys()).limit(1)
+
+
 def lane_positions(nodes: DataFrame) -> DataFrame:
     """``lane``, the number of the node's type among types that have nodes, and ``row_index`` from 0 within it, in pyramid order.
 

@@ -11,12 +11,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bag_score, json_haystack, joined_haystack, mixed_tokens, token_set
+from ..functions.text import bag_score, joined_haystack, json_haystack, mixed_tokens, token_set
 from ..session import spread
-from .ranking import pyramid_keys, ranked, type_order
+from .ranking import EVIDENCE_ORDER, pyramid_keys, ranked, type_order
 
 BLOCK = 200
 # The fields of an evidence record, in their order.
@@ -38,6 +38,16 @@ class Question:
     types: tuple[str, ...] | None = None
 
 
+def faults(questions: Sequence[Question]) -> list[tuple[int, str, str]]:
+    """Blank texts and types outside the vocabulary: (qid, check, detail)."""
+    found = [(q.qid, "empty_question", "") for q in questions if not (q.text or "").strip()]
+    return found + [(q.qid, "invalid_evidence_type", ",".join(bad)) for q in questions if (bad := sorted(set(q.types or ()) - set(EVIDENCE_ORDER)))]
+
+
+def question_table(spark: SparkSession, questions: Sequence[Question]) -> DataFrame:
+    return spark.createDataFrame([(q.qid, q.text) for q in questions], "qid bigint, text string")
+
+
 def question_array(questions: Sequence[Question]) -> Column:
     return F.array(*(
         F.struct(

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import ASCII_TOKEN, IMAGING_PHRASES, affirmed, mixed_tokens, token_set, wrapped_title
 from ..operators.cases import exploded_cases, normalized, structured
 from ..operators.graph import RELATIONS, REQUIRED, dangling, duplicate_ids, edges_by_relation, induced, neighbours, relation_counts, violations
-from ..operators.ranking import EVIDENCE_LABELS, EVIDENCE_ORDER, QUALITY_ORDER, lane_positions, pyramid, type_inventory
-from ..operators.retrieval import FLOOR_TOPICS, NODE_FIELDS, NOTHING_FOUND, Question, knowledge_for_case, knowledge_text, knowledge_top, of_types, pyramid_order, retrieval_order, retrieve
+from ..operators.ranking import EVIDENCE_LABELS, EVIDENCE_ORDER, QUALITY_ORDER, first_in_pyramid, lane_positions, pyramid, type_inventory
+from ..operators.retrieval import FLOOR_TOPICS, NODE_FIELDS, NOTHING_FOUND, Question, knowledge_for_case, knowledge_text, knowledge_top, of_types, pyramid_order, question_table, retrieval_order, retrieve
+from ..operators.report import leading, markdown, payload
 from ..operators.rules import Rule, apply_rules, at_least, below
 from ..operators.summary import HIGH_LEVEL, LOW_DOSE, highlights, support
 from ..sources.tables import table
@@ -161,6 +162,19 @@ def _subgraph(s: SparkSession, d: str) -> DataFrame:
     return induced(_edges(s, d), picked, by=["qid"]).select("qid", "_ord", "relation")
 
 
+def _leading(s: SparkSession, d: str) -> DataFrame:
+    return leading(of_types(retrieve(_nodes(s, d), QUESTIONS)), _nodes(s, d), 3)
+
+
+def _reports(s: SparkSession, d: str) -> DataFrame:
+    edges = _subgraph(s, d).groupBy("qid").agg(F.count("*").alias("edges"))
+    return markdown(question_table(s, QUESTIONS), _leading(s, d), edges)
+
+
+def _payloads(s: SparkSession, d: str) -> DataFrame:
+    return payload(question_table(s, QUESTIONS), _leading(s, d))
+
+
 def _guideline_edges(s: SparkSession, d: str) -> DataFrame:
     high = _nodes(s, d).where(F.col("evidence_type").isin(*HIGH_LEVEL))
     return induced(_edges(s, d), high).groupBy("relation").agg(F.count("*").alias("edges"))
@@ -186,6 +200,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_knowledge_text": lambda s, d: knowledge_text(knowledge_top(_kb(s, d), QUESTIONS), QUESTIONS),
     "q_support": lambda s, d: support(_nodes(s, d), ["year"]),
     "q_highlights": lambda s, d: highlights(_nodes(s, d)),
+    "q_leading_evidence": lambda s, d: _leading(s, d).select("qid", "evidence_type", "records", F.array_join("lines", "\n").alias("lines")),
+    "q_reports": _reports,
+    "q_payloads": _payloads,
+    "q_first_record": lambda s, d: first_in_pyramid(_nodes(s, d), ["systematic_review", "case_report"]).select("_ord", "id"),
     "q_title_wrap": lambda s, d: _nodes(s, d).select("_ord", F.array_join(wrapped_title(F.col("title")), "|").alias("wrapped")),
     "q_normalized_cases": _normalized,
     "q_imaging_findings": _findings,
@@ -228,6 +246,11 @@ UNION ALL SELECT 'dangling_edge', endpoint FROM ({_DANGLING_SQL})) GROUP BY ALL"
     "q_knowledge_text": _top_sql("coalesce(id, ''), " + _KB_PARTS, False) + f"SELECT q.qid, coalesce(string_agg('[' || coalesce(id, 'None') || '] ' || coalesce(topic, 'None') || ': ' || coalesce(statement, 'None') || ' Use: ' || coalesce(clinical_use, 'None'), chr(10) ORDER BY place) FILTER (WHERE place IS NOT NULL), {_quoted(NOTHING_FOUND)}) AS text FROM q LEFT JOIN t USING (qid) GROUP BY q.qid",
     "q_support": f"SELECT year, count(*) AS records, count(*) FILTER (WHERE {_SUPPORTS}) AS in_support, coalesce(bool_or({_SUPPORTS} AND coalesce(dose_signal IN ({', '.join(map(_quoted, LOW_DOSE))}), false)), false) AS low_dose FROM evidence_nodes GROUP BY 1",
     "q_highlights": f"SELECT evidence_type, string_agg(coalesce(citation, '') || '：' || coalesce(main_findings, ''), '；' ORDER BY place) AS text FROM (SELECT *, row_number() OVER (PARTITION BY evidence_type ORDER BY {_PYRAMID}) AS place FROM evidence_nodes WHERE evidence_type IS NOT NULL) WHERE place <= 3 GROUP BY 1",
+    "q_leading_evidence": _RETRIEVED
+    + f""", p AS (SELECT qid, r._ord, r.evidence_type, n.citation, n.main_findings, row_number() OVER (PARTITION BY qid, r.evidence_type ORDER BY {_case('r.quality', QUALITY_ORDER, 9)}, coalesce(r.year, 0) DESC, coalesce(r.month, 0) DESC, coalesce(r.id, ''), r._ord) AS place,
+  count(*) OVER (PARTITION BY qid, r.evidence_type) AS records FROM r JOIN evidence_nodes n ON n._ord = r._ord WHERE (types IS NULL OR list_contains(types, r.evidence_type)) AND r.evidence_type IN ({', '.join(map(_quoted, EVIDENCE_ORDER))}))
+SELECT qid, evidence_type, records, string_agg('- **' || coalesce(citation, '') || '**：' || coalesce(main_findings, ''), chr(10) ORDER BY place) AS lines FROM p WHERE place <= 3 GROUP BY ALL""",
+    "q_first_record": f"SELECT _ord, id FROM evidence_nodes WHERE evidence_type IN ('systematic_review', 'case_report') ORDER BY {_PYRAMID} LIMIT 1",
     "q_title_wrap": "SELECT _ord, substr(coalesce(title, ''), 1, 12) || CASE WHEN length(title) > 24 THEN '|' || substr(title, 13, 11) || '…' WHEN length(title) > 12 THEN '|' || substr(title, 13, 12) ELSE '' END AS wrapped FROM evidence_nodes",
     "q_imaging_findings": "SELECT case_ord, " + ", ".join(f"({f'coalesce(imaging.image_features.{f}, false) OR ' if f in _FLAGS else ''}{_affirmed_sql('imaging.radiology_report', p)}) AS imaging_{f}" for f, p in IMAGING_PHRASES.items()) + " FROM patient_cases",
     "q_report_findings": "SELECT case_ord, " + ", ".join(f"{_affirmed_sql('imaging.radiology_report', p)} AS {f}" for f, p in IMAGING_PHRASES.items()) + " FROM patient_cases",

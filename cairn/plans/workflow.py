@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What a step must state, and the kinds of action.
@@ -87,6 +87,12 @@ def latest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFra
     return best.select(*key, *(F.col(f"_v.{c}").alias(c) for c in values))
 
 
+def merged(document: Column, field_name: str, value: Column) -> Column:
+    """A map with one entry set, over what was there under its name."""
+    others = F.map_filter(F.coalesce(document, F.create_map().cast("map<string,string>")), lambda k, v: k != field_name)
+    return F.map_concat(others, F.create_map(F.lit(field_name), value))
+
+
 def trace(used: DataFrame, entries: DataFrame, used_id: str = "evidence_id") -> DataFrame:
     """Used ids with what the entries say about them, with defaults for unknown ids; of entries with an equal id the last counts."""
     last = latest(entries.select("id", "_ord", "topic", "statement"), ["id"], ["_ord"])

@@ -154,3 +154,45 @@ def test_rules(spark):
     got = {r.i: (r.x_score, r.x_level, r.x_reasons) for r in apply_rules(df, rules, [(1.0, "high"), (0.5, "some")], "low", "x", cap=1.0).collect()}
     assert got[1] == (1.0, "high", ["crp", "spo2"]) and got[3] == (0.0, "low", []) and got[4] == (0.0, "low", [])
     assert apply_rules(df, [], [], "low", "x").first().x_level == "low"
+
+
+def test_reports(spark):
+    import json
+
+    from cairn.operators.ranking import first_in_pyramid
+    from cairn.operators.report import Wording, leading, markdown, payload
+    from cairn.operators.retrieval import faults, question_table
+
+    n = nodes(spark, node(0, "a", citation="A", findings="x"), node(1, "b", citation=None, findings=None), node(2, "c", "case_report", citation="C", findings="y"), node(3, "d", "odd"))
+    asked = [Question(1, "all"), Question(2, "none", ())]
+    lead = leading(of_types(retrieve(n, asked)), n, 1)
+    assert {(r.qid, r.evidence_type, r.records, tuple(r.lines)) for r in lead.collect()} == {(1, "guideline", 2, ("- **A**：x",)), (1, "case_report", 1, ("- **C**：y",))}
+    relations = spark.createDataFrame([(1, 4)], "qid bigint, edges bigint")
+    texts = {r.qid: r.report for r in markdown(question_table(spark, asked), lead, relations, Wording(roles={"guideline": "first"})).collect()}
+    assert texts[1].split("\n") == [
+        "## Question", "", "**all**", "", "### Evidence found", "", "- **指南** 2", "- **病例报告** 1", "", "### Leading evidence", "", "#### 指南", "- **A**：x", "- and 1 more", "#### 病例报告", "- **C**：y", "",
+        "### Synthesis", "", "| type | records | role |", "|---|---:|---|", "| 指南 | 2 | first |", "| 病例报告 | 1 |  |", "", "Relations among the evidence: 4.",
+    ]
+    assert "**none**" in texts[2] and texts[2].endswith("evidence: 0.")
+    sent = {r.qid: json.loads(r.payload) for r in payload(question_table(spark, asked), lead).collect()}
+    assert [e["type"] for e in sent[1]["ranked_evidence"]] == ["guideline", "case_report"] and sent[2]["ranked_evidence"] == []
+    assert faults([Question(1, " "), Question(2, "x", ("odd", "guideline"))]) == [(1, "empty_question", ""), (2, "invalid_evidence_type", "odd")]
+    assert [r.id for r in first_in_pyramid(n, ["case_report", "odd"]).collect()] == ["c"]
+
+
+def test_gateway(spark):
+    from cairn.plans.gateway import with_replies
+    from cairn.plans.workflow import merged
+
+    def reply(p):
+        if p == "fail":
+            raise ValueError("no")
+        return {"good": 'so: {"a": 1}', "odd": "text", "list": "[1]"}[p]
+
+    df = spark.createDataFrame([(1, "good"), (2, "odd"), (3, "fail"), (4, "list")], "k bigint, p string")
+    got = {r.k: r for r in with_replies(df, "k", "p", reply).collect()}
+    assert got[1].reply == '{"a":1}' and got[1].reply_used and got[1].reply_error is None
+    assert [got[k].reply_used for k in (2, 3, 4)] == [False] * 3 and got[3].reply_error == "ValueError: no"
+    assert not any(r.reply_used for r in with_replies(df, "k", "p").collect())
+    m = spark.createDataFrame([({"a": "1"},), (None,)], "m map<string,string>").select(merged(F.col("m"), "a", F.lit("2")).alias("m"))
+    assert [r.m for r in m.collect()] == [{"a": "2"}, {"a": "2"}]
