@@ -18,8 +18,8 @@ wanted, copies of a group of more than ``hot_rows`` rows are spread over ``salts
 partitions; there are at most rows / ``hot_rows`` such groups, which are broadcast.
 
 Defined results: a row with a null title or citation, or without a letter or digit in one of
-them, has no copies and stays as a record of its own; a row key that repeats is two rows; of
-copies the smallest row key is kept; other columns aren't looked at; an empty table gives
+them, has no copies and stays as a record of its own; a row key that repeats is two rows, a
+null row key counts as a copy but can't be named; of copies the smallest row key is kept; other columns aren't looked at; an empty table gives
 no rows.
 """
 

@@ -198,5 +198,8 @@ def leaked_items(
 
 def without_leaks(documents: DataFrame, leaks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    bad = leaks.select(F.col("doc_id").alias("_leaked")).distinct()
-    return documents.join(bad, documents[doc_id] == F.col("_leaked"), "left_anti")
+    name = "_leaked"
+    while name in documents.columns:
+        name += "_"
+    bad = leaks.select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(bad, F.col(doc_id) == F.col(name), "left_anti")

@@ -261,8 +261,9 @@ def fit_subjects(examples: DataFrame, documents: DataFrame, fit_pages: int = FIT
     number = {s: i for i, s in enumerate(subjects)}
     labelled = [(number[s], w) for s, t in rows for x in _SENTENCE.split(t) if len(w := sentence_words(x)) >= MIN_SENTENCE_WORDS]
     chosen = documents.groupBy(F.coalesce(page_id, doc_id).alias("_page")).agg(F.min_by(doc_id, F.xxhash64(doc_id)).alias("_doc")).orderBy(F.xxhash64("_page"), "_page").limit(fit_pages)
-    sample = documents.where(F.length(text) > 0).join(F.broadcast(chosen), F.col(doc_id) == F.col("_doc"), "left_semi").select(text, doc_id)
-    taken = sorted(((r[1], r[0]) for r in sample.toLocalIterator()), key=lambda x: x[0])
+    texts = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(F.length("_text") > 0)
+    sample = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_doc"), "left_semi")
+    taken = sorted(((r[0], r[1]) for r in sample.toLocalIterator()), key=lambda x: x[0])
     pages = [page_sentences(t) for _, t in taken]
     weak = _weak_labels(labelled, pages, len(subjects))
     feature = Counter(w for p in pages for w in {w for _, s in p for w in s})
