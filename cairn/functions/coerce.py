@@ -62,8 +62,8 @@ def filled(v: Column) -> Column:
         (k == "VOID")
         | ((k == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == F.lit(False)))
         | ((k == "STRING") & (text_of(v) == ""))
-        | (F.size(F.try_variant_get(v, "$", "array<variant>")) == 0)
-        | (F.size(F.try_variant_get(v, "$", "map<string,variant>")) == 0)
+        | (k == "OBJECT<>")
+        | ((k == "ARRAY<VOID>") & F.try_variant_get(v, "$[0]", "variant").isNull())
         | (~k.startswith("OBJECT") & ~k.startswith("ARRAY") & (k != "STRING") & (F.try_variant_get(v, "$", "double") == 0))
     )
     return v.isNotNull() & ~F.coalesce(empty, F.lit(False))

@@ -50,25 +50,31 @@ def normalized(cases: DataFrame, raw: str = "raw") -> DataFrame:
     """Flat columns ``<section>_<field>`` in their final types, ``case_id``, ``age_years``, ``sex``, and the lists ``modalities`` and ``missing_sections``."""
     r = F.col(raw)
     others = [c for c in cases.columns if c != raw]
-    # each section is taken out of the case once
+    # Each section is taken out of the case once, and each leaf out of its section once.
     cases = cases.select("*", *(_section(r, s).alias(f"_s_{s}") for s in SECTIONS))
-    parts = {s: F.col(f"_s_{s}") for s in SECTIONS}
+    names = [(s, f) for group in (NUMBERS, FLAGS, WORDS) for s, fields in group.items() for f in fields]
+    names += [("imaging", "radiology_report"), ("imaging", "image_features")]
+    tops = ["case_id", "age_years", "sex"]
+    cases = cases.select(*others, *(filled(child(r, s)).alias(f"_f_{s}") for s in SECTIONS), *(child(r, f).alias(f"_l_{f}") for f in tops), *(child(F.col(f"_s_{s}"), f).alias(f"_l_{s}_{f}") for s, f in names))
+
+    def leaf(s: str, f: str) -> Column:
+        return F.col(f"_l_{s}_{f}")
+
     columns = [
-        F.coalesce(F.when(child(r, "case_id").isNotNull(), F.coalesce(text_of(child(r, "case_id")), F.lit("None"))), F.lit("unknown_case")).alias("case_id"),
-        as_number(child(r, "age_years")).alias("age_years"),
-        F.when(child(r, "sex").isNull(), F.lit("")).otherwise(text_of(child(r, "sex"))).alias("sex"),
+        F.coalesce(F.when(F.col("_l_case_id").isNotNull(), F.coalesce(text_of(F.col("_l_case_id")), F.lit("None"))), F.lit("unknown_case")).alias("case_id"),
+        as_number(F.col("_l_age_years")).alias("age_years"),
+        F.when(F.col("_l_sex").isNull(), F.lit("")).otherwise(text_of(F.col("_l_sex"))).alias("sex"),
     ]
     for s, fields in NUMBERS.items():
-        columns += [as_number(child(parts[s], f), 0.0 if f in ZERO_IF_MISSING else None).alias(f"{s}_{f}") for f in fields]
+        columns += [as_number(leaf(s, f), 0.0 if f in ZERO_IF_MISSING else None).alias(f"{s}_{f}") for f in fields]
     for s, fields in FLAGS.items():
-        columns += [as_flag(child(parts[s], f)).alias(f"{s}_{f}") for f in fields]
+        columns += [as_flag(leaf(s, f)).alias(f"{s}_{f}") for f in fields]
     for s, fields in WORDS.items():
-        columns += [as_word(child(parts[s], f), default).alias(f"{s}_{f}") for f, default in fields.items()]
-    report = text_of(child(parts["imaging"], "radiology_report"))
-    features = child(parts["imaging"], "image_features")
+        columns += [as_word(leaf(s, f), default).alias(f"{s}_{f}") for f, default in fields.items()]
+    report, features = text_of(leaf("imaging", "radiology_report")), leaf("imaging", "image_features")
     columns += [imaging_feature(as_flag(child(features, f)), report, f).alias(f"imaging_{f}") for f in IMAGING_PHRASES]
-    present = [F.when(filled(child(r, s)), F.lit(s)) for s in SECTIONS]
-    absent = [F.when(~filled(child(r, s)), F.lit(s)) for s in EXPECTED]
+    present = [F.when(F.col(f"_f_{s}"), F.lit(s)) for s in SECTIONS]
+    absent = [F.when(~F.col(f"_f_{s}"), F.lit(s)) for s in EXPECTED]
     columns += [F.filter(F.array(*x), lambda y: y.isNotNull()).alias(n) for x, n in ((present, "modalities"), (absent, "missing_sections"))]
     return cases.select(*others, *columns)
 
