@@ -171,10 +171,10 @@ def copies(df: DataFrame, key: str = "_ord", title: str = "title", citation: str
     _, _, candidates, groups = _groups(df, key, title, citation, bits_per_row, filter_bytes)
     groups = cut(groups.where("_n > 1"))
     hot = groups.where(F.col("_n") > hot_rows).select(F.col("_h").alias("_hot")).distinct()
-    spread = candidates.join(F.broadcast(hot), F.col("_h") == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("_ord"), F.lit(salts))).otherwise(0).cast("int")).drop("_hot")
+    salted = candidates.join(F.broadcast(hot), F.col("_h") == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("_ord"), F.lit(salts))).otherwise(0).cast("int")).drop("_hot")
     # a hash shared by a hot and another group is salted on both sides
     group_side = groups.join(F.broadcast(hot), F.col("_h") == F.col("_hot"), "left").withColumn("_salt", F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    pairs = spread.join(group_side.select("_h", "_title", "_fields", "_salt", "_kept"), ["_h", "_title", "_fields", "_salt"])
+    pairs = salted.join(group_side.select("_h", "_title", "_fields", "_salt", "_kept"), ["_h", "_title", "_fields", "_salt"])
     # the kept row itself isn't its copy; were its key to repeat, the other row with it is none either
     return pairs.where(F.col("_ord") != F.col("_kept")).select(F.col("_kept").alias("kept_ord"), F.col("_ord").alias("copy_ord"))
 

@@ -93,6 +93,7 @@ class Queue:
 def pack_block(items: list[tuple[int, str, int]], capacity: int, shares: Mapping[str, float], owed: Mapping[str, float]) -> Iterator[tuple[int, int, int, int]]:
     """(container, item, part, tokens) of one block; ``items`` are (item, source, tokens) and ``owed`` the deficits carried in."""
     queues: dict[str, Queue] = {}
+    full: dict[str, int] = {}  # containers that oversized items fill by themselves
     container = 0
     empty = []
     for item, source, tokens in items:
@@ -103,12 +104,14 @@ def pack_block(items: list[tuple[int, str, int]], capacity: int, shares: Mapping
         while tokens > capacity:
             yield container, item, part, capacity
             container, part, tokens = container + 1, part + 1, tokens - capacity
+            full[source] = full.get(source, 0) + 1
         queues.setdefault(source, Queue()).put(tokens, (item, part))
     for item in empty:
         yield 0, item, 0, 0
     for q in queues.values():
         q.ready()
-    deficit = {s: owed.get(s, 0.0) for s in queues}
+    # Full containers count as containers: all sources earned their share of them, one paid.
+    deficit = {s: owed.get(s, 0.0) + (shares.get(s, 0.0) * container - full.get(s, 0)) * capacity for s in queues}
     order = sorted(queues)
     while any(q.sizes for q in queues.values()):
         room = capacity
