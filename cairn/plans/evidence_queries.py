@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ASCII_TOKEN, IMAGING_PHRASES, affirmed, mixed_tokens, token_set, wrapped_title
-from ..operators.cases import exploded_cases, normalized, structured
+from ..operators.cases import EXPECTED, SECTIONS, exploded_cases, normalized, structured
 from ..operators.graph import RELATIONS, REQUIRED, dangling, duplicate_ids, edges_by_relation, induced, neighbours, relation_counts, violations
 from ..operators.ranking import EVIDENCE_LABELS, EVIDENCE_ORDER, QUALITY_ORDER, first_in_pyramid, lane_positions, pyramid, type_inventory
 from ..operators.retrieval import FLOOR_TOPICS, NODE_FIELDS, NOTHING_FOUND, Question, knowledge_for_case, knowledge_text, knowledge_top, of_types, pyramid_order, question_table, retrieval_order, retrieve
@@ -16,6 +16,7 @@ from ..operators.report import leading, markdown, payload
 from ..operators.rules import Rule, apply_rules, at_least, below
 from ..operators.summary import HIGH_LEVEL, LOW_DOSE, highlights, support
 from ..sources.tables import table
+from .problem_queries import CASES_SQL
 from .workflow import check, latest, trace
 
 # The stated query set: CJK with ASCII, nothing, only punctuation, no match, a JSON key, repeats, type filters.
@@ -222,7 +223,59 @@ _HIGH = f"evidence_type IN ({', '.join(map(_quoted, HIGH_LEVEL))})"
 _SUPPORTS = f"({_HIGH} AND starts_with(coalesce(recommendation_direction, ''), 'support'))"
 _FLAGS = ("consolidation", "multilobar", "pleural_effusion", "atelectasis", "necrotizing_pneumonia")
 
+
+
+def _section_json(s: str) -> str:
+    return f"CASE WHEN json_type(o -> '{s}') = 'ARRAY' THEN o -> '{s}' -> 0 ELSE o -> '{s}' END"
+
+
+def _leaf_json(s: str, f: str) -> str:
+    return f"(({_section_json(s)}) -> '{f}')"
+
+
+_JSON_NUMBERS = "('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT')"
+
+
+def _number_sql(j: str, default: str = "NULL") -> str:
+    return f"coalesce(CASE WHEN json_type({j}) = 'VARCHAR' THEN try_cast(trim({j} ->> '$') AS DOUBLE) WHEN json_type({j}) = 'BOOLEAN' THEN CASE WHEN CAST({j} AS VARCHAR) = 'true' THEN 1 ELSE 0 END WHEN json_type({j}) IN {_JSON_NUMBERS} THEN CAST({j} AS DOUBLE) END, {default})"
+
+
+def _filled_sql(s: str) -> str:
+    j = f"(o -> '{s}')"
+    return f"coalesce(CASE json_type({j}) WHEN 'NULL' THEN false WHEN 'BOOLEAN' THEN CAST({j} AS VARCHAR) = 'true' WHEN 'VARCHAR' THEN {j} ->> '$' <> '' WHEN 'ARRAY' THEN json_array_length({j}) > 0 WHEN 'OBJECT' THEN len(json_keys({j})) > 0 ELSE CAST({j} AS DOUBLE) <> 0 END, false)"
+
+
+def _word_sql(j: str, default: str) -> str:
+    return f"CASE WHEN {j} IS NULL THEN '{default}' WHEN json_type({j}) = 'NULL' THEN 'none' ELSE lower({j} ->> '$') END"
+
+
+def _normalized_sql() -> str:
+    cough = _leaf_json("symptoms", "cough")
+    flag = f"coalesce(CASE WHEN json_type({cough}) = 'BOOLEAN' THEN CAST({cough} AS VARCHAR) = 'true' WHEN json_type({cough}) = 'VARCHAR' THEN lower(trim({cough} ->> '$')) IN ('1', 'true', 'yes', 'y', 'positive', 'present') WHEN json_type({cough}) IN {_JSON_NUMBERS} THEN CAST({cough} AS DOUBLE) <> 0 END, false)"
+    present = "concat_ws(',', " + ", ".join(f"CASE WHEN {_filled_sql(s)} THEN '{s}' END" for s in SECTIONS) + ")"
+    absent = "concat_ws(',', " + ", ".join(f"CASE WHEN NOT {_filled_sql(s)} THEN '{s}' END" for s in EXPECTED) + ")"
+    return CASES_SQL + f"""z AS (SELECT 1) SELECT raw_id, case_no, CASE WHEN (o -> 'case_id') IS NULL THEN 'unknown_case' ELSE coalesce(o ->> 'case_id', 'None') END AS case_id, {_number_sql("(o -> 'age_years')")} AS age_years,
+{_number_sql(_leaf_json('symptoms', 'fever_days'), '0')} AS symptoms_fever_days, {flag} AS symptoms_cough, {_number_sql(_leaf_json('labs', 'crp_mg_l'))} AS labs_crp_mg_l,
+{_word_sql(_leaf_json('pathogen', 'mycoplasma_pcr'), '')} AS pathogen_mycoplasma_pcr, {_word_sql(_leaf_json('treatment_history', 'response'), '')} AS treatment_history_response, {present} AS modalities, {absent} AS missing_sections FROM cs"""
+
+
+_LEADING_SQL = _RETRIEVED + f""", p AS (SELECT qid, r._ord, r.evidence_type, n.citation, n.main_findings, row_number() OVER (PARTITION BY qid, r.evidence_type ORDER BY {_case('r.quality', QUALITY_ORDER, 9)}, coalesce(r.year, 0) DESC, coalesce(r.month, 0) DESC, coalesce(r.id, ''), r._ord) AS place,
+  count(*) OVER (PARTITION BY qid, r.evidence_type) AS records FROM r JOIN evidence_nodes n ON n._ord = r._ord WHERE (types IS NULL OR list_contains(types, r.evidence_type)) AND r.evidence_type IN ({', '.join(map(_quoted, EVIDENCE_ORDER))})),
+l AS (SELECT qid, evidence_type, {_case('evidence_type', EVIDENCE_ORDER, 6)} AS ord, records, list('- **' || coalesce(citation, '') || '**：' || coalesce(main_findings, '') ORDER BY place) AS lines FROM p WHERE place <= 3 GROUP BY ALL)
+"""
+_LABEL = _case("evidence_type", {k: _quoted(v) for k, v in EVIDENCE_LABELS.items()}, "''")
+
 SQL: dict[str, str] = {
+    "q_normalized_cases": _normalized_sql(),
+    "q_payloads": _LEADING_SQL + f"""SELECT q.qid, CAST(to_json(struct_pack(question := q.text, ranked_evidence := coalesce((SELECT list(struct_pack(type := evidence_type, records := records, lines := lines) ORDER BY ord) FROM l WHERE l.qid = q.qid), []),
+pyramid_order := [{', '.join(map(_quoted, EVIDENCE_ORDER))}])) AS VARCHAR) AS payload FROM q""",
+    "q_reports": _LEADING_SQL + f""", d AS (SELECT DISTINCT qid, id FROM r WHERE types IS NULL OR list_contains(types, evidence_type)),
+g AS (SELECT a.qid, count(*) AS edges FROM evidence_edges e JOIN d a ON e.source = a.id JOIN d b ON e.target = b.id AND a.qid = b.qid GROUP BY 1),
+t AS (SELECT qid, string_agg('- **' || {_LABEL} || '** ' || records, chr(10) ORDER BY ord) AS inventory, string_agg('| ' || {_LABEL} || ' | ' || records || ' |  |', chr(10) ORDER BY ord) AS table_rows,
+  string_agg('#### ' || {_LABEL} || chr(10) || array_to_string(lines, chr(10)) || CASE WHEN records > len(lines) THEN chr(10) || '- and ' || (records - len(lines)) || ' more' ELSE '' END, chr(10) ORDER BY ord) AS blocks FROM l GROUP BY 1)
+SELECT q.qid, '## Question' || repeat(chr(10), 2) || '**' || q.text || '**' || repeat(chr(10), 2) || '### Evidence found' || repeat(chr(10), 2) || coalesce(inventory, '') || repeat(chr(10), 2) || '### Leading evidence' || repeat(chr(10), 2) || coalesce(blocks, '')
+  || repeat(chr(10), 2) || '### Synthesis' || repeat(chr(10), 2) || '| type | records | role |' || chr(10) || '|---|---:|---|' || chr(10) || coalesce(table_rows, '') || repeat(chr(10), 2) || 'Relations among the evidence: ' || coalesce(edges, 0) || '.' AS report
+FROM q LEFT JOIN t USING (qid) LEFT JOIN g USING (qid)""",
     "q_token_counts": f"SELECT _ord, coalesce(len(regexp_extract_all(title, '[a-zA-Z0-9]+|[\\x{{4e00}}-\\x{{9fff}}]+')), 0) AS mixed, coalesce(len(list_distinct(regexp_extract_all(lower(title), '{ASCII_TOKEN}'))), 0) AS words FROM evidence_nodes",
     "q_retrieve": _RETRIEVED + f"SELECT qid, _ord, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, {_case('evidence_type', EVIDENCE_ORDER, 6)}, coalesce(year, 0) DESC, coalesce(id, ''), _ord) AS place FROM r",
     "q_retrieve_by_type": _RETRIEVED + f"SELECT qid, _ord, row_number() OVER (PARTITION BY qid ORDER BY {_PYRAMID}) AS place FROM r WHERE types IS NULL OR list_contains(types, evidence_type)",
@@ -246,10 +299,7 @@ UNION ALL SELECT 'dangling_edge', endpoint FROM ({_DANGLING_SQL})) GROUP BY ALL"
     "q_knowledge_text": _top_sql("coalesce(id, ''), " + _KB_PARTS, False) + f"SELECT q.qid, coalesce(string_agg('[' || coalesce(id, 'None') || '] ' || coalesce(topic, 'None') || ': ' || coalesce(statement, 'None') || ' Use: ' || coalesce(clinical_use, 'None'), chr(10) ORDER BY place) FILTER (WHERE place IS NOT NULL), {_quoted(NOTHING_FOUND)}) AS text FROM q LEFT JOIN t USING (qid) GROUP BY q.qid",
     "q_support": f"SELECT year, count(*) AS records, count(*) FILTER (WHERE {_SUPPORTS}) AS in_support, coalesce(bool_or({_SUPPORTS} AND coalesce(dose_signal IN ({', '.join(map(_quoted, LOW_DOSE))}), false)), false) AS low_dose FROM evidence_nodes GROUP BY 1",
     "q_highlights": f"SELECT evidence_type, string_agg(coalesce(citation, '') || '：' || coalesce(main_findings, ''), '；' ORDER BY place) AS text FROM (SELECT *, row_number() OVER (PARTITION BY evidence_type ORDER BY {_PYRAMID}) AS place FROM evidence_nodes WHERE evidence_type IS NOT NULL) WHERE place <= 3 GROUP BY 1",
-    "q_leading_evidence": _RETRIEVED
-    + f""", p AS (SELECT qid, r._ord, r.evidence_type, n.citation, n.main_findings, row_number() OVER (PARTITION BY qid, r.evidence_type ORDER BY {_case('r.quality', QUALITY_ORDER, 9)}, coalesce(r.year, 0) DESC, coalesce(r.month, 0) DESC, coalesce(r.id, ''), r._ord) AS place,
-  count(*) OVER (PARTITION BY qid, r.evidence_type) AS records FROM r JOIN evidence_nodes n ON n._ord = r._ord WHERE (types IS NULL OR list_contains(types, r.evidence_type)) AND r.evidence_type IN ({', '.join(map(_quoted, EVIDENCE_ORDER))}))
-SELECT qid, evidence_type, records, string_agg('- **' || coalesce(citation, '') || '**：' || coalesce(main_findings, ''), chr(10) ORDER BY place) AS lines FROM p WHERE place <= 3 GROUP BY ALL""",
+    "q_leading_evidence": _LEADING_SQL + "SELECT qid, evidence_type, records, array_to_string(lines, chr(10)) AS lines FROM l",
     "q_first_record": f"SELECT _ord, id FROM evidence_nodes WHERE evidence_type IN ('systematic_review', 'case_report') ORDER BY {_PYRAMID} LIMIT 1",
     "q_title_wrap": "SELECT _ord, substr(coalesce(title, ''), 1, 12) || CASE WHEN length(title) > 24 THEN '|' || substr(title, 13, 11) || '…' WHEN length(title) > 12 THEN '|' || substr(title, 13, 12) ELSE '' END AS wrapped FROM evidence_nodes",
     "q_imaging_findings": "SELECT case_ord, " + ", ".join(f"({f'coalesce(imaging.image_features.{f}, false) OR ' if f in _FLAGS else ''}{_affirmed_sql('imaging.radiology_report', p)}) AS imaging_{f}" for f, p in IMAGING_PHRASES.items()) + " FROM patient_cases",

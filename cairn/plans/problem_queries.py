@@ -87,7 +87,7 @@ def flat_table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-_CASES_SQL = """
+CASES_SQL = """
 WITH doc AS (SELECT raw_id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM case_records),
 u AS (SELECT raw_id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN CAST(j ->> '$' AS JSON) END ELSE j END AS j FROM doc),
 l AS (SELECT raw_id, CASE WHEN json_type(j) = 'ARRAY' THEN j WHEN json_type(j -> 'cases') = 'ARRAY' THEN j -> 'cases'
@@ -106,7 +106,7 @@ def _section_sql(section: str) -> str:
 
 
 P4_FOUND_SQL = (
-    _CASES_SQL
+    CASES_SQL
     + "".join(map(_section_sql, SECTION_LEAF))
     + "f AS ("
     + " UNION ALL ".join(f"SELECT raw_id, case_no, '{s}' AS section_name, item_no, o ->> '{leaf}' AS v FROM {s}_i WHERE json_type(o) = 'OBJECT'" for s, leaf in SECTION_LEAF.items())
@@ -123,7 +123,7 @@ def _leaf_sql(leaf: str) -> str:
 def _flat_sql(name: str) -> str:
     prefix, leaves, ordinals = FLAT_TABLES[name]
     source = f"{prefix}_i" if prefix else "cs"
-    return _CASES_SQL + (_section_sql(prefix) if prefix else "") + f"z AS (SELECT 1) SELECT raw_id, {', '.join(ordinals)}, {', '.join(_leaf_sql(x) for x in leaves)} FROM {source} WHERE json_type(o) = 'OBJECT'"
+    return CASES_SQL + (_section_sql(prefix) if prefix else "") + f"z AS (SELECT 1) SELECT raw_id, {', '.join(ordinals)}, {', '.join(_leaf_sql(x) for x in leaves)} FROM {source} WHERE json_type(o) = 'OBJECT'"
 
 
 # ---------------------------------------------------------------- missing values
@@ -170,6 +170,18 @@ SELECT case_ord, field_name, filled, donor, side, distance FROM c
 QUALIFY row_number() OVER (PARTITION BY case_ord, field_name ORDER BY distance NULLS LAST, CASE side WHEN 'previous' THEN 0 ELSE 1 END, steps) = 1
 """
 
+P5_FILLED_SQL = f"""WITH f AS ({P5_DONORS_SQL})
+SELECT c.case_ord, c.cohort_id, {', '.join(f"coalesce(max(v.v) FILTER (v.field_name = '{x}'), max(f.filled) FILTER (f.field_name = '{x}')) AS {x}, max(v.v) FILTER (v.field_name = '{x}') IS NULL AND max(f.filled) FILTER (f.field_name = '{x}') IS NOT NULL AS {x}_filled" for x in FILLED_FIELDS)}
+FROM patient_cases c JOIN (SELECT * FROM ({_USABLE_SQL} SELECT * FROM v)) v ON v.case_ord = c.case_ord LEFT JOIN f ON f.case_ord = c.case_ord GROUP BY ALL"""
+_LIST_SQL = "CASE WHEN json_type({x}) = 'ARRAY' THEN {x} ELSE json_array({x}) END"
+P4_DOSES_SQL = CASES_SQL + "".join(
+    f"""d{i}_l AS (SELECT * EXCLUDE (o), {_LIST_SQL.format(x=f"(o -> '{name}')")} AS a FROM {source}),
+d{i}_n AS (SELECT *, unnest(range(CAST(json_array_length(a) AS BIGINT))) AS {no} FROM d{i}_l),
+d{i} AS (SELECT * FROM (SELECT * EXCLUDE (a), json_extract(a, '$[' || {no} || ']') AS o FROM d{i}_n) WHERE json_type(o) = 'OBJECT'),
+"""
+    for i, (name, no, source) in enumerate([("treatment_history", "history_no", "cs"), ("courses", "course_no", "d0"), ("doses", "dose_no", "d1")])
+) + f"z AS (SELECT 1) SELECT raw_id, case_no, history_no, course_no, dose_no, {_leaf_sql('mg')}, {_leaf_sql('day')} FROM d2"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_report": p2_report,
@@ -188,4 +200,6 @@ SQL = {
     **{f"p4_{name}": _flat_sql(name) for name in FLAT_TABLES if name != "doses"},
     "p5_found": P5_FOUND_SQL,
     "p5_donors": P5_DONORS_SQL,
+    "p5_filled": P5_FILLED_SQL,
+    "p4_doses": P4_DOSES_SQL,
 }
