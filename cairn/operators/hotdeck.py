@@ -93,8 +93,9 @@ def hot_deck(df: DataFrame, key: str, group: str, entity: str, fields: Mapping[s
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = cut(narrow.repartitionByRange(n, "_group", *order).withColumn("_seg", F.spark_partition_id()))
 
-    # One row per (case, field) from here on; the names are literals, so this is a map-only expansion.
-    long = placed.select(
+    # One row per (case, field) from here on. The rows are clustered by segment before they are expanded: that
+    # serves all windows, which are partitioned by segment and field.
+    long = placed.repartition("_group", "_seg").select(
         "_key", "_group", "_entity", "_at", "_seg", *order[:-1],
         F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_v{i}").alias("v")) for i, f in enumerate(fields)))).alias("_f"),
     ).select("*", F.col("_f.field").alias("field_name"), F.col("_f.v").alias("_v")).drop("_f")
