@@ -1,3 +1,10 @@
 """cairn: evidence-graph and case analytics expressed as Spark DataFrame plans."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions go to the executors with their code, so these need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

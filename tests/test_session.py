@@ -21,3 +21,25 @@ def test_spread(spark, tmp_path):
     assert spread(many) is many
     grouped = one.groupBy("id").count()
     assert spread(grouped) is grouped
+
+
+def test_executors_need_not_have_the_package(tmp_path):
+    """Python workers of a session started elsewhere, with the package on the driver's path only."""
+    import os
+    import subprocess
+    import sys
+    import textwrap
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = textwrap.dedent(f"""
+        import sys
+        sys.path.insert(0, {root!r})
+        from cairn.operators.shredding import leaf_rows, shred
+        from cairn.session import build_session
+        spark = build_session(cores=1, spark__driver__memory="1g")
+        df = spark.createDataFrame([(1, '{{"labs": [{{"x": 1}}, {{"x": 2}}]}}')], "k bigint, p string")
+        print("rows", leaf_rows(shred(df, "k", "p", ["labs.x"]), "k", {{"labs": "x"}}, ["a", "b"]).count())
+    """)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 2" in done.stdout, done.stderr[-2000:]
