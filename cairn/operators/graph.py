@@ -33,6 +33,19 @@ def induced(edges: DataFrame, selected: DataFrame, by: Sequence[str] = (), node:
     return first.join(second, (F.col("target") == F.col("_node")) & same, "left_semi")
 
 
+def induced_each(edges: DataFrame, selected: DataFrame, by: str, node: str = "id") -> DataFrame:
+    """All columns of ``edges`` once for each value of ``by`` (such as a question) whose selection has both ends.
+
+    An end carries the list of its values of ``by``, so that edges are shuffled once each and multiply only in the result;
+    for a stated set of values. The lists are cut to the shared folder for the reason given above.
+    """
+    named = selected.where(F.col(node).isNotNull())
+    ends = cut(named.groupBy(F.col(node).alias("_node")).agg(F.collect_set(by).alias("_by")))
+    targets = ends.select(F.col("_node").alias("_other"), F.col("_by").alias("_with"))
+    both = edges.join(ends, F.col("source") == F.col("_node")).join(targets, F.col("target") == F.col("_other"))
+    return both.select(F.explode(F.array_intersect("_by", "_with")).alias(by), *edges.columns)
+
+
 def relation_counts(edges: DataFrame) -> DataFrame:
     """Edges by relation, the known relations even without edges; a null relation is counted as null."""
     known = edges.sparkSession.createDataFrame([(r,) for r in RELATIONS], "relation string").withColumn("edges", F.lit(0).cast("bigint"))

@@ -1,8 +1,9 @@
 """Markdown reports and JSON payloads per question, from ranked evidence.
 
 The wording (headings, notes before and after the lists) is a parameter; what the operator computes are the
-inventory by type, the leading records of each type and the synthesis table. A report shows the ``k`` highest
-records of a type and counts the others, so it has a bounded length however much a question retrieves.
+inventory by type, the leading records of each type and the synthesis table. ``markdown`` and ``payload`` are top-k
+views: they show the ``k`` highest records of a type and count the others. ``payload_rows`` holds all that a question
+retrieves, as rows.
 """
 
 from __future__ import annotations
@@ -13,7 +14,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import induced_each
 from .ranking import EVIDENCE_LABELS, EVIDENCE_ORDER, lookup, pyramid_keys, type_order
+from .retrieval import NODE_FIELDS
+
+
+# The fields of an edge, in their order.
+EDGE_FIELDS = ["source", "target", "relation", "description"]
 
 
 @dataclass(frozen=True)
@@ -87,3 +94,25 @@ def payload(questions: DataFrame, lead: DataFrame) -> DataFrame:
     joined = questions.join(by, "qid", "left")
     whole = F.struct(F.col("text").alias("question"), F.coalesce(kept, F.array().cast("array<struct<type:string,records:bigint,lines:array<string>>>")).alias("ranked_evidence"), order.alias("pyramid_order"))
     return joined.select("qid", F.to_json(whole).alias("payload"))
+
+
+def payload_rows(questions: DataFrame, placed: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The whole payload of each question as rows ``qid``, ``part``, ``position`` and ``value``, a JSON text.
+
+    Parts: ``question``; ``ranked_evidence``, a row per record with all its fields, nulls included, at its place in the
+    pyramid; ``evidence_edges``, a row per induced edge, ordered by its row key; ``pyramid_order``, a row per type.
+    ``placed`` has qid, _ord, id and place.
+    """
+
+    def as_json(*fields: str) -> Column:
+        return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value")
+
+    # A record becomes JSON once and meets the questions that retrieve it in a join: nothing is shuffled after that.
+    records = nodes.select(F.col("_ord").alias("_node"), as_json(*NODE_FIELDS))
+    evidence = placed.select("qid", "_ord", "place").join(records, F.col("_ord") == F.col("_node")).select("qid", F.lit("ranked_evidence").alias("part"), F.col("place").alias("position"), "value")
+    between = induced_each(edges.select("_ord", *EDGE_FIELDS), placed.select("qid", "id"), "qid")
+    related = between.select("qid", F.lit("evidence_edges").alias("part"), F.col("_ord").alias("position"), as_json(*EDGE_FIELDS))
+    asked = questions.select("qid", F.lit("question").alias("part"), F.lit(0).cast("bigint").alias("position"), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("question"))).alias("value"))
+    order = questions.select("qid", F.lit("pyramid_order").alias("part"), F.posexplode(F.array(*map(F.lit, EVIDENCE_ORDER))).alias("position", "_type"))
+    order = order.select("qid", "part", F.col("position").cast("bigint").alias("position"), F.to_json(F.struct(F.col("_type").alias("type"))).alias("value"))
+    return evidence.unionByName(related).unionByName(asked).unionByName(order)

@@ -12,7 +12,7 @@ from ..operators.cases import EXPECTED, SECTIONS, exploded_cases, normalized, st
 from ..operators.graph import RELATIONS, REQUIRED, dangling, duplicate_ids, edges_by_relation, induced, neighbours, relation_counts, violations
 from ..operators.ranking import EVIDENCE_LABELS, EVIDENCE_ORDER, QUALITY_ORDER, first_in_pyramid, lane_positions, pyramid, type_inventory
 from ..operators.retrieval import FLOOR_TOPICS, NODE_FIELDS, NOTHING_FOUND, Question, knowledge_for_case, knowledge_text, knowledge_top, of_types, pyramid_order, question_table, retrieval_order, retrieve
-from ..operators.report import leading, markdown, payload
+from ..operators.report import EDGE_FIELDS, leading, markdown, payload, payload_rows
 from ..operators.rules import Rule, apply_rules, at_least, below
 from ..operators.summary import HIGH_LEVEL, LOW_DOSE, highlights, support
 from ..sources.tables import table
@@ -176,6 +176,16 @@ def _payloads(s: SparkSession, d: str) -> DataFrame:
     return payload(question_table(s, QUESTIONS), _leading(s, d))
 
 
+def _placed(s: SparkSession, d: str) -> DataFrame:
+    """All that the questions retrieve, in pyramid order: what the order and the edges depend on only."""
+    found = of_types(retrieve(_nodes(s, d), QUESTIONS))
+    return pyramid_order(found.select("qid", "_ord", "id", "evidence_type", "quality", "year", "month")).select("qid", "_ord", "id", "evidence_type", "place")
+
+
+def _payload_rows(s: SparkSession, d: str) -> DataFrame:
+    return payload_rows(question_table(s, QUESTIONS), _placed(s, d), _nodes(s, d), _edges(s, d))
+
+
 def _guideline_edges(s: SparkSession, d: str) -> DataFrame:
     high = _nodes(s, d).where(F.col("evidence_type").isin(*HIGH_LEVEL))
     return induced(_edges(s, d), high).groupBy("relation").agg(F.count("*").alias("edges"))
@@ -204,6 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_leading_evidence": lambda s, d: _leading(s, d).select("qid", "evidence_type", "records", F.array_join("lines", "\n").alias("lines")),
     "q_reports": _reports,
     "q_payloads": _payloads,
+    "q_payload_rows": _payload_rows,
     "q_first_record": lambda s, d: first_in_pyramid(_nodes(s, d), ["systematic_review", "case_report"]).select("_ord", "id"),
     "q_title_wrap": lambda s, d: _nodes(s, d).select("_ord", F.array_join(wrapped_title(F.col("title")), "|").alias("wrapped")),
     "q_normalized_cases": _normalized,
@@ -263,12 +274,26 @@ _LEADING_SQL = _RETRIEVED + f""", p AS (SELECT qid, r._ord, r.evidence_type, n.c
   count(*) OVER (PARTITION BY qid, r.evidence_type) AS records FROM r JOIN evidence_nodes n ON n._ord = r._ord WHERE (types IS NULL OR list_contains(types, r.evidence_type)) AND r.evidence_type IN ({', '.join(map(_quoted, EVIDENCE_ORDER))})),
 l AS (SELECT qid, evidence_type, {_case('evidence_type', EVIDENCE_ORDER, 6)} AS ord, records, list('- **' || coalesce(citation, '') || '**：' || coalesce(main_findings, '') ORDER BY place) AS lines FROM p WHERE place <= 3 GROUP BY ALL)
 """
+_PLACED_SQL = _RETRIEVED + f""", p AS (SELECT qid, _ord, id, evidence_type, row_number() OVER (PARTITION BY qid ORDER BY {_PYRAMID}) AS place FROM r WHERE types IS NULL OR list_contains(types, evidence_type)),
+d AS (SELECT DISTINCT qid, id FROM p),
+x AS (SELECT a.qid, e.* FROM evidence_edges e JOIN d a ON e.source = a.id JOIN d b ON e.target = b.id AND a.qid = b.qid)
+"""
+
+
+def _json_sql(fields: list[str], of: str) -> str:
+    return f"CAST(to_json(struct_pack({', '.join(f'{c} := {of}.{c}' for c in fields)})) AS VARCHAR)"
+
+
 _LABEL = _case("evidence_type", {k: _quoted(v) for k, v in EVIDENCE_LABELS.items()}, "''")
 
 SQL: dict[str, str] = {
     "q_normalized_cases": _normalized_sql(),
     "q_payloads": _LEADING_SQL + f"""SELECT q.qid, CAST(to_json(struct_pack(question := q.text, ranked_evidence := coalesce((SELECT list(struct_pack(type := evidence_type, records := records, lines := lines) ORDER BY ord) FROM l WHERE l.qid = q.qid), []),
 pyramid_order := [{', '.join(map(_quoted, EVIDENCE_ORDER))}])) AS VARCHAR) AS payload FROM q""",
+    "q_payload_rows": _PLACED_SQL + f"""SELECT p.qid, 'ranked_evidence' AS part, p.place AS position, {_json_sql(NODE_FIELDS, 'n')} AS value FROM p JOIN evidence_nodes n ON n._ord = p._ord
+UNION ALL SELECT qid, 'evidence_edges', _ord, {_json_sql(EDGE_FIELDS, 'x')} FROM x
+UNION ALL SELECT qid, 'question', 0, CAST(to_json(struct_pack(question := text)) AS VARCHAR) FROM q
+UNION ALL SELECT qid, 'pyramid_order', ord, CAST(to_json(struct_pack(type := key)) AS VARCHAR) FROM q, (VALUES {_TYPES}) AS v(key, label, ord)""",
     "q_reports": _LEADING_SQL + f""", d AS (SELECT DISTINCT qid, id FROM r WHERE types IS NULL OR list_contains(types, evidence_type)),
 g AS (SELECT a.qid, count(*) AS edges FROM evidence_edges e JOIN d a ON e.source = a.id JOIN d b ON e.target = b.id AND a.qid = b.qid GROUP BY 1),
 t AS (SELECT qid, string_agg('- **' || {_LABEL} || '** ' || records, chr(10) ORDER BY ord) AS inventory, string_agg('| ' || {_LABEL} || ' | ' || records || ' |  |', chr(10) ORDER BY ord) AS table_rows,
