@@ -12,7 +12,7 @@ from ..operators.cases import EXPECTED, SECTIONS, exploded_cases, normalized, st
 from ..operators.graph import RELATIONS, REQUIRED, dangling, duplicate_ids, edges_by_relation, induced, neighbours, relation_counts, violations
 from ..operators.ranking import EVIDENCE_LABELS, EVIDENCE_ORDER, QUALITY_ORDER, first_in_pyramid, lane_positions, pyramid, type_inventory
 from ..operators.retrieval import FLOOR_TOPICS, NODE_FIELDS, NOTHING_FOUND, Question, knowledge_for_case, knowledge_text, knowledge_top, of_types, pyramid_order, question_table, retrieval_order, retrieve
-from ..operators.report import EDGE_FIELDS, leading, markdown, payload, payload_rows
+from ..operators.report import EDGE_FIELDS, STEPS, STEP_OF, leading, markdown, payload, payload_rows, report_lines
 from ..operators.rules import Rule, apply_rules, at_least, below
 from ..operators.summary import HIGH_LEVEL, LOW_DOSE, highlights, support
 from ..sources.tables import table
@@ -186,6 +186,10 @@ def _payload_rows(s: SparkSession, d: str) -> DataFrame:
     return payload_rows(question_table(s, QUESTIONS), _placed(s, d), _nodes(s, d), _edges(s, d))
 
 
+def _report_lines(s: SparkSession, d: str) -> DataFrame:
+    return report_lines(question_table(s, QUESTIONS), _placed(s, d), _nodes(s, d), _edges(s, d))
+
+
 def _guideline_edges(s: SparkSession, d: str) -> DataFrame:
     high = _nodes(s, d).where(F.col("evidence_type").isin(*HIGH_LEVEL))
     return induced(_edges(s, d), high).groupBy("relation").agg(F.count("*").alias("edges"))
@@ -213,6 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_highlights": lambda s, d: highlights(_nodes(s, d)),
     "q_leading_evidence": lambda s, d: _leading(s, d).select("qid", "evidence_type", "records", F.array_join("lines", "\n").alias("lines")),
     "q_reports": _reports,
+    "q_report_lines": _report_lines,
     "q_payloads": _payloads,
     "q_payload_rows": _payload_rows,
     "q_first_record": lambda s, d: first_in_pyramid(_nodes(s, d), ["systematic_review", "case_report"]).select("_ord", "id"),
@@ -285,6 +290,9 @@ def _json_sql(fields: list[str], of: str) -> str:
 
 
 _LABEL = _case("evidence_type", {k: _quoted(v) for k, v in EVIDENCE_LABELS.items()}, "''")
+_KIND = _case("evidence_type", {k: _quoted(v) for k, v in EVIDENCE_LABELS.items()}, "'other'")
+_KIND_NO = _case("evidence_type", EVIDENCE_ORDER, 6)
+_STEPS_SQL = ", ".join(f"({i}, {_quoted(x)})" for i, x in enumerate(STEPS))
 
 SQL: dict[str, str] = {
     "q_normalized_cases": _normalized_sql(),
@@ -294,6 +302,15 @@ pyramid_order := [{', '.join(map(_quoted, EVIDENCE_ORDER))}])) AS VARCHAR) AS pa
 UNION ALL SELECT qid, 'evidence_edges', _ord, {_json_sql(EDGE_FIELDS, 'x')} FROM x
 UNION ALL SELECT qid, 'question', 0, CAST(to_json(struct_pack(question := text)) AS VARCHAR) FROM q
 UNION ALL SELECT qid, 'pyramid_order', ord, CAST(to_json(struct_pack(type := key)) AS VARCHAR) FROM q, (VALUES {_TYPES}) AS v(key, label, ord)""",
+    "q_report_lines": _PLACED_SQL + f""", t AS (SELECT qid, {_KIND_NO} AS ord, {_KIND} AS kind, count(*) AS n FROM p GROUP BY ALL),
+e AS (SELECT qid, relation, sum(n) AS n FROM (SELECT qid, coalesce(relation, '') AS relation, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT qid, rel, 0 FROM q, (VALUES {_VALUES}) AS v(rel)) GROUP BY ALL),
+o AS (SELECT qid, 0 AS step_no, 0 AS line_no, NULL AS node_id, text AS line FROM q
+UNION ALL SELECT qid, 1, ord, NULL, '- **' || kind || '** ' || n FROM t
+UNION ALL SELECT p.qid, {_case('p.evidence_type', STEP_OF, 6)}, p.place, p.id, '- **' || coalesce(n.citation, '') || '**：' || coalesce(n.main_findings, '') FROM p JOIN evidence_nodes n ON n._ord = p._ord
+UNION ALL SELECT qid, 7, ord, NULL, '| ' || kind || ' | ' || n || ' |  |' FROM t
+UNION ALL SELECT q.qid, 7, 7, NULL, coalesce((SELECT count(*) FROM p WHERE p.qid = q.qid), 0) || ' records, ' || coalesce((SELECT count(*) FROM x WHERE x.qid = q.qid), 0) || ' relations.' FROM q
+UNION ALL SELECT qid, 7, {_case('relation', {r: 8 + i for i, r in enumerate(RELATIONS)}, 8 + len(RELATIONS))}, NULL, '- ' || relation || ': ' || n FROM e)
+SELECT qid, step_no, step, line_no, node_id, line FROM o JOIN (VALUES {_STEPS_SQL}) AS v(i, step) ON i = step_no""",
     "q_reports": _LEADING_SQL + f""", d AS (SELECT DISTINCT qid, id FROM r WHERE types IS NULL OR list_contains(types, evidence_type)),
 g AS (SELECT a.qid, count(*) AS edges FROM evidence_edges e JOIN d a ON e.source = a.id JOIN d b ON e.target = b.id AND a.qid = b.qid GROUP BY 1),
 t AS (SELECT qid, string_agg('- **' || {_LABEL} || '** ' || records, chr(10) ORDER BY ord) AS inventory, string_agg('| ' || {_LABEL} || ' | ' || records || ' |  |', chr(10) ORDER BY ord) AS table_rows,

@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 
 from cairn.operators.graph import induced_each
-from cairn.operators.report import payload_rows
+from cairn.operators.report import payload_rows, report_lines
 from cairn.operators.retrieval import NODE_FIELDS, Question, of_types, pyramid_order, question_table, retrieve
 from tests.test_evidence import node, nodes
 
@@ -38,3 +38,16 @@ def test_payload_rows_hold_all_records_and_edges(spark):
 def test_edges_of_each_selection(spark):
     picked = spark.createDataFrame([(1, "g0"), (1, "g4"), (1, "g4"), (2, "g0"), (2, "c"), (3, None)], "qid bigint, id string")
     assert sorted((r.qid, r._ord) for r in induced_each(some_edges(spark), picked, "qid").collect()) == [(1, 0), (2, 1)]
+
+
+def test_report_lines_hold_all_records_and_relations(spark):
+    n = many(spark)
+    lines = sorted(report_lines(question_table(spark, ASKED), placed(n), n, some_edges(spark)).collect(), key=lambda r: (r.qid, r.step_no, r.line_no, r.line))
+    of = {(q, s): [(r.node_id, r.line) for r in lines if (r.qid, r.step) == (q, s)] for q in (1, 2, 3) for s in ("question", "inventory", "guidelines", "reviews", "lower_evidence", "other_evidence", "synthesis")}
+    assert of[1, "guidelines"] == [(f"g{i}", f"- **G{i}**：x{i}") for i in (4, 3, 2, 1, 0)] and of[1, "lower_evidence"] == [("c", "- ****：")] and of[1, "reviews"] == []
+    assert {x for x, _ in of[1, "other_evidence"]} == {"o", "z"} and [x for _, x in of[1, "inventory"]] == ["- **指南** 5", "- **病例报告** 1", "- **other** 2"]
+    assert [x for _, x in of[1, "synthesis"]] == [
+        "| 指南 | 5 |  |", "| 病例报告 | 1 |  |", "| other | 2 |  |", "8 records, 4 relations.", "- supports: 0", "- supplements: 0", "- updates: 2", "- confirms: 0", "- cautions: 0", "- : 1", "- odd: 1",
+    ]
+    assert of[2, "guidelines"] == [] and of[2, "question"] == [(None, "none")] and of[2, "synthesis"][0] == (None, "0 records, 0 relations.")
+    assert len(of[3, "guidelines"]) == 5 and (None, "- updates: 1") in of[3, "synthesis"]
