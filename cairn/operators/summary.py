@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import pyramid_keys
+from .ranking import pyramid_keys, ranked
 
 # The types that count as high-level evidence, and the dose signals for a low dose.
 HIGH_LEVEL = ["guideline", "systematic_review", "randomized_controlled_trial"]
@@ -35,3 +35,19 @@ def highlights(nodes: DataFrame, k: int = 3, separator: str = "；") -> DataFram
     best = ranked.where(F.col("evidence_type").isNotNull()).withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= k)
     line = F.concat(F.coalesce("citation", F.lit("")), F.lit("："), F.coalesce("main_findings", F.lit("")))
     return best.groupBy("evidence_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", line.alias("_line")))), lambda x: x["_line"]), separator).alias("text"))
+
+
+def type_summaries(nodes: DataFrame, chunk: int = 100, separator: str = "；") -> DataFrame:
+    """All records of each evidence type, ``citation：findings``, in pyramid order, as numbered texts.
+
+    ``chunk_no`` from 1 holds ``chunk`` records, the last of a type what is left, so no value and no task grows with a
+    type; the chunks of a type, joined by the separator, are its summary. Unknown types and null have theirs as well.
+    """
+    named = F.coalesce(F.concat(F.lit("t"), "evidence_type"), F.lit("n"))  # a null type is told from every name
+    keyed = nodes.select("_ord", "id", "evidence_type", "quality", "year", "month", named.alias("_named"))
+    placed = ranked(keyed, pyramid_keys(), within=["_named"], name="_place").select("_ord", "evidence_type", "_place", F.ceil(F.col("_place") / chunk).cast("bigint").alias("chunk_no"))
+    line = F.concat(F.coalesce("citation", F.lit("")), F.lit("："), F.coalesce("main_findings", F.lit("")))
+    texts = nodes.select(F.col("_ord").alias("_node"), line.alias("_line"))
+    lines = placed.join(texts, F.col("_ord") == F.col("_node"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_line"))), lambda x: x["_line"]), separator)
+    return lines.groupBy("evidence_type", "chunk_no").agg(F.count("*").alias("records"), joined.alias("text"))

@@ -14,7 +14,7 @@ from ..operators.ranking import EVIDENCE_LABELS, EVIDENCE_ORDER, QUALITY_ORDER,
 from ..operators.retrieval import FLOOR_TOPICS, NODE_FIELDS, NOTHING_FOUND, Question, knowledge_for_case, knowledge_text, knowledge_top, of_types, pyramid_order, question_table, retrieval_order, retrieve
 from ..operators.report import EDGE_FIELDS, STEPS, STEP_OF, leading, markdown, payload, payload_rows, report_lines
 from ..operators.rules import Rule, apply_rules, at_least, below
-from ..operators.summary import HIGH_LEVEL, LOW_DOSE, highlights, support
+from ..operators.summary import HIGH_LEVEL, LOW_DOSE, highlights, support, type_summaries
 from ..sources.tables import table
 from .problem_queries import CASES_SQL
 from .workflow import check, latest, trace
@@ -215,6 +215,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_knowledge_text": lambda s, d: knowledge_text(knowledge_top(_kb(s, d), QUESTIONS), QUESTIONS),
     "q_support": lambda s, d: support(_nodes(s, d), ["year"]),
     "q_highlights": lambda s, d: highlights(_nodes(s, d)),
+    "q_type_summaries": lambda s, d: type_summaries(_nodes(s, d)),
     "q_leading_evidence": lambda s, d: _leading(s, d).select("qid", "evidence_type", "records", F.array_join("lines", "\n").alias("lines")),
     "q_reports": _reports,
     "q_report_lines": _report_lines,
@@ -341,6 +342,7 @@ UNION ALL SELECT 'dangling_edge', endpoint FROM ({_DANGLING_SQL})) GROUP BY ALL"
     "q_knowledge_text": _top_sql("coalesce(id, ''), " + _KB_PARTS, False) + f"SELECT q.qid, coalesce(string_agg('[' || coalesce(id, 'None') || '] ' || coalesce(topic, 'None') || ': ' || coalesce(statement, 'None') || ' Use: ' || coalesce(clinical_use, 'None'), chr(10) ORDER BY place) FILTER (WHERE place IS NOT NULL), {_quoted(NOTHING_FOUND)}) AS text FROM q LEFT JOIN t USING (qid) GROUP BY q.qid",
     "q_support": f"SELECT year, count(*) AS records, count(*) FILTER (WHERE {_SUPPORTS}) AS in_support, coalesce(bool_or({_SUPPORTS} AND coalesce(dose_signal IN ({', '.join(map(_quoted, LOW_DOSE))}), false)), false) AS low_dose FROM evidence_nodes GROUP BY 1",
     "q_highlights": f"SELECT evidence_type, string_agg(coalesce(citation, '') || '：' || coalesce(main_findings, ''), '；' ORDER BY place) AS text FROM (SELECT *, row_number() OVER (PARTITION BY evidence_type ORDER BY {_PYRAMID}) AS place FROM evidence_nodes WHERE evidence_type IS NOT NULL) WHERE place <= 3 GROUP BY 1",
+    "q_type_summaries": f"SELECT evidence_type, (place + 99) // 100 AS chunk_no, count(*) AS records, string_agg(coalesce(citation, '') || '：' || coalesce(main_findings, ''), '；' ORDER BY place) AS text FROM (SELECT *, row_number() OVER (PARTITION BY evidence_type ORDER BY {_PYRAMID}) AS place FROM evidence_nodes) GROUP BY ALL",
     "q_leading_evidence": _LEADING_SQL + "SELECT qid, evidence_type, records, array_to_string(lines, chr(10)) AS lines FROM l",
     "q_first_record": f"SELECT _ord, id FROM evidence_nodes WHERE evidence_type IN ('systematic_review', 'case_report') ORDER BY {_PYRAMID} LIMIT 1",
     "q_title_wrap": "SELECT _ord, substr(coalesce(title, ''), 1, 12) || CASE WHEN length(title) > 24 THEN '|' || substr(title, 13, 11) || '…' WHEN length(title) > 12 THEN '|' || substr(title, 13, 12) ELSE '' END AS wrapped FROM evidence_nodes",

@@ -5,6 +5,7 @@ import json
 from cairn.operators.graph import induced_each
 from cairn.operators.report import payload_rows, report_lines
 from cairn.operators.retrieval import NODE_FIELDS, Question, of_types, pyramid_order, question_table, retrieve
+from cairn.operators.summary import type_summaries
 from tests.test_evidence import node, nodes
 
 EDGE = "_ord bigint, source string, target string, relation string, description string"
@@ -51,3 +52,11 @@ def test_report_lines_hold_all_records_and_relations(spark):
     ]
     assert of[2, "guidelines"] == [] and of[2, "question"] == [(None, "none")] and of[2, "synthesis"][0] == (None, "0 records, 0 relations.")
     assert len(of[3, "guidelines"]) == 5 and (None, "- updates: 1") in of[3, "synthesis"]
+
+
+def test_summaries_hold_all_records_of_a_type(spark):
+    got = {(r.evidence_type, r.chunk_no): (r.records, r.text) for r in type_summaries(many(spark), 2).collect()}
+    assert got == {
+        ("guideline", 1): (2, "G4：x4；G3：x3"), ("guideline", 2): (2, "G2：x2；G1：x1"), ("guideline", 3): (1, "G0：x0"),
+        ("case_report", 1): (1, "："), ("odd", 1): (1, "O：f"), (None, 1): (1, "c：f"),
+    }
