@@ -55,6 +55,18 @@ def as_word(v: Column, default: str = "") -> Column:
     return F.when(v.isNull(), F.lit(default)).when(kind(v) == "VOID", F.lit("none")).otherwise(F.lower(text_of(v)))
 
 
+def is_number(v: Column) -> Column:
+    """Whether ``as_number`` finds a finite number."""
+    n = as_number(v)
+    return F.coalesce(n.isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf")), F.lit(False))
+
+
+def is_said(v: Column) -> Column:
+    """Whether a value is a number, a boolean or a text that isn't blank."""
+    k = kind(v)
+    return F.coalesce((k != "VOID") & ~k.startswith("OBJECT") & ~k.startswith("ARRAY") & (F.trim(text_of(v)) != ""), F.lit(False))
+
+
 def filled(v: Column) -> Column:
     """Whether a value is there and isn't null, false, 0 or empty."""
     k = kind(v)

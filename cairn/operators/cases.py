@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coerce import as_flag, as_number, as_word, child, filled, text_of
+from ..functions.coerce import as_flag, as_number, as_word, child, filled, is_number, is_said, text_of
 from ..functions.text import IMAGING_PHRASES, affirmed
 from ..session import spread
 from .shredding import case_list, parse_document, unwrap_text
@@ -42,20 +44,47 @@ def _section(raw: Column, name: str) -> Column:
     return F.coalesce(F.get(F.try_variant_get(v, "$", "array<variant>"), 0), v)
 
 
+def _picked(raw: Column, elements: Column, section: str, path: list[str], usable: Callable[[Column], Column]) -> Column:
+    """A leaf of a section; of several elements from the first with a usable value, else from the first that has the leaf."""
+
+    def leaf(v: Column) -> Column:
+        for key in path:
+            v = child(v, key)
+        return v
+
+    values = F.filter(F.transform(elements, leaf), lambda v: v.isNotNull())
+    several = F.coalesce(F.get(F.filter(values, usable), 0), F.get(values, 0))
+    return F.when(elements.isNotNull(), several).otherwise(leaf(child(raw, section)))
+
+
 def imaging_feature(flag: Column, report: Column, name: str) -> Column:
     return flag | affirmed(report, IMAGING_PHRASES[name])
 
 
-def normalized(cases: DataFrame, raw: str = "raw") -> DataFrame:
-    """Flat columns ``<section>_<field>`` in their final types, ``case_id``, ``age_years``, ``sex``, and the lists ``modalities`` and ``missing_sections``."""
+def normalized(cases: DataFrame, raw: str = "raw", first_only: bool = False) -> DataFrame:
+    """Flat columns ``<section>_<field>`` in their final types, ``case_id``, ``age_years``, ``sex``, and the lists ``modalities`` and ``missing_sections``.
+
+    Where a section is an array, each leaf comes from the first element with a usable value: a finite number for a number,
+    for flags and words any number, boolean or text that isn't blank. If there is none, from the first element that has the
+    leaf. ``first_only`` reads element 0 only, whatever it holds.
+    """
     r = F.col(raw)
     others = [c for c in cases.columns if c != raw]
     # Each section is taken out of the case once, and each leaf out of its section once.
-    cases = cases.select("*", *(_section(r, s).alias(f"_s_{s}") for s in SECTIONS))
-    names = [(s, f) for group in (NUMBERS, FLAGS, WORDS) for s, fields in group.items() for f in fields]
-    names += [("imaging", "radiology_report"), ("imaging", "image_features")]
+    if first_only:
+        cases = cases.select("*", *(_section(r, s).alias(f"_s_{s}") for s in SECTIONS))
+    else:
+        cases = cases.select("*", *(F.try_variant_get(child(r, s), "$", "array<variant>").alias(f"_s_{s}") for s in SECTIONS))
+    names = [(s, [f], is_number if group is NUMBERS else is_said) for group in (NUMBERS, FLAGS, WORDS) for s, fields in group.items() for f in fields]
+    names += [("imaging", ["radiology_report"], is_said), *(("imaging", ["image_features", f], is_said) for f in IMAGING_PHRASES)]
     tops = ["case_id", "age_years", "sex"]
-    cases = cases.select(*others, *(filled(child(r, s)).alias(f"_f_{s}") for s in SECTIONS), *(child(r, f).alias(f"_l_{f}") for f in tops), *(child(F.col(f"_s_{s}"), f).alias(f"_l_{s}_{f}") for s, f in names))
+
+    def taken(s: str, path: list[str], usable: Callable[[Column], Column]) -> Column:
+        if first_only:
+            return child(F.col(f"_s_{s}"), ".".join(path))
+        return _picked(r, F.col(f"_s_{s}"), s, path, usable)
+
+    cases = cases.select(*others, *(filled(child(r, s)).alias(f"_f_{s}") for s in SECTIONS), *(child(r, f).alias(f"_l_{f}") for f in tops), *(taken(s, path, usable).alias(f"_l_{s}_{path[-1]}") for s, path, usable in names))
 
     def leaf(s: str, f: str) -> Column:
         return F.col(f"_l_{s}_{f}")
@@ -71,8 +100,8 @@ def normalized(cases: DataFrame, raw: str = "raw") -> DataFrame:
         columns += [as_flag(leaf(s, f)).alias(f"{s}_{f}") for f in fields]
     for s, fields in WORDS.items():
         columns += [as_word(leaf(s, f), default).alias(f"{s}_{f}") for f, default in fields.items()]
-    report, features = text_of(leaf("imaging", "radiology_report")), leaf("imaging", "image_features")
-    columns += [imaging_feature(as_flag(child(features, f)), report, f).alias(f"imaging_{f}") for f in IMAGING_PHRASES]
+    report = text_of(leaf("imaging", "radiology_report"))
+    columns += [imaging_feature(as_flag(leaf("imaging", f)), report, f).alias(f"imaging_{f}") for f in IMAGING_PHRASES]
     present = [F.when(F.col(f"_f_{s}"), F.lit(s)) for s in SECTIONS]
     absent = [F.when(~F.col(f"_f_{s}"), F.lit(s)) for s in EXPECTED]
     columns += [F.filter(F.array(*x), lambda y: y.isNotNull()).alias(n) for x, n in ((present, "modalities"), (absent, "missing_sections"))]

@@ -134,8 +134,8 @@ def _plan_faults(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(v.step, v.check, v.detail) for v in check(FAULTY_PLAN, [1, 2])], "step bigint, check string, detail string")
 
 
-def _normalized(s: SparkSession, d: str) -> DataFrame:
-    flat = normalized(exploded_cases(table(s, d, "case_records"), "raw_id", "payload"))
+def _cases(s: SparkSession, d: str, first_only: bool) -> DataFrame:
+    flat = normalized(exploded_cases(table(s, d, "case_records"), "raw_id", "payload"), first_only=first_only)
     return flat.select("raw_id", "case_no", "case_id", "age_years", "symptoms_fever_days", "symptoms_cough", "labs_crp_mg_l", "pathogen_mycoplasma_pcr", "treatment_history_response", F.array_join("modalities", ",").alias("modalities"), F.array_join("missing_sections", ",").alias("missing_sections"))
 
 
@@ -223,7 +223,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_payload_rows": _payload_rows,
     "q_first_record": lambda s, d: first_in_pyramid(_nodes(s, d), ["systematic_review", "case_report"]).select("_ord", "id"),
     "q_title_wrap": lambda s, d: _nodes(s, d).select("_ord", F.array_join(wrapped_title(F.col("title")), "|").alias("wrapped")),
-    "q_normalized_cases": _normalized,
+    "q_normalized_cases": lambda s, d: _cases(s, d, True),
+    "q_whole_cases": lambda s, d: _cases(s, d, False),
     "q_imaging_findings": _findings,
     "q_report_findings": _report_findings,
     "q_rule_scores": _scores,
@@ -276,6 +277,23 @@ def _normalized_sql() -> str:
 {_word_sql(_leaf_json('pathogen', 'mycoplasma_pcr'), '')} AS pathogen_mycoplasma_pcr, {_word_sql(_leaf_json('treatment_history', 'response'), '')} AS treatment_history_response, {present} AS modalities, {absent} AS missing_sections FROM cs"""
 
 
+def _picked_sql(s: str, f: str, number: bool) -> str:
+    usable = f"coalesce(isfinite({_number_sql('j')}), false)" if number else "coalesce(json_type(j) NOT IN ('NULL', 'OBJECT', 'ARRAY') AND trim(j ->> '$') <> '', false)"
+    elements = f"CASE WHEN json_type(o -> '{s}') = 'ARRAY' THEN json_extract(o -> '{s}', '$[*]') ELSE [o -> '{s}'] END"
+    values = f"list_filter(list_transform({elements}, lambda e: json_extract(e, '$.{f}')), lambda j: j IS NOT NULL)"
+    return f"coalesce(list_filter({values}, lambda j: {usable})[1], {values}[1]) AS {f}"
+
+
+def _whole_cases_sql() -> str:
+    picked = ", ".join(_picked_sql(s, f, n) for s, f, n in (("symptoms", "fever_days", True), ("symptoms", "cough", False), ("labs", "crp_mg_l", True), ("pathogen", "mycoplasma_pcr", False), ("treatment_history", "response", False)))
+    flag = f"coalesce(CASE WHEN json_type(cough) = 'BOOLEAN' THEN CAST(cough AS VARCHAR) = 'true' WHEN json_type(cough) = 'VARCHAR' THEN lower(trim(cough ->> '$')) IN ('1', 'true', 'yes', 'y', 'positive', 'present') WHEN json_type(cough) IN {_JSON_NUMBERS} THEN CAST(cough AS DOUBLE) <> 0 END, false)"
+    present = "concat_ws(',', " + ", ".join(f"CASE WHEN {_filled_sql(s)} THEN '{s}' END" for s in SECTIONS) + ")"
+    absent = "concat_ws(',', " + ", ".join(f"CASE WHEN NOT {_filled_sql(s)} THEN '{s}' END" for s in EXPECTED) + ")"
+    return CASES_SQL + f"""z AS (SELECT raw_id, case_no, o, {picked} FROM cs) SELECT raw_id, case_no, CASE WHEN (o -> 'case_id') IS NULL THEN 'unknown_case' ELSE coalesce(o ->> 'case_id', 'None') END AS case_id, {_number_sql("(o -> 'age_years')")} AS age_years,
+{_number_sql('fever_days', '0')} AS symptoms_fever_days, {flag} AS symptoms_cough, {_number_sql('crp_mg_l')} AS labs_crp_mg_l,
+{_word_sql('mycoplasma_pcr', '')} AS pathogen_mycoplasma_pcr, {_word_sql('response', '')} AS treatment_history_response, {present} AS modalities, {absent} AS missing_sections FROM z"""
+
+
 _LEADING_SQL = _RETRIEVED + f""", p AS (SELECT qid, r._ord, r.evidence_type, n.citation, n.main_findings, row_number() OVER (PARTITION BY qid, r.evidence_type ORDER BY {_case('r.quality', QUALITY_ORDER, 9)}, coalesce(r.year, 0) DESC, coalesce(r.month, 0) DESC, coalesce(r.id, ''), r._ord) AS place,
   count(*) OVER (PARTITION BY qid, r.evidence_type) AS records FROM r JOIN evidence_nodes n ON n._ord = r._ord WHERE (types IS NULL OR list_contains(types, r.evidence_type)) AND r.evidence_type IN ({', '.join(map(_quoted, EVIDENCE_ORDER))})),
 l AS (SELECT qid, evidence_type, {_case('evidence_type', EVIDENCE_ORDER, 6)} AS ord, records, list('- **' || coalesce(citation, '') || '**：' || coalesce(main_findings, '') ORDER BY place) AS lines FROM p WHERE place <= 3 GROUP BY ALL)
@@ -297,6 +315,7 @@ _STEPS_SQL = ", ".join(f"({i}, {_quoted(x)})" for i, x in enumerate(STEPS))
 
 SQL: dict[str, str] = {
     "q_normalized_cases": _normalized_sql(),
+    "q_whole_cases": _whole_cases_sql(),
     "q_payloads": _LEADING_SQL + f"""SELECT q.qid, CAST(to_json(struct_pack(question := q.text, ranked_evidence := coalesce((SELECT list(struct_pack(type := evidence_type, records := records, lines := lines) ORDER BY ord) FROM l WHERE l.qid = q.qid), []),
 pyramid_order := [{', '.join(map(_quoted, EVIDENCE_ORDER))}])) AS VARCHAR) AS payload FROM q""",
     "q_payload_rows": _PLACED_SQL + f"""SELECT p.qid, 'ranked_evidence' AS part, p.place AS position, {_json_sql(NODE_FIELDS, 'n')} AS value FROM p JOIN evidence_nodes n ON n._ord = p._ord

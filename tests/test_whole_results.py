@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+from cairn.operators.cases import exploded_cases, normalized
 from cairn.operators.graph import induced_each
 from cairn.operators.report import payload_rows, report_lines
 from cairn.operators.retrieval import NODE_FIELDS, Question, of_types, pyramid_order, question_table, retrieve
@@ -60,3 +61,17 @@ def test_summaries_hold_all_records_of_a_type(spark):
         ("guideline", 1): (2, "G4：x4；G3：x3"), ("guideline", 2): (2, "G2：x2；G1：x1"), ("guideline", 3): (1, "G0：x0"),
         ("case_report", 1): (1, "："), ("odd", 1): (1, "O：f"), (None, 1): (1, "c：f"),
     }
+
+
+def test_cases_take_leaves_from_later_elements(spark):
+    case = {
+        "symptoms": [None, {"fever_days": "x"}, {"fever_days": "6"}, {"fever_days": 7}], "labs": [{"pct_ng_ml": 2}, {"crp_mg_l": "nan"}, {"crp_mg_l": 31.5}], "vitals": [{"respiratory_distress": " "}, {"respiratory_distress": "yes"}],
+        "pathogen": [{"mycoplasma_pcr": None}, {"mycoplasma_pcr": ""}, {"mycoplasma_pcr": "Positive"}], "imaging": [{"image_features": {"multilobar": None}}, {"image_features": {"multilobar": 1}, "radiology_report": "Consolidation."}],
+        "treatment_history": [5, {"response": None}], "follow_up": [],
+    }
+    cases = exploded_cases(spark.createDataFrame([(1, json.dumps(case))], "raw_id bigint, payload string"), "raw_id", "payload")
+    r = normalized(cases).first()
+    assert (r.symptoms_fever_days, r.labs_pct_ng_ml, r.labs_crp_mg_l, r.vitals_respiratory_distress, r.pathogen_mycoplasma_pcr) == (6.0, 2.0, 31.5, True, "positive")
+    assert (r.imaging_multilobar, r.imaging_consolidation, r.treatment_history_response, r.follow_up_poor_oral_intake) == (True, True, "none", False)
+    first = normalized(cases, first_only=True).first()
+    assert (first.symptoms_fever_days, first.labs_pct_ng_ml, first.labs_crp_mg_l, first.pathogen_mycoplasma_pcr) == (0.0, 2.0, None, "none")
