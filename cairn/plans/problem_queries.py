@@ -40,6 +40,17 @@ def p2_composite(spark: SparkSession, d: str) -> DataFrame:
     return orphan_references(cases.where(~old), cases.where(old), COHORT_SITE, ["case_ord"]).select("case_ord", "reference", "null_mask")
 
 
+def p2_composite_all(spark: SparkSession, d: str) -> DataFrame:
+    """All cases whose (cohort, site), as far as it isn't null, no case admitted earlier had.
+
+    Cases of one time aren't earlier than each other. A case without a time is earlier than none and has none earlier.
+    """
+    cases = table(spark, d, "patient_cases").select("case_ord", "cohort_id", "site_code", "admitted_at")
+    # An admission counts from the next microsecond on, and never ends.
+    earlier = cases.select("cohort_id", "site_code", (F.col("admitted_at") + F.expr("INTERVAL '0.000001' SECOND")).alias("known_from"), F.lit(None).cast("timestamp_ntz").alias("known_to"))
+    return orphan_references(cases, earlier, COHORT_SITE, ["case_ord"], validity=Validity(at="admitted_at", start="known_from", end="known_to")).select("case_ord", "reference", "null_mask")
+
+
 _ORPHANS_SQL = """
 WITH r AS (
   SELECT _ord, loaded_at, 'source' AS endpoint, source AS k FROM evidence_edges WHERE source IS NOT NULL
@@ -57,6 +68,13 @@ SELECT case_ord, 'cohort_site' AS reference,
 FROM c WHERE (cohort_id IS NOT NULL OR site_code IS NOT NULL) AND NOT EXISTS (
   SELECT 1 FROM p WHERE (c.cohort_id IS NULL OR p.cohort_id = c.cohort_id) AND (c.site_code IS NULL OR p.site_code = c.site_code))
 """
+P2_COMPOSITE_ALL_SQL = """
+WITH p AS (SELECT cohort_id, site_code, min(admitted_at) AS since FROM patient_cases GROUP BY ALL)
+SELECT case_ord, 'cohort_site' AS reference,
+       CASE WHEN cohort_id IS NULL THEN '1' ELSE '0' END || CASE WHEN site_code IS NULL THEN '1' ELSE '0' END AS null_mask
+FROM patient_cases c WHERE (cohort_id IS NOT NULL OR site_code IS NOT NULL) AND NOT EXISTS (
+  SELECT 1 FROM p WHERE since < c.admitted_at AND (c.cohort_id IS NULL OR p.cohort_id = c.cohort_id) AND (c.site_code IS NULL OR p.site_code = c.site_code))
+"""
 
 # ---------------------------------------------------------------- nested records
 
@@ -186,6 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p2_composite": p2_composite,
+    "p2_composite_all": p2_composite_all,
     "p4_found": p4_found,
     **{f"p4_{name}": flat_table(name) for name in FLAT_TABLES},
     "p5_found": p5_found,
@@ -195,7 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL = {
     "p2_found": P2_FOUND_SQL,
     "p2_report": P2_REPORT_SQL,
-    "p2_composite": P2_COMPOSITE_SQL,
+    "p2_composite": P2_COMPOSITE_SQL, "p2_composite_all": P2_COMPOSITE_ALL_SQL,
     "p4_found": P4_FOUND_SQL,
     **{f"p4_{name}": _flat_sql(name) for name in FLAT_TABLES if name != "doses"},
     "p5_found": P5_FOUND_SQL,

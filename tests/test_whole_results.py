@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import functions as F
+
 from cairn.operators.cases import exploded_cases, normalized
 from cairn.operators.graph import induced_each
 from cairn.operators.report import payload_rows, report_lines
@@ -75,3 +77,15 @@ def test_cases_take_leaves_from_later_elements(spark):
     assert (r.imaging_multilobar, r.imaging_consolidation, r.treatment_history_response, r.follow_up_poor_oral_intake) == (True, True, "none", False)
     first = normalized(cases, first_only=True).first()
     assert (first.symptoms_fever_days, first.labs_pct_ng_ml, first.labs_crp_mg_l, first.pathogen_mycoplasma_pcr) == (0.0, 2.0, None, "none")
+
+
+def test_composite_references_of_all_cases(spark, tmp_path):
+    from cairn.plans.problem_queries import p2_composite_all
+
+    rows = [
+        (0, "a", "x", "2020-01-01"), (1, "a", "x", "2021-01-01"), (2, "a", "y", "2024-02-01"), (3, "a", "y", "2024-03-01"), (4, None, "y", "2024-01-01"), (5, None, "y", "2024-04-01"),
+        (6, "b", "x", None), (7, "b", "x", "2025-01-01"), (8, None, None, "2025-01-01"), (9, "a", "x", None), (10, "b", "x", "2025-01-01"), (11, "b", None, "2025-01-02"),
+    ]
+    cases = spark.createDataFrame(rows, "case_ord bigint, cohort_id string, site_code string, at string").withColumn("admitted_at", F.col("at").cast("timestamp_ntz")).drop("at")
+    cases.write.parquet(str(tmp_path / "patient_cases.parquet"))
+    assert sorted((r.case_ord, r.null_mask) for r in p2_composite_all(spark, str(tmp_path)).collect()) == [(0, "00"), (2, "00"), (4, "10"), (6, "00"), (7, "00"), (9, "00"), (10, "00")]
