@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import base64
 from bisect import bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
@@ -176,16 +177,22 @@ def packed(sizes: DataFrame, capacities: Mapping[str, int], shares: Mapping[str,
     return placed.groupBy("_block").cogroup(owed.groupBy("_of_block")).applyInPandas(fill, schema)
 
 
+def valid_packs(packs: DataFrame, name: str, capacity: str) -> DataFrame:
+    """Each named capacity of at least 1 once; rows without a name or with another capacity are no packs."""
+    return packs.where(F.col(name).isNotNull() & (F.col(capacity) >= 1)).select(F.col(name).alias("pack_name"), F.col(capacity).alias("_capacity")).distinct()
+
+
 def pack_documents(documents: DataFrame, packs: DataFrame, shares: Mapping[str, float] | None = None, tokenizer: str = TOKENIZER, name: str = "pack_name", capacity: str = "capacity_tokens", max_packs: int = 1_000, **kwargs) -> DataFrame:
-    """Tokenizes once and packs for each row of ``packs`` (parameters, at most ``max_packs``)."""
-    rows = packs.select(name, capacity).where(F.col(name).isNotNull()).limit(max_packs + 1).collect()
+    """Tokenizes once and packs for each of the ``valid_packs`` (parameters, at most ``max_packs``). A name of two capacities is an error: its containers couldn't be told apart."""
+    rows = valid_packs(packs, name, capacity).limit(max_packs + 1).collect()
     if len(rows) > max_packs:
         raise ValueError(f"more than {max_packs} packs")
+    if repeated := sorted(n for n, times in Counter(r[0] for r in rows).items() if times > 1):
+        raise ValueError(f"packs with more than one capacity: {repeated}")
     return packed(cut(token_counts(documents, tokenizer)), {r[0]: r[1] for r in rows}, shares, **kwargs)
 
 
 def containers(parts: DataFrame, packs: DataFrame, name: str = "pack_name", capacity: str = "capacity_tokens") -> DataFrame:
     """One row per container: its items and used and unused tokens."""
     by = parts.groupBy("pack_name", "container_id").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
-    caps = packs.select(F.col(name).alias("pack_name"), F.col(capacity).alias("_capacity"))
-    return by.join(caps, "pack_name").select("pack_name", "container_id", "items", "tokens", (F.col("_capacity") - F.col("tokens")).alias("unused"))
+    return by.join(valid_packs(packs, name, capacity), "pack_name").select("pack_name", "container_id", "items", "tokens", (F.col("_capacity") - F.col("tokens")).alias("unused"))
