@@ -7,7 +7,7 @@ shuffle of the corpus; what follows moves (question, record) rows with a score o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bag_score, joined_haystack, json_haystack, mixed_tokens, token_set
-from ..session import spread
+from ..session import cut, spread
 from .ranking import EVIDENCE_ORDER, pyramid_keys, ranked, type_order
 
 BLOCK = 200
@@ -59,12 +59,24 @@ def question_array(questions: Sequence[Question]) -> Column:
     ))
 
 
-def _asked(df: DataFrame, questions: Sequence[Question]) -> DataFrame:
+def title_questions(records: DataFrame, every: int = 50) -> DataFrame:
+    """Questions from records: the titles of the rows whose key ``every`` divides, a missing title as an empty text; ``qid`` is the key."""
+    return records.where(F.col("_ord") % every == 0).select(F.col("_ord").alias("qid"), F.coalesce("title", F.lit("")).alias("text"), F.lit(None).cast("array<string>").alias("types"))
+
+
+def _asked(df: DataFrame, questions: Sequence[Question] | DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
+    """Each row of ``df`` with each question as ``_q``. A table of questions has its tokens taken once and is joined in partitions, not sent whole."""
+    if isinstance(questions, DataFrame):
+        return df.crossJoin(cut(questions.select(F.struct("qid", "text", "types", tokens(F.col("text")).alias("tokens")).alias("_q"))))
+    return _listed(df, questions).withColumn("_q", F.col("_q").withField("tokens", tokens(F.col("_q.text"))))
+
+
+def _listed(df: DataFrame, questions: Sequence[Question]) -> DataFrame:
     blocks = [questions[i : i + BLOCK] for i in range(0, len(questions), BLOCK)]
     return reduce(DataFrame.unionByName, [df.withColumn("_q", F.explode(question_array(b))) for b in blocks])
 
 
-def retrieve(nodes: DataFrame, questions: Sequence[Question], fields: Sequence[str] = NODE_FIELDS) -> DataFrame:
+def retrieve(nodes: DataFrame, questions: Sequence[Question] | DataFrame, fields: Sequence[str] = NODE_FIELDS) -> DataFrame:
     """``qid``, ``types``, ``score`` and the node's ranking columns, for each question and node that it retrieves.
 
     A node's score is the number of the question's tokens, repeats counted, that occur in its JSON, keys
@@ -72,7 +84,7 @@ def retrieve(nodes: DataFrame, questions: Sequence[Question], fields: Sequence[s
     """
     kept = ["_ord", "id", "evidence_type", "quality", "year", "month"]
     scored = spread(nodes.select(*dict.fromkeys([*kept, *fields]))).select(*kept, json_haystack(fields).alias("_hay"))
-    scored = _asked(scored, questions).select("_q.qid", "_q.types", *kept, bag_score(mixed_tokens(F.col("_q.text")), F.col("_hay")).cast("bigint").alias("score"))
+    scored = _asked(scored, questions, mixed_tokens).select("_q.qid", "_q.types", *kept, bag_score(F.col("_q.tokens"), F.col("_hay")).cast("bigint").alias("score"))
     best = scored.groupBy("qid").agg(F.max("score").alias("_best")).withColumnRenamed("qid", "_qid")  # a row per question
     return scored.join(F.broadcast(best), F.col("qid") == F.col("_qid")).where((F.col("score") > 0) | (F.col("_best") == 0)).drop("_qid", "_best")
 
@@ -99,20 +111,20 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.where("score > 0").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).withColumn("place", F.col("place").cast("bigint"))
 
 
-def knowledge_top(kb: DataFrame, questions: Sequence[Question], k: int = 5) -> DataFrame:
+def knowledge_top(kb: DataFrame, questions: Sequence[Question] | DataFrame, k: int = 5) -> DataFrame:
     """Entries that share most distinct words with each question: a top-k report without a fallback."""
     tags = F.array_join(F.col("tags"), " ")
     words = token_set(joined_haystack(F.col("id"), F.col("topic"), tags, F.col("statement"), F.col("clinical_use")))
-    asked = _asked(kb.select("_ord", "id", "topic", "statement", "clinical_use", words.alias("_words")), questions)
-    return _top(asked.select("_q.qid", "_ord", "id", "topic", "statement", "clinical_use", F.size(F.array_intersect(token_set(F.col("_q.text")), "_words")).cast("bigint").alias("score")), k)
+    asked = _asked(kb.select("_ord", "id", "topic", "statement", "clinical_use", words.alias("_words")), questions, token_set)
+    return _top(asked.select("_q.qid", "_ord", "id", "topic", "statement", "clinical_use", F.size(F.array_intersect("_q.tokens", "_words")).cast("bigint").alias("score")), k)
 
 
-def knowledge_for_case(kb: DataFrame, questions: Sequence[Question], k: int = 5) -> DataFrame:
+def knowledge_for_case(kb: DataFrame, questions: Sequence[Question] | DataFrame, k: int = 5) -> DataFrame:
     """As above without the id among the words; entries of the standing topics score 1 even if they share nothing."""
     tags = F.array_join(F.col("tags"), " ")
     words = token_set(joined_haystack(F.col("topic"), tags, F.col("statement"), F.col("clinical_use")))
-    asked = _asked(kb.select("_ord", "id", "topic", words.alias("_words")), questions)
-    shared = F.size(F.array_intersect(token_set(F.col("_q.text")), "_words"))
+    asked = _asked(kb.select("_ord", "id", "topic", words.alias("_words")), questions, token_set)
+    shared = F.size(F.array_intersect("_q.tokens", "_words"))
     score = F.when((shared == 0) & F.col("topic").isin(*FLOOR_TOPICS), 1).otherwise(shared)
     return _top(asked.select("_q.qid", "_ord", "id", "topic", score.cast("bigint").alias("score")), k)
 

@@ -11,7 +11,7 @@ from ..functions.text import ASCII_TOKEN, IMAGING_PHRASES, affirmed, mixed_token
 from ..operators.cases import EXPECTED, SECTIONS, exploded_cases, normalized, structured
 from ..operators.graph import RELATIONS, REQUIRED, dangling, duplicate_ids, edges_by_relation, induced, neighbours, relation_counts, violations
 from ..operators.ranking import EVIDENCE_LABELS, EVIDENCE_ORDER, QUALITY_ORDER, first_in_pyramid, lane_positions, pyramid, type_inventory
-from ..operators.retrieval import FLOOR_TOPICS, NODE_FIELDS, NOTHING_FOUND, Question, knowledge_for_case, knowledge_text, knowledge_top, of_types, pyramid_order, question_table, retrieval_order, retrieve
+from ..operators.retrieval import FLOOR_TOPICS, NODE_FIELDS, NOTHING_FOUND, Question, knowledge_for_case, knowledge_text, knowledge_top, of_types, pyramid_order, question_table, retrieval_order, retrieve, title_questions
 from ..operators.report import EDGE_FIELDS, STEPS, STEP_OF, leading, markdown, payload, payload_rows, report_lines
 from ..operators.rules import Rule, apply_rules, at_least, below
 from ..operators.summary import HIGH_LEVEL, LOW_DOSE, highlights, support, type_summaries
@@ -71,6 +71,8 @@ r AS (SELECT * FROM s QUALIFY score > 0 OR max(score) OVER (PARTITION BY qid) =
 _KB_WORDS = "list_distinct(regexp_extract_all(lower(concat_ws(' ', {parts})), '[a-zA-Z0-9_]+'))"
 _KB_PARTS = "coalesce(topic, ''), coalesce(array_to_string(list_filter(tags, lambda x: x IS NOT NULL), ' '), ''), coalesce(statement, ''), coalesce(clinical_use, '')"
 
+_TITLES = "q AS (SELECT _ord AS qid, coalesce(title, '') AS text, NULL::VARCHAR[] AS types FROM evidence_nodes WHERE _ord % 50 = 0)"
+
 
 def _top_sql(parts: str, floor: bool) -> str:
     words = _KB_WORDS.format(parts=parts)
@@ -212,6 +214,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_neighbours": lambda s, d: neighbours(_edges(s, d), NODE_OF_INTEREST),
     "q_knowledge_top": lambda s, d: knowledge_top(_kb(s, d), QUESTIONS).select("qid", "id", "score", "place"),
     "q_knowledge_for_case": lambda s, d: knowledge_for_case(_kb(s, d), QUESTIONS).select("qid", "id", "score", "place"),
+    "q_title_retrieve": lambda s, d: retrieval_order(retrieve(_nodes(s, d), title_questions(_nodes(s, d)))).select("qid", "_ord", "score", "place"),
+    "q_title_knowledge_top": lambda s, d: knowledge_top(_kb(s, d), title_questions(_nodes(s, d))).select("qid", "id", "score", "place"),
+    "q_title_knowledge_for_case": lambda s, d: knowledge_for_case(_kb(s, d), title_questions(_nodes(s, d))).select("qid", "id", "score", "place"),
     "q_knowledge_text": lambda s, d: knowledge_text(knowledge_top(_kb(s, d), QUESTIONS), QUESTIONS),
     "q_support": lambda s, d: support(_nodes(s, d), ["year"]),
     "q_highlights": lambda s, d: highlights(_nodes(s, d)),
@@ -372,3 +377,5 @@ UNION ALL SELECT 'dangling_edge', endpoint FROM ({_DANGLING_SQL})) GROUP BY ALL"
     "q_evidence_trace": f"WITH u AS (SELECT DISTINCT unnest([{', '.join(map(_quoted, USED_IDS))}]) AS evidence_id), k AS (SELECT * FROM knowledge_base QUALIFY row_number() OVER (PARTITION BY id ORDER BY _ord DESC) = 1) SELECT evidence_id, coalesce(topic, 'not_retrieved') AS topic, coalesce(statement, '') AS statement FROM u LEFT JOIN k ON k.id = evidence_id",
     "q_plan_check": "SELECT * FROM (VALUES " + ", ".join(f"({a}::BIGINT, '{b}', '{c}')" for a, b, c in FAULTS) + ') AS v(step, "check", detail)',
 }
+# The same searches with titles as questions.
+SQL |= {f"q_title_{k}": SQL[f"q_{k}"].replace(_Q, _TITLES) for k in ("retrieve", "knowledge_top", "knowledge_for_case")}

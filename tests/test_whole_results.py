@@ -9,7 +9,7 @@ from cairn.llm.packing import containers, pack_documents
 from cairn.operators.cases import exploded_cases, normalized
 from cairn.operators.graph import induced_each
 from cairn.operators.report import payload_rows, report_lines
-from cairn.operators.retrieval import NODE_FIELDS, Question, of_types, pyramid_order, question_table, retrieve
+from cairn.operators.retrieval import NODE_FIELDS, Question, knowledge_top, of_types, pyramid_order, question_table, retrieve, title_questions
 from cairn.operators.summary import type_summaries
 from tests.test_evidence import node, nodes
 
@@ -104,3 +104,14 @@ def test_packs_of_repeated_names(spark):
     assert (row.pack_name, row.items) == ("p", 2) and row.tokens + row.unused == 100
     with pytest.raises(ValueError, match="p"):
         pack_documents(docs, packs(("p", 100), ("p", 50)))
+
+
+def test_titles_as_questions(spark):
+    n = nodes(spark, *(node(i, f"i{i}", title=f"word{i} {'x' * (i % 7)}" if i else None) for i in range(120)))
+    asked = title_questions(n)
+    given = [Question(r.qid, r.text) for r in asked.collect()]
+    assert sorted(q.qid for q in given) == [0, 50, 100] and given[0].text == ""
+    found = {(r.qid, r._ord, r.score) for r in retrieve(n, asked).collect()}
+    assert found == {(r.qid, r._ord, r.score) for r in retrieve(n, given).collect()} and len({x for x in found if x[0] == 0}) == 120
+    kb = spark.createDataFrame([(0, "K1", "t", ["word50"], "s", "u"), (1, "K2", "t", None, "word100 xx", None)], "_ord bigint, id string, topic string, tags array<string>, statement string, clinical_use string")
+    assert {(r.qid, r.id, r.score) for r in knowledge_top(kb, asked).collect()} == {(50, "K1", 1), (100, "K2", 2)}
