@@ -4,14 +4,18 @@ Canonical form. A text keeps its letters, marks and digits in order, in lower ca
 composed (NFC); everything else goes, but two digits with something between them keep one
 space. A list of fields is the sorted list of its fields' canonical forms, empty ones left out.
 
-Method. Every row's canonical form is hashed to a block of a blocked Bloom filter. Each input
-partition fills two filters, of hashes it saw and of hashes it saw again; partition
-filters are merged block by block: what two partitions both saw has been seen again.
-Only rows whose hash may be repeated are shuffled, for exact grouping on the canonical texts;
-all others are singletons where they stand. A false positive costs a shuffled row,
-never a result. The filter has ``bits_per_row`` bits a row and at most ``filter_bytes``
-in one pass; larger tables are done in as many passes by hash, so what is broadcast is
-bounded whatever the size of the table.
+Method. Canonical forms are made once and kept in the shared folder, laid out by pass: a pass is
+a range of the hash space whose filter has at most ``filter_bytes`` (``bits_per_row`` bits a row), and the
+tasks that write a pass's rows write them into that pass's files, without a shuffle. Each pass then reads only its
+own rows, twice: to fill its filter and to test it. Every input partition fills two blocked Bloom
+filters, of hashes it saw and of hashes it saw again; partition filters are merged block by
+block: what two partitions both saw has been seen again. Only rows whose hash may be repeated are
+shuffled, for exact grouping on the canonical texts; all others are singletons where they stand. A
+false positive costs a shuffled row, never a result.
+
+Passes run one after the other and each writes what it found, so at any time there is one
+broadcast, of one pass's filter of repeats, whatever the size of the table, and the plan of the result holds
+none. All rows together are written once and read twice, however many passes there are.
 
 Skew. Groups are reduced by a partial aggregate before the shuffle. Where every copy is
 wanted, copies of a group of more than ``hot_rows`` rows are spread over ``salts``
@@ -27,20 +31,23 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, spread
+from ..session import cut, shared_dir, spread
 
 FIELD_SEPARATORS = "[;|；]"
 BLOCK_WORDS = 8  # 512 bits
 PROBES = 4
+PLACE_BITS = 9 * PROBES
 SEGMENT_BLOCKS = 1024
 BITS_PER_ROW = 8
 FILTER_BYTES = 64 << 20
@@ -76,7 +83,7 @@ def canonical_rows(df: DataFrame, key: str, title: str, citation: str) -> DataFr
     return forms.select("_ord", *(F.when(whole, F.col(c)).alias(c) for c in ("_title", "_fields")), F.when(whole, F.xxhash64("_title", "_fields")).alias("_h"))
 
 
-def _fill(blocks: int):
+def _fill():
     """Filters of one input partition, as compressed segments of the two."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,18 +92,19 @@ def _fill(blocks: int):
         size = SEGMENT_BLOCKS * BLOCK_WORDS
         for batch in batches:
             block, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keys, counts = np.unique(np.stack([block, bits], axis=1), axis=0, return_counts=True)
-            segment = keys[:, 0] // SEGMENT_BLOCKS
+            keys, counts = np.unique(block << PLACE_BITS | bits, return_counts=True)
+            block, bits = keys >> PLACE_BITS, keys & (1 << PLACE_BITS) - 1
+            segment = block // SEGMENT_BLOCKS
             cuts = np.flatnonzero(np.diff(segment)) + 1
             for rows in np.split(np.arange(len(keys)), cuts) if len(keys) else []:
                 s = int(segment[rows[0]])
                 if s not in once:
                     once[s], again[s] = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-                at = keys[rows, 0] % SEGMENT_BLOCKS * BLOCK_WORDS
+                at = block[rows] % SEGMENT_BLOCKS * BLOCK_WORDS
                 seen = np.ones(len(rows), bool)
                 places = []
                 for probe in range(PROBES):
-                    bit = keys[rows, 1] >> (9 * probe) & 511
+                    bit = bits[rows] >> (9 * probe) & 511
                     word, mask = at + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64)
                     places.append((word, mask))
                     seen &= (once[s][word] & mask) != 0
@@ -135,41 +143,65 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from blocks()
 
 
-def possible_repeats(rows: DataFrame, count: int, bits_per_row: int = BITS_PER_ROW, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """``rows`` with ``_again``: false if no other row has this ``_h``, else true (rarely also without another)."""
-    passes = max(1, math.ceil(count * bits_per_row / (8 * filter_bytes)))
-    blocks = max(1, math.ceil(count * bits_per_row / passes / (64 * BLOCK_WORDS)))
-    if passes > 1:
-        rows = cut(rows)  # each pass reads them twice
+def _one_pass(rows: DataFrame, count: float, bits_per_row: int) -> DataFrame:
+    """``rows``, all with ``_h``, with ``_again``: false if no other row has this ``_h``, else true (rarely also without another)."""
+    blocks = max(1, math.ceil(count * bits_per_row / (64 * BLOCK_WORDS)))
     # The pass, the block and the places in it come from different bits of the hash.
-    placed = rows.withColumn("_pass", F.pmod(F.xxhash64("_h", F.lit(1)), F.lit(passes))).withColumn("_block", F.pmod(F.col("_h"), F.lit(blocks))).withColumn("_bits", F.xxhash64("_h", F.lit(2)).bitwiseAND((1 << 9 * PROBES) - 1))
-    filters = None
-    for p in range(passes):
-        mine = placed.where(F.col("_h").isNotNull() & (F.col("_pass") == p)).select("_block", "_bits")
-        segments = mine.mapInArrow(_fill(blocks), "segment bigint, once binary, again binary")
-        merged = segments.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, "_fblock bigint, _words array<bigint>")
-        part = placed.where(F.col("_h").isNotNull() & (F.col("_pass") == p)).join(F.broadcast(merged), F.col("_block") == F.col("_fblock"), "left")
-        set_ = [F.getbit(F.get("_words", F.shiftright(place, 6)), place.bitwiseAND(63).cast("int")) == 1 for i in range(PROBES) for place in [F.shiftright("_bits", 9 * i).bitwiseAND(511).cast("int")]]
-        test = set_[0]
-        for s in set_[1:]:
-            test = test & s
-        part = part.withColumn("_again", F.coalesce(test, F.lit(False))).select(*rows.columns, "_again")
-        filters = part if filters is None else filters.unionByName(part)
-    return filters
-
-
-def _groups(df: DataFrame, key: str, title: str, citation: str, bits_per_row: int, filter_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    rows = canonical_rows(df, key, title, citation)
-    tested = possible_repeats(rows, df.count(), bits_per_row, filter_bytes)
-    candidates = cut(tested.where("_again").drop("_again"))
-    groups = candidates.groupBy("_h", "_title", "_fields").agg(F.min("_ord").alias("_kept"), F.count("*").alias("_n"))
-    return rows, tested, candidates, groups
+    placed = rows.withColumn("_block", F.pmod(F.col("_h"), F.lit(blocks))).withColumn("_bits", F.xxhash64("_h", F.lit(2)).bitwiseAND((1 << PLACE_BITS) - 1))
+    segments = placed.select("_block", "_bits").mapInArrow(_fill(), "segment bigint, once binary, again binary")
+    merged = segments.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, "_fblock bigint, _words array<bigint>")
+    part = placed.join(F.broadcast(merged), F.col("_block") == F.col("_fblock"), "left")
+    test = F.lit(True)
+    for i in range(PROBES):
+        place = F.shiftright("_bits", 9 * i).bitwiseAND(511).cast("int")
+        test = test & (F.getbit(F.get("_words", F.shiftright(place, 6)), place.bitwiseAND(63).cast("int")) == 1)
+    return part.select(*rows.columns, F.coalesce(test, F.lit(False)).alias("_again"))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def possible_repeats(rows: DataFrame, count: int, bits_per_row: int = BITS_PER_ROW, filter_bytes: int = FILTER_BYTES, singles: bool = True) -> DataFrame:
+    """``rows`` with ``_again``, in the shared folder: false if no other row has this ``_h`` (or it is null), else true.
+
+    Rows that aren't ``_again`` keep their ``_ord`` only, or are left out if not ``singles``. ``count`` is the number of rows.
+    """
+
+    def kept(tested: DataFrame) -> DataFrame:
+        if not singles:
+            return tested.where("_again")
+        return tested.select("_ord", *(F.when(F.col("_again"), F.col(c)).alias(c) for c in rows.columns if c != "_ord"), "_again")
+
+    passes = max(1, math.ceil(count * bits_per_row / (8 * filter_bytes)))
+    if passes == 1:
+        rows = cut(rows)
+        tested = cut(kept(_one_pass(rows.where(F.col("_h").isNotNull()), count, bits_per_row)))
+        return tested.unionByName(rows.where(F.col("_h").isNull()).withColumn("_again", F.lit(False))) if singles else tested
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/passes-{uuid.uuid4().hex}"
+    try:
+        # a row without a hash is in no pass
+        laid = rows.withColumn("_pass", F.when(F.col("_h").isNotNull(), F.pmod(F.xxhash64("_h", F.lit(1)), F.lit(passes))).otherwise(-1).cast("int"))
+        laid.write.partitionBy("_pass").parquet(folder)
+        at = spark.read.schema(laid.schema).parquet(folder)
+        parts = [cut(kept(_one_pass(at.where(F.col("_pass") == p).select(*rows.columns), count / passes, bits_per_row))) for p in range(passes)]
+        if singles:
+            parts.append(cut(kept(at.where(F.col("_pass") == -1).select(*rows.columns).withColumn("_again", F.lit(False)))))
+    finally:
+        _remove(spark, folder)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _groups(candidates: DataFrame) -> DataFrame:
+    return candidates.groupBy("_h", "_title", "_fields").agg(F.min("_ord").alias("_kept"), F.count("*").alias("_n"))
 
 
 def copies(df: DataFrame, key: str = "_ord", title: str = "title", citation: str = "citation", bits_per_row: int = BITS_PER_ROW, filter_bytes: int = FILTER_BYTES, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
     """Each group's kept row with each other row: ``kept_ord``, ``copy_ord``."""
-    _, _, candidates, groups = _groups(df, key, title, citation, bits_per_row, filter_bytes)
-    groups = cut(groups.where("_n > 1"))
+    candidates = possible_repeats(canonical_rows(df, key, title, citation), df.count(), bits_per_row, filter_bytes, singles=False).drop("_again")
+    groups = cut(_groups(candidates).where("_n > 1"))
     hot = groups.where(F.col("_n") > hot_rows).select(F.col("_h").alias("_hot")).distinct()
     salted = candidates.join(F.broadcast(hot), F.col("_h") == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("_ord"), F.lit(salts))).otherwise(0).cast("int")).drop("_hot")
     # a hash shared by a hot and another group is salted on both sides
@@ -181,8 +213,6 @@ def copies(df: DataFrame, key: str = "_ord", title: str = "title", citation: str
 
 def collapsed(df: DataFrame, key: str = "_ord", title: str = "title", citation: str = "citation", bits_per_row: int = BITS_PER_ROW, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """One row per record: ``kept_ord`` and ``copies`` (1 for a singleton). The singletons aren't shuffled."""
-    rows, tested, _, groups = _groups(df, key, title, citation, bits_per_row, filter_bytes)
-    one = F.lit(1).cast("bigint").alias("copies")
-    single = tested.where(~F.col("_again")).select(F.col("_ord").alias("kept_ord"), one)
-    without = rows.where(F.col("_h").isNull()).select(F.col("_ord").alias("kept_ord"), one)
-    return single.unionByName(without).unionByName(groups.select(F.col("_kept").alias("kept_ord"), F.col("_n").alias("copies")))
+    tested = possible_repeats(canonical_rows(df, key, title, citation), df.count(), bits_per_row, filter_bytes)
+    single = tested.where(~F.col("_again")).select(F.col("_ord").alias("kept_ord"), F.lit(1).cast("bigint").alias("copies"))
+    return single.unionByName(_groups(tested.where("_again")).select(F.col("_kept").alias("kept_ord"), F.col("_n").alias("copies")))

@@ -90,3 +90,33 @@ def test_canonical_form(spark):
     texts = ["", " ", "a", "1 2", "12", "a 1b", "1.2.3", "x y  z 9 9", "ÀB", "ÀB", "١ ٢"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", canonical(composed(F.col("t"))).alias("c"))
     assert {r.t: r.c for r in df.collect()} == {t: form(t) for t in texts}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_passes_read_their_own_rows_once_each(spark):
+    rows = [(i, f"title {i % 700}", "a;b") for i in range(1000)] + [(5000, None, "a"), (5001, "x", ";")]
+    df = frame(spark, rows).repartition(3)
+    read = []
+
+    def run(**kwargs):
+        made = copies(df, **kwargs)
+        read.append(plan_of(made))
+        return sorted(map(tuple, made.collect()))
+
+    assert run(filter_bytes=300) == run() == pairs(rows)
+    # the filters of the passes are gone: what the result joins are the list of hot groups, on both sides
+    assert all(p.count("BroadcastExchange") <= 2 for p in read) and "passes-" not in read[0]
+    found = {r.kept_ord: r.copies for r in collapsed(df, filter_bytes=300).collect()}
+    assert found == {r.kept_ord: r.copies for r in collapsed(df).collect()} and sum(found.values()) == len(rows)
+
+
+def test_passes_test_each_row_once(spark):
+    rows = spark.range(4000).selectExpr("id AS _ord", "xxhash64(id % 3000) AS _h", "'t' AS _title", "'f' AS _fields")
+    got = possible_repeats(rows, 4000, filter_bytes=1500)
+    flags = got.select("_ord", "_again", "_title").collect()
+    assert len(flags) == 4000 and sum(r._again for r in flags) < 2400
+    assert {r._ord for r in flags if r._again} >= {*range(1000), *range(3000, 4000)}
+    assert all((r._title is None) == (not r._again) for r in flags)
