@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import math
 import unicodedata
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -39,10 +38,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir, spread
+from ..session import cut, spread
+from .shared import new_folder, remove
 
 FIELD_SEPARATORS = "[;|；]"
 BLOCK_WORDS = 8  # 512 bits
@@ -158,11 +158,6 @@ def _one_pass(rows: DataFrame, count: float, bits_per_row: int) -> DataFrame:
     return part.select(*rows.columns, F.coalesce(test, F.lit(False)).alias("_again"))
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def possible_repeats(rows: DataFrame, count: int, bits_per_row: int = BITS_PER_ROW, filter_bytes: int = FILTER_BYTES, singles: bool = True) -> DataFrame:
     """``rows`` with ``_again``, in the shared folder: false if no other row has this ``_h`` (or it is null), else true.
 
@@ -180,7 +175,7 @@ def possible_repeats(rows: DataFrame, count: int, bits_per_row: int = BITS_PER_R
         tested = cut(kept(_one_pass(rows.where(F.col("_h").isNotNull()), count, bits_per_row)))
         return tested.unionByName(rows.where(F.col("_h").isNull()).withColumn("_again", F.lit(False))) if singles else tested
     spark = rows.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/passes-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "passes")
     try:
         # a row without a hash is in no pass
         laid = rows.withColumn("_pass", F.when(F.col("_h").isNotNull(), F.pmod(F.xxhash64("_h", F.lit(1)), F.lit(passes))).otherwise(-1).cast("int"))
@@ -190,7 +185,7 @@ def possible_repeats(rows: DataFrame, count: int, bits_per_row: int = BITS_PER_R
         if singles:
             parts.append(cut(kept(at.where(F.col("_pass") == -1).select(*rows.columns).withColumn("_again", F.lit(False)))))
     finally:
-        _remove(spark, folder)
+        remove(spark, folder)
     return reduce(DataFrame.unionByName, parts)
 
 

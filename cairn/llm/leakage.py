@@ -3,13 +3,18 @@
 Each task turns its documents into words, packs them into shards of a bounded number
 of words (a longer document is a shard by itself), builds the suffix array of each
 shard and binary-searches every suffix of every evaluation item in it. A suffix that
-occurs with at least ``min_words`` words is extended to its longest verbatim match at
+occurs with at least ``min_words`` words is followed to its longest verbatim match at
 every place where it occurs; a document is reported once per item with the longest.
 
 The corpus is read once, isn't shuffled, and no task holds more than one shard. The
-items are a stated query set: they go to the tasks in blocks of at most ``block_words``
-words, one pass over the corpus per block, so what is broadcast is bounded whatever
-their number. Only the matches leave a task.
+items are a stated query set of any size: they become words in tasks and lie in the shared folder,
+from where each shard, once built, is searched with one block of them after the other. Neither
+the driver nor a plan holds items, and a task holds one block. Only the matches leave a task.
+
+Longest matches. Places that match one after the other, in document and item alike, are one match: its
+length is their number and ``min_words`` - 1 more. So matches of any length cost a sort of the
+places, not a comparison per word. Where an item repeats a run of ``min_words`` words, places could multiply; there
+the longest match of item and document is found by comparing ranks of runs of doubling length.
 
 Defined results: null and empty texts and items hold nothing; an item of fewer than
 ``min_words`` words can't leak; equal items are reported each, as are equal documents;
@@ -20,7 +25,6 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
+from .shared import batches as stored_batches
+from .shared import stored
 from .wikitext import page_words, plain_words
 
 MIN_WORDS = 12
 SHARD_WORDS = 1_000_000
 BLOCK_WORDS = 1_000_000
+BLOCK_ITEMS = 10_000
+OPEN_PLACES = 4_000_000
+_CHUNK = 1 << 16
 _SCHEMA = "doc_id bigint, item_id bigint, matched_words int, doc_word bigint, item_word int"
 
 
@@ -76,6 +85,45 @@ def _bound(text: np.ndarray, order: np.ndarray, wanted: np.ndarray, upper: bool)
     return low
 
 
+def longest_common(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """(length, place in a, place in b) of the longest common run; of several the first in ``a``, then in ``b``.
+
+    Runs of 1, 2, 4 ... get ranks, equal for equal runs; two ranks compare runs of any length.
+    """
+    text = np.concatenate([a, [-1], b, [-2]])
+    edge, n = len(a) + 1, len(text)
+    ranks = [np.unique(text, return_inverse=True)[1].astype(np.int64)]
+    while 2 << len(ranks) - 1 <= min(len(a), len(b)):
+        r, half = ranks[-1], 1 << len(ranks) - 1
+        ranks.append(np.unique(r[: len(r) - half] * n + r[half:], return_inverse=True)[1].astype(np.int64))
+
+    def common(length: int) -> tuple[int, int] | None:
+        k = length.bit_length() - 1
+        r, shift = ranks[k], length - (1 << k)
+        key = r[: n - length + 1] * n + r[shift : shift + n - length + 1]
+        left, right = key[: len(a) - length + 1], key[edge : edge + len(b) - length + 1]
+        at = np.flatnonzero(np.isin(left, right))
+        return (int(at[0]), int(np.flatnonzero(right == left[at[0]])[0])) if len(at) else None
+
+    low, best, high = 0, (0, 0), min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if found := common(mid):
+            low, best = mid, found
+        else:
+            high = mid - 1
+    return low, *best
+
+
+class Items:
+    """A block of items: their words as numbers into a list of distinct words, and where each item begins."""
+
+    def __init__(self, ids: list[int | None], lists: pa.ListArray) -> None:
+        words = lists.flatten().dictionary_encode()
+        self.ids, self.words, self.flat = ids, words.dictionary.to_pylist(), words.indices.to_numpy()
+        self.starts = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+
+
 class Shard:
     """Words of whole documents, numbered by a dictionary of its own; 0 ends a stream."""
 
@@ -84,6 +132,7 @@ class Shard:
         self.ids = array("i")
         self.starts: list[int] = []
         self.docs: list[int] = []
+        self.text: np.ndarray | None = None
 
     def add(self, doc: int, parts: list[list[str]]) -> None:
         self.starts.append(len(self.ids))
@@ -93,63 +142,103 @@ class Shard:
             self.ids.extend([numbers.setdefault(w, len(numbers) + 1) for w in part])
             self.ids.append(0)
 
-    def matches(self, items: list[tuple[int, list[str]]], min_words: int) -> list[tuple[int, int, int, int, int]]:
+    def build(self, min_words: int) -> None:
+        n = len(self.ids)
+        self.text = np.zeros(n + min_words, np.int32)
+        self.text[:n] = np.frombuffer(self.ids, np.int32)
+        self.order = suffix_array(self.text[:n], min_words)
+        self.ends = np.r_[self.starts, n]
+
+    def matches(self, items: Items, min_words: int) -> list[tuple[int, int, int, int, int]]:
         """(doc, item, words, place in the doc, place in the item) of each pair's longest match."""
-        if not self.ids:
+        if not len(self.ids) or len(items.flat) < min_words:
             return []
-        find, longest = self.numbers.get, 0
-        owner, begin, rest, suffixes = [], [], [], []
-        for k, (_, item) in enumerate(items):
-            coded = np.array([find(w, -1) for w in item], np.int32)
-            usable = len(coded) - min_words + 1
-            if usable <= 0:
-                continue
-            known = np.lib.stride_tricks.sliding_window_view(coded > 0, min_words).all(axis=1)
-            for j in np.flatnonzero(known):
-                owner.append(k)
-                begin.append(j)
-                suffixes.append(coded[j:])
-                longest = max(longest, len(coded) - j)
-        if not suffixes:
+        if self.text is None:
+            self.build(min_words)
+        find = self.numbers.get
+        coded = np.array([find(w, -1) for w in items.words], np.int32)[items.flat]
+        of = np.repeat(np.arange(len(items.ids)), np.diff(items.starts))
+        known = np.r_[0, np.cumsum(coded > 0)]
+        begins = np.flatnonzero((known[min_words:] - known[:-min_words] == min_words) & (of[: len(of) - min_words + 1] == of[min_words - 1 :]))
+        low, high = np.empty(len(begins), np.int64), np.empty(len(begins), np.int64)
+        across = np.arange(min_words)
+        for c in range(0, len(begins), _CHUNK):
+            head = coded[begins[c : c + _CHUNK, None] + across]
+            low[c : c + _CHUNK] = _bound(self.text, self.order, head, False)
+            high[c : c + _CHUNK] = _bound(self.text, self.order, head, True)
+        occurs = high > low
+        begins, low, high = begins[occurs], low[occurs], high[occurs]
+        if not len(begins):
             return []
-        n = len(self.ids)
-        text = np.zeros(n + longest, np.int32)
-        text[:n] = np.frombuffer(self.ids, np.int32)
-        order = suffix_array(text[:n], longest)
-        query = np.full((len(suffixes), longest), -2, np.int32)
-        for row, s in zip(query, suffixes):
-            row[: len(s)] = s
-        head = np.ascontiguousarray(query[:, :min_words])
-        low, high = _bound(text, order, head, False), _bound(text, order, head, True)
+        # A head that an item repeats is looked up once; its pairs are marked.
+        key = of[begins] * (len(self.order) + 1) + low
+        _, first, times = np.unique(key, return_index=True, return_counts=True)
+        begins, low, high = begins[first], low[first], high[first]
+        ends = np.cumsum(high - low)
+        starts = np.flatnonzero(np.r_[True, np.diff(of[begins]) > 0])  # of each item that occurs
+        stops = np.r_[starts[1:], len(begins)]
+        out: list[tuple[int, int, int, int, int]] = []
+        k = 0
+        while k < len(starts):  # whole items, as many as have OPEN_PLACES places, but one at least
+            before = ends[starts[k] - 1] if starts[k] else 0
+            to = max(k + 1, int(np.searchsorted(ends[stops - 1], before + OPEN_PLACES, side="right")))
+            part = slice(starts[k], stops[to - 1])
+            out += self._followed(items, begins[part], low[part], high[part], times[part] > 1, of, coded, min_words)
+            k = to
+        return out
+
+    def _followed(self, items: Items, begins: np.ndarray, low: np.ndarray, high: np.ndarray, repeated: np.ndarray, of: np.ndarray, coded: np.ndarray, min_words: int) -> list[tuple[int, int, int, int, int]]:
         hits = high - low
-        if not hits.any():
-            return []
-        which = np.repeat(np.arange(len(suffixes)), hits)
-        place = order[np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(low, hits)]
-        length = np.full(len(which), min_words)
-        alive = np.arange(len(which))
-        for step in range(min_words, longest):
-            alive = alive[text[place[alive] + step] == query[which[alive], step]]
-            if not len(alive):
-                break
-            length[alive] = step + 1
-        starts = np.array(self.starts)
-        doc = np.searchsorted(starts, place, side="right") - 1
-        item = np.array(owner)[which]
-        at, of = place - starts[doc], np.array(begin)[which]
-        best = np.lexsort((of, at, -length, item, doc))
-        first = np.ones(len(best), bool)
-        first[1:] = (doc[best][1:] != doc[best][:-1]) | (item[best][1:] != item[best][:-1])
-        return [(self.docs[doc[i]], items[item[i]][0], int(length[i]), int(at[i]), int(of[i])) for i in best[first]]
-
-
-def _searcher(items: list[tuple[int, list[str]]], min_words: int, shard_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        which = np.repeat(np.arange(len(begins)), hits)
+        place = self.order[np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(low, hits)]
+        doc = np.searchsorted(self.ends, place, side="right") - 1
+        pair = of[begins][which] * len(self.docs) + doc
+        pairs, pair = np.unique(pair, return_inverse=True)
+        marked = np.zeros(len(pairs), bool)
+        marked[pair[repeated[which]]] = True
+        plain = ~marked[pair]
+        pair, place, begin = pair[plain], place[plain], begins[which[plain]]
+        out = []
+        if len(pair):
+            order = np.lexsort((begin, place - begin, pair))
+            pair, place, begin = pair[order], place[order], begin[order]
+            new = np.r_[True, (pair[1:] != pair[:-1]) | (place[1:] != place[:-1] + 1) | (begin[1:] != begin[:-1] + 1)]
+            runs = np.flatnonzero(new)
+            length = np.diff(np.r_[runs, len(pair)]) + min_words - 1
+            pair, place, begin = pair[runs], place[runs], begin[runs]
+            order = np.lexsort((begin, place, -length, pair))
+            best = order[np.r_[True, pair[order][1:] != pair[order][:-1]]]
+            for i in best:
+                item, d = divmod(int(pairs[pair[i]]), len(self.docs))
+                out.append((self.docs[d], items.ids[item], int(length[i]), int(place[i] - self.ends[d]), int(begin[i] - items.starts[item])))
+        for p in np.flatnonzero(marked):
+            item, d = divmod(int(pairs[p]), len(self.docs))
+            # 0, the end of a stream, and -1, a word that the shard lacks, never agree
+            length, at, begin = longest_common(self.text[self.ends[d] : self.ends[d + 1]], np.where(coded[items.starts[item] : items.starts[item + 1]] < 0, -3, coded[items.starts[item] : items.starts[item + 1]]))
+            out.append((self.docs[d], items.ids[item], length, at, begin))
+        return out
+
+
+def _item_blocks(folder: str, block_words: int) -> Iterator[Items]:
+    """The stored items in blocks of about ``block_words`` words; a longer item is a block by itself."""
+    for batch in stored_batches(folder, BLOCK_ITEMS):
+        ids, lists = batch.column(0).to_pylist(), batch.column(1)
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        at = 0
+        while at < len(ids):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block_words, side="right")))
+            yield Items(ids[at:to], lists[at:to])
+            at = to
+
+
+def _searcher(folder: str, min_words: int, shard_words: int, block_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(shard: Shard) -> Iterator[pa.RecordBatch]:
-            if found := shard.matches(items, min_words):
-                columns = list(zip(*found))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "matched_words", "doc_word", "item_word"])
+            for block in _item_blocks(folder, block_words) if len(shard.ids) else ():
+                if found := shard.matches(block, min_words):
+                    columns = list(zip(*found))
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "matched_words", "doc_word", "item_word"])
 
         shard = Shard()
         for batch in batches:
@@ -164,19 +253,17 @@ def _searcher(items: list[tuple[int, list[str]]], min_words: int, shard_words: i
     return search
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, min_words: int, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
-    block, size = [], 0
-    for row in items.select(item_id, text).where(F.col(text).isNotNull()).toLocalIterator():
-        w = plain_words(row[1])
-        if len(w) < min_words:
-            continue
-        if block and size + len(w) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row[0], w))
-        size += len(w)
-    if block:
-        yield block
+def item_words(items: DataFrame, item_id: str, text: str, min_words: int) -> DataFrame:
+    """``item_id`` and ``words`` of the items that can leak."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [plain_words(t.as_py()) for t in batch.column(1)]
+            some = pa.array([len(w) >= min_words for w in lists], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), pa.array(lists, pa.list_(pa.string())).filter(some)], names=["item_id", "words"])
+
+    rows = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    return rows.mapInArrow(split, "item_id bigint, words array<string>")
 
 
 def leaked_items(
@@ -189,11 +276,8 @@ def leaked_items(
     ``item_word`` (where it begins, in words).
     """
     corpus = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
-    corpus = spread(corpus)
-    passes = [corpus.mapInArrow(_searcher(block, min_words, shard_words), _SCHEMA) for block in _blocks(items, item_id, item_text, min_words, block_words)]
-    if not passes:
-        return corpus.select("doc_id").mapInArrow(lambda batches: iter(()), _SCHEMA)
-    return reduce(DataFrame.unionByName, passes)
+    folder = stored(item_words(items, item_id, item_text, min_words), "items")
+    return spread(corpus).mapInArrow(_searcher(folder, min_words, shard_words, block_words), _SCHEMA)
 
 
 def without_leaks(documents: DataFrame, leaks: DataFrame, doc_id: str = "doc_id") -> DataFrame:

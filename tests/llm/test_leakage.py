@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from cairn.llm.leakage import leaked_items, suffix_array, without_leaks
+from cairn.llm.leakage import Items, Shard, leaked_items, longest_common, suffix_array, without_leaks
 from cairn.llm.wikitext import page_words, plain_words
 
 DOCS = "doc_id bigint, text string, item_id string, lang string"
@@ -87,3 +87,70 @@ def test_long_document_and_hot_passage(spark):
     docs = [(i, passage, "", "") for i in range(300)] + [(999, "z " * 30000 + passage, "", "")]
     got = leaked_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, passage, 0), (2, passage, 0)], ITEMS), shard_words=5000).collect()
     assert len(got) == 602 and all(r.matched_words == 14 for r in got)
+
+
+def longest_slow(a, b):
+    best = (0, 0, 0)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if n > best[0]:
+                best = (n, i, j)
+    return best
+
+
+def test_longest_common():
+    rnd = np.random.default_rng(4)
+    for size in (1, 2, 5, 20, 60):
+        for _ in range(20):
+            a, b = rnd.integers(0, 3, rnd.integers(1, size + 1)), rnd.integers(0, 3, size)
+            assert longest_common(a, b) == longest_slow(a.tolist(), b.tolist())
+
+
+def test_long_items_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(2)
+    item = [f"w{i}" for i in rnd.integers(0, 50_000, 100_000)]
+    shard = Shard()
+    shard.add(1, [["x", "y"] * 50, item, ["z"]])
+    shard.add(2, [item[500:530]])
+    tracemalloc.start()
+    got = shard.matches(Items([7], pa.array([item])), 12)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert sorted(got) == [(1, 7, 100_000, 101, 0), (2, 7, 30, 0, 500)]
+
+
+def test_an_item_of_one_word_repeated():
+    import pyarrow as pa
+
+    shard = Shard()
+    shard.add(1, [["z"] * 20_000])
+    shard.add(2, [["z"] * 11, ["z"] * 13])
+    assert sorted(shard.matches(Items([7, 8], pa.array([["z"] * 5_000, ["z"] * 12])), 12)) == [(1, 7, 5_000, 0, 0), (1, 8, 12, 0, 0), (2, 7, 13, 12, 0), (2, 8, 12, 12, 0)]
+
+
+def test_many_places_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    import cairn.llm.leakage as module
+
+    monkeypatch.setattr(module, "OPEN_PLACES", 5)
+    rnd = np.random.default_rng(1)
+    items = [[f"v{k}" for k in rnd.integers(0, 4, 12)] for _ in range(6)]
+    shard = Shard()
+    for d in range(40):
+        shard.add(d, [[f"v{k}" for k in rnd.integers(0, 4, 25)]])
+    want = {}
+    for d in range(40):
+        words = {v: k for k, v in shard.numbers.items()}
+        doc = [words.get(i) for i in shard.ids[d * 26 : d * 26 + 25]]
+        for i, item in enumerate(items):
+            if (best := longest_slow(doc, item))[0] >= 4:
+                want[d, i] = best
+    assert {(r[0], r[1]): r[2:] for r in shard.matches(Items(list(range(6)), pa.array(items)), 4)} == want

@@ -3,6 +3,10 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 import cairn.llm.term_counts as term_counts_module
 from cairn.llm.term_counts import term_counts
 
@@ -43,17 +47,34 @@ def test_long_list_and_empty_tables(spark):
     assert run(spark, lists) == brute(lists)
 
 
-def test_arrays_over_many_ranges(monkeypatch):
-    import numpy as np
-    import pyarrow as pa
+def test_small_blocks(spark, monkeypatch):
+    rnd = random.Random(5)
+    lists = [[f"t{rnd.randrange(400)}" for _ in range(rnd.randrange(9))] for _ in range(600)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(lists[a : a + 50])], names=["t"]) for a in range(0, 600, 50)]
+    monkeypatch.setattr(term_counts_module, "BLOCK_TERMS", 100)
+    table = pa.Table.from_batches(term_counts_module._counted(iter(batches)))
+    assert table.num_rows > 400  # several blocks, each with its own entries
+    got = {r["term"]: (r["occurrences_sum"], r["records_sum"]) for r in table.group_by("term").aggregate([("occurrences", "sum"), ("records", "sum")]).to_pylist()}
+    assert got == {t: (o, r) for t, (o, r, _) in brute(lists).items()}
+    assert list(term_counts_module._counted(iter(()))) == []
+
 
+@pytest.mark.parametrize("held", [100, 10_000])
+def test_arrays_over_many_ranges_stay_small(monkeypatch, held):
     monkeypatch.setattr(term_counts_module, "RANGE", 8)
-    monkeypatch.setattr(term_counts_module, "OPEN_RANGES", 2)
+    monkeypatch.setattr(term_counts_module, "HELD_COUNTS", held)
     rnd = np.random.default_rng(0)
-    ids = rnd.integers(0, 100, 500)
-    batches = [pa.RecordBatch.from_arrays([pa.array(ids[a : a + 100]), pa.array(np.ones(100, int)), pa.array(np.full(100, 2))], names=["id", "o", "r"]) for a in range(0, 500, 100)]
-    partial = pa.Table.from_batches(term_counts_module._accumulate(iter(batches))).sort_by("range").to_batches()
-    out = pa.Table.from_batches(term_counts_module._sum(iter(partial))).to_pydict()
+    ids = rnd.integers(0, 20_000, 30_000)  # 2,500 ranges
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[a : a + 100]), pa.array(np.ones(100, int)), pa.array(np.full(100, 2))], names=["id", "o", "r"]) for a in range(0, len(ids), 100)]
+    arrays = pa.Table.from_batches(term_counts_module._accumulate(iter(batches)))
+    assert arrays.nbytes < 2.5 * sum(b.nbytes for b in batches)
+    out = pa.Table.from_batches(term_counts_module._sum(iter(arrays.sort_by("range").to_batches()))).to_pydict()
     want = Counter(ids.tolist())
     assert dict(zip(out["id"], out["occurrences"])) == want
     assert dict(zip(out["id"], out["records"])) == {k: 2 * v for k, v in want.items()}
+
+
+def test_identifiers_past_many_ranges_of_the_real_size():
+    ids = np.random.default_rng(1).integers(0, 100_000_000, 200_000)  # 1,526 ranges
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.ones(len(ids), int)), pa.array(np.ones(len(ids), int))], names=["id", "o", "r"])
+    assert pa.Table.from_batches(term_counts_module._accumulate(iter([batch]))).nbytes < 2 * batch.nbytes
