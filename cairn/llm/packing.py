@@ -1,24 +1,26 @@
 """Packing texts into containers of a fixed number of tokens, mixed as wanted.
 
 Sizes are tokens of a public tokenizer, whose ranks file is a parameter. Items never
-split unless one alone exceeds the capacity: such an item gives full containers of its own and a
-rest that is packed like any item.
-
-Method. Items go to blocks of bounded size by a hash of their key. A block fills its
-containers one after the other by deficit round-robin over the sources' queues: with each
-container a source earns its share of the capacity, the source with the largest deficit that has
-an item that still fits gives its largest such item and pays its tokens. What a source is
-owed or has overdrawn is carried to the next container and, as all of a block's items are
-packed, known for each block before it is packed: the deficits of earlier blocks are running sums of
-(share x block's tokens - source's tokens in it), computed from one row per block and source. So
-blocks are packed in parallel with the deficits they would have one after the other.
-When a queue runs out the others fill its place, and its deficit remains on record.
-
-Only sizes are shuffled, never texts. A block has at most about ``BLOCK_TOKENS`` tokens and
-``BLOCK_ITEMS`` items, whatever share of the items one source holds.
-
-Defined results: null and empty texts are items of 0 tokens in their block's first container; a null
-source is a queue of its own; equal keys are separate items; capacities that are null or
+split unless one alone exceeds the capacity: such an item gives pieces that fill a container each and a
+rest, and all of them wait in its source's queue like any item.
+
+Method. Deficit round-robin over the sources' queues: with each container a source earns its rate of the capacity,
+the source with the largest deficit that has an item that still fits gives its largest such item and pays its
+tokens; what a source is owed or has overdrawn is carried to the next container.
+
+Over partitions the accounts are carried by position. All sources together give a line of tokens, on
+which each source advances at its share of every stretch; when a queue runs out the others go on in proportion to their
+shares, sources without a share last. An item lies where its source's tokens before it (a running sum in the order
+of a hash of the key, range-partitioned, so that a source of any size is spread) put it on that line. The line
+is cut into blocks of bounded size, which are packed in parallel. A source in arrears at the end of a block has
+so much more in the next one: within a block a source's rate is its part of the block's tokens, so that arrears are
+paid over the block and not by a run of containers of one source, and all queues of a block end together.
+
+Only sizes are shuffled, never texts. A block has about ``BLOCK_TOKENS`` tokens and
+``BLOCK_ITEMS`` items at most, whatever share of the items one source or key holds.
+
+Defined results: null and empty texts are items of 0 tokens in a block's first container; a null
+source is a queue of its own; equal and null keys are separate items; capacities that are null or
 below 1 are left out, equal capacities under two names are packed for each; an empty table
 gives no rows. Shares default to the sources' shares of all tokens; sources without a
 share only fill what others leave.
@@ -27,13 +29,15 @@ share only fill what others leave.
 from __future__ import annotations
 
 import base64
+import math
 from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, spread
@@ -43,6 +47,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_TOKENS = 4_000_000
 BLOCK_ITEMS = 200_000
+MIXTURE_WINDOW = 100
+_FEW_SOURCES = 32
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -91,79 +97,161 @@ class Queue:
         return size, item
 
 
+class Accounts:
+    """Deficits of the sources of a block."""
+
+    def __init__(self, names: list[str], shares: Mapping[str, float], owed: Mapping[str, float], queues: Mapping[str, Queue]) -> None:
+        self.queues = [queues[s] for s in names]
+        self.shares = [shares.get(s, 0.0) for s in names]
+        self.deficit = [owed.get(s, 0.0) for s in names]
+        self.many = len(names) > _FEW_SOURCES
+        if self.many:
+            self.shares, self.deficit = np.array(self.shares), np.array(self.deficit)
+        self.least = [q.sizes[0] for q in self.queues]
+        if self.many:
+            self.least = np.array(self.least, float)
+
+    def earn(self, capacity: int) -> None:
+        """A container's worth for the sources that have items, in proportion to their shares."""
+        if self.many:
+            earning = np.where(np.isfinite(self.least), self.shares, 0.0)
+            self.deficit += earning * (capacity / (earning.sum() or 1.0))
+            return
+        whole = sum(x for x, n in zip(self.shares, self.least) if n != math.inf) or 1.0
+        for i, n in enumerate(self.least):
+            if n != math.inf:
+                self.deficit[i] += self.shares[i] * capacity / whole
+
+    def next(self, room: int) -> int:
+        """The source with the largest deficit that has an item for ``room``, -1 if there is none."""
+        if self.many:
+            able = np.where(self.least <= room, self.deficit, -np.inf)
+            i = int(able.argmax())
+            return i if able[i] > -np.inf else -1
+        best = -1
+        for i, n in enumerate(self.least):
+            if n <= room and (best < 0 or self.deficit[i] > self.deficit[best]):
+                best = i
+        return best
+
+    def take(self, i: int, room: int) -> tuple[int, tuple[int, int]]:
+        q = self.queues[i]
+        size, item = q.take(room)
+        self.deficit[i] -= size
+        self.least[i] = q.sizes[0] if q.sizes else math.inf
+        return size, item
+
+
 def pack_block(items: list[tuple[int, str, int]], capacity: int, shares: Mapping[str, float], owed: Mapping[str, float]) -> Iterator[tuple[int, int, int, int]]:
-    """(container, item, part, tokens) of one block; ``items`` are (item, source, tokens) and ``owed`` the deficits carried in."""
+    """(container, item, part, tokens) of one block; ``items`` are (item, source, tokens), ``shares`` the rates and ``owed`` the deficits at its beginning."""
     queues: dict[str, Queue] = {}
-    full: dict[str, int] = {}  # containers that oversized items fill by themselves
-    container = 0
-    empty = []
     for item, source, tokens in items:
         if tokens == 0:
-            empty.append(item)
+            yield 0, item, 0, 0
             continue
-        part = 0
+        part, q = 0, queues.setdefault(source, Queue())
         while tokens > capacity:
-            yield container, item, part, capacity
-            container, part, tokens = container + 1, part + 1, tokens - capacity
-            full[source] = full.get(source, 0) + 1
-        queues.setdefault(source, Queue()).put(tokens, (item, part))
-    for item in empty:
-        yield 0, item, 0, 0
+            q.put(capacity, (item, part))
+            part, tokens = part + 1, tokens - capacity
+        q.put(tokens, (item, part))
+    if not queues:
+        return
     for q in queues.values():
         q.ready()
-    # Full containers count as containers: all sources earned their share of them, one paid.
-    deficit = {s: owed.get(s, 0.0) + (shares.get(s, 0.0) * container - full.get(s, 0)) * capacity for s in queues}
-    order = sorted(queues)
-    while any(q.sizes for q in queues.values()):
+    accounts, container = Accounts(sorted(queues), shares, owed, queues), 0
+    while accounts.next(capacity) >= 0:
         room = capacity
-        for s in order:
-            deficit[s] += shares.get(s, 0.0) * capacity
-        while True:
-            able = [s for s in order if queues[s].fits(room)]
-            if not able:
-                break
-            s = max(able, key=deficit.__getitem__)
-            size, (item, part) = queues[s].take(room)
-            deficit[s] -= size
+        accounts.earn(capacity)
+        while (i := accounts.next(room)) >= 0:
+            size, (item, part) = accounts.take(i, room)
             room -= size
             yield container, item, part, size
         container += 1
 
 
-def packed(sizes: DataFrame, capacities: Mapping[str, int], shares: Mapping[str, float] | None = None, block_tokens: int = BLOCK_TOKENS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def stretches(totals: Mapping[str, int], shares: Mapping[str, float], block: float) -> tuple[dict[str, list[tuple[float, float, int, float]]], int]:
+    """How the sources with a share advance on the line of all tokens, and the number of blocks that it has.
+
+    Per source rows (from, to, first block, blocks per token): its tokens from ``from`` to ``to`` lie in blocks
+    ``first + (x - from) * rate``. A stretch ends, and with it a block, where a queue runs out.
+    """
+    left = {s: float(totals.get(s, 0)) for s in shares if shares[s] > 0 and totals.get(s, 0) > 0}
+    at = dict.fromkeys(left, 0.0)
+    rows: dict[str, list[tuple[float, float, int, float]]] = {s: [] for s in left}
+    first = 0
+    while left:
+        whole = sum(shares[s] for s in left)
+        length = min(n * whole / shares[s] for s, n in left.items())
+        blocks = max(1, math.ceil(length / block))
+        for s in list(left):
+            given = length * shares[s] / whole
+            last = left[s] - given < 0.5
+            rows[s].append((at[s], math.inf if last else at[s] + given, first, blocks / max(given, 1.0)))
+            at[s], left[s] = at[s] + given, left[s] - given
+            if last:
+                del left[s]
+        first += blocks
+    return rows, first
+
+
+def _positions(sizes: DataFrame, partitions: int) -> DataFrame:
+    """``sizes`` with ``_x``, the tokens of its queue before an item, and ``_whole``, all tokens of the queue.
+
+    A distributed running sum: ranges of (queue, hash) are summed in themselves and shifted by what is before them.
+    """
+    keys = ["_queue", "_order", "_tie"]
+    placed = cut(sizes.repartitionByRange(partitions, *keys).withColumn("_seg", F.spark_partition_id()))
+    sums = placed.groupBy("_queue", "_seg").agg(F.sum("tokens").alias("_n"))  # a row per range and queue in it
+    queue = Window.partitionBy("_queue")
+    past = queue.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_queue", "_seg", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_shift"), F.sum("_n").over(queue).alias("_whole"))
+    inside = Window.partitionBy("_queue", "_seg").orderBy("_order", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn("_in", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(sums, ["_queue", "_seg"]).withColumn("_x", F.col("_shift") + F.col("_in"))
+
+
+def _natural(first: int, blocks: int) -> Column:
+    return F.lit(first) + F.least(F.floor(F.col("_x") * blocks / F.greatest("_whole", F.lit(1))), F.lit(blocks - 1))
+
+
+def packed(sizes: DataFrame, capacities: Mapping[str, int], shares: Mapping[str, float] | None = None, block_tokens: int = BLOCK_TOKENS, block_items: int = BLOCK_ITEMS, partitions: int | None = None) -> DataFrame:
     """One row per item part and pack: ``pack_name``, ``container_id``, ``doc_id``, ``part_no``, ``source``, ``tokens``.
 
-    ``sizes`` has ``doc_id``, ``source``, ``tokens`` and is read twice: cut it before. ``container_id`` is unique within its pack.
+    ``sizes`` has ``doc_id``, ``source``, ``tokens`` and is read twice: cut it before. ``container_id`` is unique within its pack;
+    containers are filled in the order of their ids.
     """
     schema = "pack_name string, container_id bigint, doc_id bigint, part_no int, source string, tokens bigint"
     packs = {str(n): int(c) for n, c in capacities.items() if c is not None and c >= 1}
-    n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    blocks = max(1, -(-total // block_tokens), -(-n // block_items))
     queue = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))  # a null source is told from every name
-    placed = sizes.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("_nameless"), "source", queue.alias("_queue"), "tokens", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("_block"))
-    given = placed.groupBy("_block", "_queue").agg(F.sum("tokens").alias("_given"))
+    # Equal and null keys are spread by the place of their row.
+    row = F.xxhash64(F.monotonically_increasing_id())
+    sizes = sizes.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("_nameless"), "source", queue.alias("_queue"), "tokens", F.xxhash64("doc_id").alias("_order"), row.alias("_tie"))
+    by_queue = sizes.groupBy("_queue").agg(F.count("*").alias("_items"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("_tokens"))
+    n, total, crowded = by_queue.agg(F.coalesce(F.sum("_items"), F.lit(0)), F.coalesce(F.sum("_tokens"), F.lit(0)), F.max(F.col("_items") / F.greatest("_tokens", F.lit(1)))).first()
+    placed = _positions(sizes, partitions or int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(1, -(-total // block_tokens), -(-n // block_items))
     if shares is None:
-        of = given.groupBy("_queue").agg((F.sum("_given") / F.lit(max(1, total))).alias("_share"))
+        place = _natural(0, blocks)
     else:
-        whole = sum(shares.values()) or 1
-        rows = [("n" if s is None else "s" + s, float(w) / whole) for s, w in shares.items()]
-        of = sizes.sparkSession.createDataFrame(rows, "_queue string, _share double")
-    # Running sums before each block: one row a block, and one row a block and source.
-    past = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    of_block = given.groupBy("_block").agg(F.sum("_given").alias("_all")).select(F.col("_block").alias("_b"), F.coalesce(F.sum("_all").over(past), F.lit(0)).alias("_before"))
-    of_queue = given.withColumn("_paid", F.coalesce(F.sum("_given").over(Window.partitionBy("_queue").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    owed = of_queue.join(of_block, F.col("_block") == F.col("_b")).join(of, "_queue", "left").select(
-        F.col("_block").alias("_of_block"), F.col("_queue").alias("_of"), F.coalesce("_share", F.lit(0.0)).alias("_share"), (F.coalesce("_share", F.lit(0.0)) * F.col("_before") - F.col("_paid")).alias("_owed")
-    )
-
-    def fill(key: tuple, items: pd.DataFrame, accounts: pd.DataFrame) -> pd.DataFrame:
+        named = {"n" if s is None else "s" + s: float(w) for s, w in shares.items() if w > 0}
+        totals = {r[0]: r[1] for r in by_queue.where(F.col("_queue").isin(*named)).select("_queue", "_tokens").collect()}  # at most a row per share
+        blocks = max(blocks, math.ceil(total * crowded / block_items)) if n else 1
+        rows, first = stretches(totals, named, max(1.0, total / blocks))
+        rest = max(1, math.ceil((total - sum(totals.values())) / max(1.0, total / blocks)))
+        line = sizes.sparkSession.createDataFrame(list(rows.items()), "_named string, _line array<struct<a:double,b:double,first:int,rate:double>>")
+        placed = placed.join(F.broadcast(line), F.col("_queue") == F.col("_named"), "left")
+        here = F.get(F.filter("_line", lambda e: F.col("_x") < e["b"]), 0)
+        place = F.when(F.col("_line").isNull(), _natural(first, rest)).otherwise(here["first"] + F.greatest(F.floor((F.col("_x") - here["a"]) * here["rate"]), F.lit(0)))
+        blocks = first + rest
+    # Items without tokens go anywhere.
+    placed = placed.select("doc_id", "_nameless", "source", "_queue", "tokens", F.when(F.col("tokens") > 0, place).otherwise(F.pmod("_tie", F.lit(blocks))).cast("bigint").alias("_block"))
+
+    def fill(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["doc_id", "tokens"], kind="stable")
         rows = list(zip(range(len(items)), items["_queue"], items["tokens"].tolist()))
-        share = dict(zip(accounts["_of"], accounts["_share"]))
-        carried = dict(zip(accounts["_of"], accounts["_owed"]))
+        rates = (items.groupby("_queue")["tokens"].sum() / max(1, int(items["tokens"].sum()))).to_dict()
         parts = []
         for name, capacity in packs.items():
-            out = pd.DataFrame(pack_block(rows, capacity, share, carried), columns=["container_id", "row", "part_no", "tokens"])
+            out = pd.DataFrame(pack_block(rows, capacity, rates, {}), columns=["container_id", "row", "part_no", "tokens"])
             out["pack_name"] = name
             parts.append(out)
         out = pd.concat(parts) if parts else pd.DataFrame(columns=["container_id", "row", "part_no", "tokens", "pack_name"])
@@ -174,7 +262,7 @@ def packed(sizes: DataFrame, capacities: Mapping[str, int], shares: Mapping[str,
         out["source"] = items["source"].to_numpy()[at]
         return out[["pack_name", "container_id", "doc_id", "part_no", "source", "tokens"]]
 
-    return placed.groupBy("_block").cogroup(owed.groupBy("_of_block")).applyInPandas(fill, schema)
+    return placed.groupBy("_block").applyInPandas(fill, schema)
 
 
 def valid_packs(packs: DataFrame, name: str, capacity: str) -> DataFrame:
@@ -196,3 +284,28 @@ def containers(parts: DataFrame, packs: DataFrame, name: str = "pack_name", capa
     """One row per container: its items and used and unused tokens."""
     by = parts.groupBy("pack_name", "container_id").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
     return by.join(valid_packs(packs, name, capacity), "pack_name").select("pack_name", "container_id", "items", "tokens", (F.col("_capacity") - F.col("tokens")).alias("unused"))
+
+
+def mixture(parts: DataFrame, window: int = MIXTURE_WINDOW) -> DataFrame:
+    """How the mixture of each ``window`` containers in a row differs from that of the whole pack.
+
+    ``pack_name``, ``window_no`` from 0, ``containers``, ``tokens`` and ``deviation``: half the sum of the absolute differences
+    of the sources' shares, 0 if they are the same. A pack's last window is shorter. Containers are counted by block first, so
+    that a pack isn't numbered in one task.
+    """
+    block, nth = F.shiftright("container_id", 32).alias("_block"), F.col("container_id").bitwiseAND((1 << 32) - 1).alias("_nth")
+    queue = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_queue")
+    each = parts.groupBy("pack_name", block, nth, queue).agg(F.sum("tokens").alias("tokens"))
+    counts = each.groupBy("pack_name", "_block").agg((F.max("_nth") + 1).alias("_containers"))  # containers of a block are dense
+    past = Window.partitionBy("pack_name").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("pack_name", "_block", F.coalesce(F.sum("_containers").over(past), F.lit(0)).alias("_before"))
+    numbered = each.join(before, ["pack_name", "_block"]).select("pack_name", (F.col("_before") + F.col("_nth")).alias("_no"), "_queue", "tokens")
+    by = numbered.groupBy("pack_name", F.floor(F.col("_no") / window).alias("window_no"), "_queue").agg(F.sum("tokens").alias("_tokens"), F.max("_no").alias("_last"))
+    whole = each.groupBy("pack_name", "_queue").agg(F.sum("tokens").alias("_given"))
+    whole = whole.withColumn("_target", F.col("_given") / F.greatest(F.sum("_given").over(Window.partitionBy("pack_name")), F.lit(1)))
+    sums = by.groupBy("pack_name", "window_no").agg(F.sum("_tokens").alias("_all"), F.max("_last").alias("_end"))
+    shared = by.join(sums, ["pack_name", "window_no"]).join(whole, ["pack_name", "_queue"])
+    share = F.col("_tokens") / F.greatest("_all", F.lit(1))
+    # sources that a window lacks differ by their whole target
+    out = shared.groupBy("pack_name", "window_no").agg(F.first("_all").alias("tokens"), F.max("_end").alias("_end"), (F.sum(F.abs(share - F.col("_target"))) + 1 - F.sum("_target")).alias("_d"))
+    return out.select("pack_name", "window_no", (F.col("_end") + 1 - F.col("window_no") * window).cast("bigint").alias("containers"), "tokens", F.greatest(F.col("_d") / 2, F.lit(0.0)).alias("deviation"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .formatting_duplicates import collapsed, copies
 from .leakage import leaked_items, without_leaks
-from .packing import containers, pack_documents
+from .packing import containers, mixture, pack_documents
 from .subjects import subject_areas
 from .term_counts import term_counts
 
@@ -79,6 +79,23 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return by.agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), (F.sum("unused") / (F.sum("tokens") + F.sum("unused"))).alias("unused_share"))
 
 
+def p6_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How far each 100 containers in a row are from the mixture of all."""
+    return mixture(p6_assigned(spark, d))
+
+
+def p6_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity: the documents assigned, the containers that hold too much, and the documents split although they fit."""
+    parts, packs = p6_assigned(spark, d), _table(spark, d, "pack_capacity")
+    over = containers(parts, packs).groupBy("pack_name").agg(F.count_if(F.col("unused") < 0).alias("overfull"))
+    whole = parts.groupBy("pack_name", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("parts"))
+    needed = F.greatest(F.ceil(F.col("tokens") / F.col("capacity_tokens")), F.lit(1))
+    kept = whole.join(packs, "pack_name").groupBy("pack_name").agg(F.count("*").alias("documents"), F.count_if(F.col("parts") != needed).alias("wrongly_split"))
+    return kept.join(over, "pack_name").select("pack_name", "documents", "overfull", "wrongly_split")
+
+
+P6_KEPT_SQL = "SELECT pack_name, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0 AS overfull, 0 AS wrongly_split FROM pack_capacity"
+
 # ---------------------------------------------------------------- leaked evaluation items
 
 
@@ -114,10 +131,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_terms": p3_terms,
     "p6_assigned": p6_assigned,
     "p6_fill": p6_fill,
+    "p6_mixture": p6_mixture,
+    "p6_kept": p6_kept,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p7_clean": p7_clean,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
 }
-SQL: dict[str, str] = {"p1_found": P1_FOUND_SQL, "p1_records": P1_RECORDS_SQL, "p3_found": P3_FOUND_SQL, "p3_terms": P3_TERMS_SQL}
+SQL: dict[str, str] = {"p1_found": P1_FOUND_SQL, "p1_records": P1_RECORDS_SQL, "p3_found": P3_FOUND_SQL, "p3_terms": P3_TERMS_SQL, "p6_kept": P6_KEPT_SQL}

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from cairn.llm.packing import TOKENIZER, Queue, containers, pack_block, pack_documents, packed, token_counts
+from cairn.llm.packing import TOKENIZER, Queue, containers, mixture, pack_block, pack_documents, packed, stretches, token_counts
 
 SCHEMA = "doc_id bigint, source string, tokens bigint"
 
@@ -107,3 +107,78 @@ def test_queue_order():
     q.ready()
     assert [q.take(9), q.take(4), q.take(9)] == [(5, (0, 0)), (3, (2, 0)), (5, (1, 0))]
     assert not q.fits(9)
+
+
+def worst(parts, of, window=100):
+    """The largest deviation of a whole window from the target, over windows that begin before any source of it runs out."""
+    ids = {c: i for i, c in enumerate(sorted({p.container_id for p in parts}))}
+    by = defaultdict(lambda: defaultdict(int))
+    for p in parts:
+        by[ids[p.container_id] // window][p.source] += p.tokens
+    out = []
+    for w, given in by.items():
+        if (w + 1) * window <= len(ids):
+            whole = sum(given.values())
+            out.append(sum(abs(given.get(s, 0) / whole - x) for s, x in of.items()) / 2)
+    return out
+
+
+def test_oversized_items_keep_the_mixture(spark):
+    rnd = random.Random(9)
+    names = ["a"] * 10 + ["b"] * 5 + ["c"] * 4 + [None]
+    sizes = [(i, rnd.choice(names), int(rnd.paretovariate(0.9) * 150) % 40_000) for i in range(6000)]
+    total, of = sum(n for *_, n in sizes), defaultdict(int)
+    for _, s, n in sizes:
+        of[s] += n / total
+    df = spark.createDataFrame(sizes, SCHEMA)
+    for block in (4_000_000, 500_000):
+        parts = packed(df, {"p": 1024}, block_tokens=block).collect()
+        checked(parts, sizes, {"p": 1024})
+        found = worst(parts, of)
+        assert len(found) > 20 and max(found) < 0.03 + 40_000 / block  # a block's mixture is off by an item's pieces at most
+        got = {r.window_no: r for r in mixture(spark.createDataFrame(parts)).collect()}
+        assert [round(got[w].deviation, 9) for w in range(len(found))] == [round(x, 9) for x in found]
+        assert sum(r.tokens for r in got.values()) == total and all(got[w].containers == 100 for w in range(len(found)))
+
+
+def test_given_shares_hold_until_a_queue_is_empty(spark):
+    rnd = random.Random(3)
+    sizes = [(i, "ab"[i % 2], rnd.randrange(20, 400)) for i in range(6000)] + [(9000 + i, "other", 50) for i in range(300)]
+    parts = packed(spark.createDataFrame(sizes, SCHEMA), {"p": 500}, {"a": 4, "b": 1}, block_tokens=100_000).collect()
+    checked(parts, sizes, {"p": 500})
+    order = sorted({p.container_id for p in parts})
+    by = defaultdict(lambda: defaultdict(int))
+    for p in parts:
+        by[p.container_id][p.source] += p.tokens
+    last = max(i for i, c in enumerate(order) if by[c]["a"])
+    for at in range(0, last - 100, 100):
+        given = [sum(by[c][s] for c in order[at : at + 100]) for s in ("a", "b", "other")]
+        assert abs(given[0] / sum(given) - 0.8) < 0.05 and given[2] == 0
+
+
+def test_stretches():
+    rows, blocks = stretches({"a": 300, "b": 300, "c": 0}, {"a": 3, "b": 1, "c": 1, "d": 2}, 100)
+    assert set(rows) == {"a", "b"} and blocks == 6
+    assert [r[2] for r in rows["a"]] == [0] and [r[2] for r in rows["b"]] == [0, 4] and rows["b"][0][1] == 100
+    assert stretches({}, {"a": 1}, 10) == ({}, 0)
+
+
+def test_null_and_equal_keys_are_spread_over_blocks(spark):
+    sizes = [(None, "a", 10)] * 900 + [(5, "a", 10)] * 900 + [(i, None, 0) for i in range(300)]
+    parts = packed(spark.createDataFrame(sizes, SCHEMA), {"p": 100}, block_tokens=1000, block_items=200).collect()
+    items = defaultdict(int)
+    for p in parts:
+        items[p.container_id >> 32] += 1
+    assert len(items) >= 11 and max(items.values()) <= 300 and sum(items.values()) == len(sizes)
+    assert sum(p.doc_id is None for p in parts) == 900
+
+
+def test_many_sources():
+    items = [(i, f"s{i % 500}", 1 + i % 7) for i in range(5000)]
+    rates = {f"s{k}": 1 / 500 for k in range(500)}
+    rows = list(pack_block(items, 64, rates, {}))
+    assert sorted(r[1] for r in rows) == list(range(5000)) and sum(r[3] for r in rows) == sum(n for *_, n in items)
+    used = defaultdict(int)
+    for c, _, _, n in rows:
+        used[c] += n
+    assert max(used.values()) <= 64 and len(used) <= sum(n for *_, n in items) / 64 * 1.02 + 1
