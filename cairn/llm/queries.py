@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .formatting_duplicates import collapsed, copies
 from .leakage import leaked_items, without_leaks
 from .packing import containers, mixture, pack_documents
-from .subjects import subject_areas
+from .subjects import held_out, subject_areas
 from .term_counts import term_counts
 
 
@@ -115,8 +115,11 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- subject areas
 
 
+PAGE_METADATA = ("page_title", "ns_code")  # these tables have no addresses
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return subject_areas(_table(spark, d, "documents"), _table(spark, d, "subject_examples"))
+    return subject_areas(_table(spark, d, "documents"), _table(spark, d, "subject_examples"), about=PAGE_METADATA)
 
 
 def p8_composition(spark: SparkSession, d: str) -> DataFrame:
@@ -124,6 +127,11 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("subject").agg(F.count("*").alias("pages"))
 
 
+def p8_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """How excerpts that the fit didn't see are classified."""
+    return held_out(_table(spark, d, "documents"), _table(spark, d, "subject_examples"), about=PAGE_METADATA)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_records": p1_records,
@@ -138,5 +146,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_clean": p7_clean,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
+    "p8_held_out": p8_held_out,
 }
 SQL: dict[str, str] = {"p1_found": P1_FOUND_SQL, "p1_records": P1_RECORDS_SQL, "p3_found": P3_FOUND_SQL, "p3_terms": P3_TERMS_SQL, "p6_kept": P6_KEPT_SQL}
