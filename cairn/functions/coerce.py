@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 _NUMBER = r"^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|inf(?:inity)?|nan)\s*$"
 
 
+# Texts that affirm.
+AFFIRMING = ["1", "true", "yes", "y", "positive", "present"]
+
+
 def kind(v: Column) -> Column:
     """``STRING``, ``BOOLEAN``, ``BIGINT``, ``DOUBLE``, ``DECIMAL(..)``, ``VOID`` (JSON null), ``ARRAY..``, ``OBJECT..`` or null if absent."""
     return F.schema_of_variant(v)
@@ -41,7 +45,7 @@ def as_number(v: Column, default: float | None = None) -> Column:
 def as_flag(v: Column) -> Column:
     """Booleans, numbers other than 0 and the affirming words; all else is false."""
     k = kind(v)
-    word = F.lower(F.trim(text_of(v))).isin("1", "true", "yes", "y", "positive", "present")
+    word = F.lower(F.trim(text_of(v))).isin(*AFFIRMING)
     flag = (
         F.when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
         .when(k == "STRING", word)

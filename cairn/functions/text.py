@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 MIXED_TOKEN = "[a-zA-Z0-9]+|[\\u4e00-\\u9fff]+"
 ASCII_TOKEN = "[a-zA-Z0-9_]+"
 
+# Words that negate what follows them in a sentence.
+NEGATIONS = ["no", "without", "absent", "negative for"]
+
 # Phrases that name an imaging finding in a report.
 IMAGING_PHRASES = {
     "consolidation": ["consolidation", "infiltration", "opacity"],
@@ -55,7 +59,7 @@ def affirmed(text: Column, phrases: Sequence[str]) -> Column:
     cancels all mentions of that phrase. False for null.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
-    one = [F.contains(low, F.lit(p)) & ~low.rlike(rf"(?U)\b(?:no|without|absent|negative for)\b[^.]*\b{p}\b") for p in phrases]
+    one = [F.contains(low, F.lit(p)) & ~low.rlike(rf"(?U)\b(?:{'|'.join(NEGATIONS)})\b[^.]*\b{re.escape(p)}\b") for p in phrases]
     return reduce(lambda a, b: a | b, one)
 
 

@@ -18,7 +18,7 @@ Defined results: null groups are neither filled nor donate; a null entity
 counts as its own case, different from all others; a null sort key sorts first
 and gives a null distance; ties in the sort key are ordered by the row key; of two
 donors at the same distance the earlier one is taken, of which one with unknown
-distance only if there is no other. NaN and values out of range are missing. An
+distance only if there is no other. NaN and values out of range are missing, and of a categorical field blank texts and values outside its list. An
 empty table gives an empty result. Nothing is filled when the group has no usable
 value of another entity.
 """
@@ -42,6 +42,7 @@ class Usable:
     low: float
     high: float
     low_open: bool = False
+    kind = "double"
 
     def value(self) -> Column:
         v = F.col(self.path).cast("double")
@@ -49,6 +50,19 @@ class Usable:
         return F.when(v.isNotNull() & ~F.isnan(v) & above & (v <= self.high), v)
 
 
+@dataclass(frozen=True)
+class Category:
+    """A categorical field: a text in lower case without spaces around it, one of ``values`` if they are given."""
+
+    path: str
+    values: tuple[str, ...] | None = None
+    kind = "string"
+
+    def value(self) -> Column:
+        v = F.lower(F.trim(F.col(self.path).cast("string")))
+        return F.when((v != "") if self.values is None else v.isin(*self.values), v)
+
+
 def _two(d: DataFrame, side: str, part: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Adds, from the rows before each row: ``{side}1``, the last donor, ``{side}2``, the last one of another entity than that.
 
@@ -71,15 +85,16 @@ def _carried(ends: DataFrame, near: str, other: str, side: str, forward: bool) -
     return line.where("_pos = 0").select("_group", "field_name", "_seg", f"{side}1", f"{side}2")
 
 
-def hot_deck(df: DataFrame, key: str, group: str, entity: str, fields: Mapping[str, Usable], sort: Sequence[str], partitions: int | None = None) -> DataFrame:
+def hot_deck(df: DataFrame, key: str, group: str, entity: str, fields: Mapping[str, Usable | Category], sort: Sequence[str], partitions: int | None = None) -> DataFrame:
     """One row per filled value.
 
-    Columns: ``key``, ``field_name``, ``filled`` (the value), ``donor`` (key of
+    Columns: ``key``, ``field_name``, ``filled`` (the value; a text if there are categorical fields), ``donor`` (key of
     the donor row), ``side`` (``previous`` or ``next``), ``distance`` (difference
     of the first sort column, in seconds for timestamps).
     """
     kind = dict(df.dtypes)[sort[0]]
     number = F.unix_micros(F.col(sort[0]).cast("timestamp")) / F.lit(1e6) if kind.startswith(("timestamp", "date")) else F.col(sort[0]).cast("double")
+    values = "string" if any(u.kind == "string" for u in fields.values()) else "double"
     narrow = df.where(F.col(group).isNotNull()).select(
         F.col(key).alias("_key"),
         F.col(group).alias("_group"),
@@ -87,7 +102,7 @@ def hot_deck(df: DataFrame, key: str, group: str, entity: str, fields: Mapping[s
         F.coalesce(F.concat(F.lit("e"), F.col(entity).cast("string")), F.concat(F.lit("r"), F.col(key).cast("string"))).alias("_entity"),
         number.alias("_at"),
         *(F.col(c).alias(f"_s{i}") for i, c in enumerate(sort)),
-        *(u.value().alias(f"_v{i}") for i, u in enumerate(fields.values())),
+        *(u.value().cast(values).alias(f"_v{i}") for i, u in enumerate(fields.values())),
     )
     order = [*(f"_s{i}" for i in range(len(sort))), "_key"]
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -134,9 +149,9 @@ def hot_deck(df: DataFrame, key: str, group: str, entity: str, fields: Mapping[s
     return chosen.select(key, "field_name", F.col("_c.v").alias("filled"), F.col("_c.key").alias("donor"), "side", F.abs(F.col("_at") - F.col("_c.at")).alias("distance"))
 
 
-def fill_table(df: DataFrame, fills: DataFrame, key: str, fields: Mapping[str, Usable], keep: Sequence[str] = ()) -> DataFrame:
+def fill_table(df: DataFrame, fills: DataFrame, key: str, fields: Mapping[str, Usable | Category], keep: Sequence[str] = ()) -> DataFrame:
     """The table with its gaps filled: ``key``, ``keep``, and for each field its value (usable or filled) and ``<field>_filled``."""
-    wide = fills.groupBy(key).agg(*(F.max(F.when(F.col("field_name") == f, F.col("filled"))).alias(f"_f_{f}") for f in fields))
+    wide = fills.groupBy(key).agg(*(F.max(F.when(F.col("field_name") == f, F.col("filled"))).cast(u.kind).alias(f"_f_{f}") for f, u in fields.items()))
     rows = df.select(key, *keep, *(u.value().alias(f"_u_{f}") for f, u in fields.items()))
     return rows.join(wide, key, "left").select(
         key, *keep, *(c for f in fields for c in (F.coalesce(F.col(f"_u_{f}"), F.col(f"_f_{f}")).alias(f), (F.col(f"_u_{f}").isNull() & F.col(f"_f_{f}").isNotNull()).alias(f"{f}_filled")))

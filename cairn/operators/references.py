@@ -128,7 +128,26 @@ def orphan_references(child: DataFrame, parent: DataFrame, references: Sequence[
     return reduce(DataFrame.unionByName, parts)
 
 
-def orphan_report(orphans: DataFrame, table: str, at: str, period: str = "month") -> DataFrame:
-    """Orphans counted by table, reference and period of ``at``; rows without a time count under a null period."""
+def orphan_causes(orphans: DataFrame, parent: DataFrame, references: Sequence[Reference], validity: Validity) -> DataFrame:
+    """``orphans`` with their ``cause``; they must have kept the references' columns and the time.
+
+    ``missing``: no parent row has the key; ``late``: the first that has it counts only after the reference's time; ``deleted``:
+    a parent counted before and has ended. A reference without a time is ``untimed``. For whole references (no null in them)
+    to the same parent columns; others have no cause.
+    """
+    if len({r.parent_columns for r in references}) != 1:
+        raise ValueError("causes are told for references to the same parent columns")
+    keys = [f"_k{i}" for i in range(len(references[0].parent_columns))]
+    whole = reduce(lambda a, b: a | b, [(F.col("reference") == r.name) & (F.col("null_mask") == "0" * len(keys)) for r in references])
+    named = orphans.withColumns({k: F.when(whole, F.coalesce(*(F.when(F.col("reference") == r.name, F.col(r.columns[i])) for r in references))) for i, k in enumerate(keys)})
+    known = parent.where(F.col(validity.start).isNotNull()).groupBy(*(F.col(c).alias(f"_p{k}") for c, k in zip(references[0].parent_columns, keys))).agg(F.min(validity.start).alias("_first"))
+    joined = named.join(cut(known), reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_p{k}") for k in keys]), "left")
+    at = F.col(validity.at)
+    cause = F.when(F.col(keys[0]).isNull(), None).when(F.col("_first").isNull(), "missing").when(at.isNull(), "untimed").when(F.col("_first") > at, "late").otherwise("deleted")
+    return joined.select(*orphans.columns, cause.alias("cause"))
+
+
+def orphan_report(orphans: DataFrame, table: str, at: str, period: str = "month", by: Sequence[str] = ()) -> DataFrame:
+    """Orphans counted by table, reference, period of ``at`` and the columns ``by``; rows without a time count under a null period."""
     when = F.date_format(F.date_trunc(period, F.col(at)), {"year": "yyyy", "month": "yyyy-MM"}.get(period, "yyyy-MM-dd"))
-    return orphans.groupBy(F.lit(table).alias("table_name"), F.col("reference"), when.alias("period")).agg(F.count("*").alias("orphans"))
+    return orphans.groupBy(F.lit(table).alias("table_name"), F.col("reference"), when.alias("period"), *by).agg(F.count("*").alias("orphans"))

@@ -26,6 +26,7 @@ NODE_FIELDS = [
 ]
 # Topics that always count as relevant to a case.
 FLOOR_TOPICS = ["diagnosis", "severity", "treatment", "follow_up"]
+# Fixed value: the text of a question without entries.
 NOTHING_FOUND = "No relevant evidence found in the local pediatric MPP knowledge base."
 
 

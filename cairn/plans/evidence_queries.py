@@ -120,7 +120,7 @@ def _rules_sql() -> str:
 
 # ---------------------------------------------------------------- a workflow with faults
 
-_STEP = {"id": 1, "layer": "input", "tool": [1], "action_type": "quantitative", "action": "a", "input_type": [0], "output_type": "t", "output_path": "p"}
+_STEP = {"id": 1, "layer": "input", "tool": [1], "action_type": "quantitative", "action": "a", "input_type": [0], "output_type": "t", "output_path": "p", "proposal_task": "x"}
 FAULTY_PLAN = [
     _STEP,
     _STEP | {"id": 3},

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.hotdeck import Usable, fill_table, hot_deck
-from ..operators.references import Reference, Validity, orphan_references, orphan_report
+from ..operators.hotdeck import Category, Usable, fill_table, hot_deck
+from ..operators.references import Reference, Validity, orphan_causes, orphan_references, orphan_report
 from ..operators.shredding import leaf_rows, reconstruct, shred
 from ..sources.tables import table
 
@@ -30,6 +30,12 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_edge_orphans(spark, d, ("loaded_at",)), "evidence_edges", "loaded_at").withColumnRenamed("reference", "endpoint")
 
 
+def p2_causes(spark: SparkSession, d: str) -> DataFrame:
+    """The report with the references told apart: to records that are missing, deleted or late."""
+    orphans = orphan_causes(_edge_orphans(spark, d, ("loaded_at", "source", "target")), table(spark, d, "evidence_nodes"), EDGE_REFERENCES, NODE_LIFE)
+    return orphan_report(orphans, "evidence_edges", "loaded_at", by=["cause"]).withColumnRenamed("reference", "endpoint")
+
+
 COHORT_SITE = [Reference("cohort_site", ("cohort_id", "site_code"), ("cohort_id", "site_code"), match="partial")]
 
 
@@ -60,6 +66,10 @@ o AS (SELECT * FROM r WHERE NOT EXISTS (
 """
 P2_FOUND_SQL = _ORPHANS_SQL + "SELECT _ord AS edge_ord, endpoint FROM o"
 P2_REPORT_SQL = _ORPHANS_SQL + "SELECT 'evidence_edges' AS table_name, endpoint, strftime(loaded_at, '%Y-%m') AS period, count(*) AS orphans FROM o GROUP BY ALL"
+P2_CAUSES_SQL = _ORPHANS_SQL + """, f AS (SELECT id, min(loaded_at) AS first FROM evidence_nodes WHERE id IS NOT NULL AND loaded_at IS NOT NULL GROUP BY 1)
+SELECT 'evidence_edges' AS table_name, endpoint, strftime(loaded_at, '%Y-%m') AS period,
+  CASE WHEN first IS NULL THEN 'missing' WHEN loaded_at IS NULL THEN 'untimed' WHEN first > loaded_at THEN 'late' ELSE 'deleted' END AS cause, count(*) AS orphans
+FROM o LEFT JOIN f ON f.id = o.k GROUP BY ALL"""
 P2_COMPOSITE_SQL = """
 WITH c AS (SELECT * FROM patient_cases WHERE admitted_at >= TIMESTAMP '2024-01-01'),
      p AS (SELECT DISTINCT cohort_id, site_code FROM patient_cases WHERE admitted_at < TIMESTAMP '2024-01-01')
@@ -165,6 +175,18 @@ def p5_donors(spark: SparkSession, d: str) -> DataFrame:
     return _fills(spark, d)
 
 
+# An unknown resistance, no response and an empty text aren't values.
+CATEGORY_FIELDS = {
+    "sex": Category("sex", ("female", "male")),
+    "macrolide_resistance": Category("pathogen.macrolide_resistance", ("resistant", "sensitive")),
+    "response": Category("treatment_history.response", ("good", "partial", "poor")),
+}
+
+
+def p5_categorical(spark: SparkSession, d: str) -> DataFrame:
+    return hot_deck(table(spark, d, "patient_cases"), "case_ord", "cohort_id", "case_id", CATEGORY_FIELDS, ["admitted_at"])
+
+
 def p5_filled(spark: SparkSession, d: str) -> DataFrame:
     return fill_table(table(spark, d, "patient_cases"), _fills(spark, d), "case_ord", FILLED_FIELDS, ["cohort_id"])
 
@@ -179,7 +201,10 @@ P5_FOUND_SQL = _USABLE_SQL + """
 , g AS (SELECT cohort_id, field_name, min(case_id) AS a, max(case_id) AS b FROM v WHERE v IS NOT NULL GROUP BY ALL)
 SELECT v.case_ord, v.field_name FROM v JOIN g USING (cohort_id, field_name) WHERE v.v IS NULL AND (g.a <> v.case_id OR g.b <> v.case_id)
 """
-P5_DONORS_SQL = _USABLE_SQL + """
+_CATEGORIES_SQL = "WITH v AS (" + " UNION ALL ".join(
+    f"SELECT case_ord, cohort_id, case_id, admitted_at, '{f}' AS field_name, CASE WHEN lower(trim({c.path})) IN ({', '.join(repr(x) for x in c.values)}) THEN lower(trim({c.path})) END AS v FROM patient_cases" for f, c in CATEGORY_FIELDS.items()
+) + ")"
+_NEAREST_SQL = """
 , n AS (SELECT *, row_number() OVER (PARTITION BY cohort_id, field_name ORDER BY admitted_at NULLS FIRST, case_ord) AS pos FROM v WHERE cohort_id IS NOT NULL)
 , c AS (SELECT r.case_ord, r.field_name, d.v AS filled, d.case_ord AS donor, CASE WHEN d.pos < r.pos THEN 'previous' ELSE 'next' END AS side,
     abs(epoch_us(r.admitted_at) / 1e6::DOUBLE - epoch_us(d.admitted_at) / 1e6::DOUBLE) AS distance, abs(d.pos - r.pos) AS steps
@@ -188,6 +213,8 @@ SELECT case_ord, field_name, filled, donor, side, distance FROM c
 QUALIFY row_number() OVER (PARTITION BY case_ord, field_name ORDER BY distance NULLS LAST, CASE side WHEN 'previous' THEN 0 ELSE 1 END, steps) = 1
 """
 
+P5_DONORS_SQL = _USABLE_SQL + _NEAREST_SQL
+P5_CATEGORICAL_SQL = _CATEGORIES_SQL + _NEAREST_SQL
 P5_FILLED_SQL = f"""WITH f AS ({P5_DONORS_SQL})
 SELECT c.case_ord, c.cohort_id, {', '.join(f"coalesce(max(v.v) FILTER (v.field_name = '{x}'), max(f.filled) FILTER (f.field_name = '{x}')) AS {x}, max(v.v) FILTER (v.field_name = '{x}') IS NULL AND max(f.filled) FILTER (f.field_name = '{x}') IS NOT NULL AS {x}_filled" for x in FILLED_FIELDS)}
 FROM patient_cases c JOIN (SELECT * FROM ({_USABLE_SQL} SELECT * FROM v)) v ON v.case_ord = c.case_ord LEFT JOIN f ON f.case_ord = c.case_ord GROUP BY ALL"""
@@ -203,6 +230,7 @@ d{i} AS (SELECT * FROM (SELECT * EXCLUDE (a), json_extract(a, '$[' || {no} || ']
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_report": p2_report,
+    "p2_causes": p2_causes,
     "p2_composite": p2_composite,
     "p2_composite_all": p2_composite_all,
     "p4_found": p4_found,
@@ -210,15 +238,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_donors": p5_donors,
     "p5_filled": p5_filled,
+    "p5_categorical": p5_categorical,
 }
 SQL = {
     "p2_found": P2_FOUND_SQL,
     "p2_report": P2_REPORT_SQL,
+    "p2_causes": P2_CAUSES_SQL,
     "p2_composite": P2_COMPOSITE_SQL, "p2_composite_all": P2_COMPOSITE_ALL_SQL,
     "p4_found": P4_FOUND_SQL,
     **{f"p4_{name}": _flat_sql(name) for name in FLAT_TABLES if name != "doses"},
     "p5_found": P5_FOUND_SQL,
     "p5_donors": P5_DONORS_SQL,
     "p5_filled": P5_FILLED_SQL,
+    "p5_categorical": P5_CATEGORICAL_SQL,
     "p4_doses": P4_DOSES_SQL,
 }

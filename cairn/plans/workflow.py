@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What a step must state, and the kinds of action.
-STEP_FIELDS = ["id", "layer", "tool", "action_type", "action", "input_type", "output_type", "output_path"]
+STEP_FIELDS = ["id", "layer", "tool", "action_type", "action", "input_type", "output_type", "output_path", "proposal_task"]
 ACTION_TYPES = ["quantitative", "qualitative"]
 
 

@@ -47,7 +47,7 @@ def test_json_sources_and_sinks(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "r").iterdir() if p.is_dir()) == ["_folder=c_1", "_folder=unknown_case"]
 
 
-STEP = {"id": 1, "layer": "l", "tool": [1], "action_type": "qualitative", "action": "a", "input_type": [0], "output_type": "o", "output_path": "p"}
+STEP = {"id": 1, "layer": "l", "tool": [1], "action_type": "qualitative", "action": "a", "input_type": [0], "output_type": "o", "output_path": "p", "proposal_task": "x"}
 
 
 def test_plan(spark):
@@ -67,6 +67,7 @@ def test_plan(spark):
     assert sorted(r.x for r in compile_plan(raw, plan, tools, registry)[2].collect()) == [3, 6]
     assert called("f(a)") == "f" and called(None) == ""
     assert [v.check for v in check([STEP | {"id": 2}, STEP | {"id": 2, "input_type": [3]}])] == ["id", "input"]
+    assert [(v.check, v.detail) for v in check([{k: v for k, v in STEP.items() if k != "proposal_task"}])] == [("fields", "proposal_task")]
     with pytest.raises(ValueError):
         compile_plan(raw, [STEP | {"tool": [1, 2]}], tools, registry)
     with pytest.raises(ValueError):

@@ -190,9 +190,32 @@ def test_gateway(spark):
         return {"good": 'so: {"a": 1}', "odd": "text", "list": "[1]"}[p]
 
     df = spark.createDataFrame([(1, "good"), (2, "odd"), (3, "fail"), (4, "list")], "k bigint, p string")
-    got = {r.k: r for r in with_replies(df, "k", "p", reply).collect()}
+    got = {r.k: r for r in with_replies(df, "p", reply).collect()}
     assert got[1].reply == '{"a":1}' and got[1].reply_used and got[1].reply_error is None
     assert [got[k].reply_used for k in (2, 3, 4)] == [False] * 3 and got[3].reply_error == "ValueError: no"
-    assert not any(r.reply_used for r in with_replies(df, "k", "p").collect())
+    assert not any(r.reply_used for r in with_replies(df, "p").collect())
     m = spark.createDataFrame([({"a": "1"},), (None,)], "m map<string,string>").select(merged(F.col("m"), "a", F.lit("2")).alias("m"))
     assert [r.m for r in m.collect()] == [{"a": "2"}, {"a": "2"}]
+
+
+def test_replies_are_asked_for_once_per_row(spark, tmp_path):
+    from cairn.plans.gateway import with_replies
+
+    log = str(tmp_path / "calls")
+
+    def reply(p):
+        with open(log, "a") as f:
+            f.write("x")
+        return '{"v": "%s"}' % p
+
+    df = spark.createDataFrame([("same", "a", "r"), ("same", "b", "r"), (None, "c", None)], "k string, p string, reply string").drop("reply").coalesce(1)
+    got = with_replies(df, "p", reply)
+    assert got.count() == 3 and sorted((r.k or "", r.p, r.reply) for r in got.collect()) == [("", "c", '{"v":"c"}'), ("same", "a", '{"v":"a"}'), ("same", "b", '{"v":"b"}')]
+    assert len(open(log).read()) == 3
+
+
+def test_phrases_are_taken_literally(spark):
+    from cairn.functions.text import affirmed
+
+    df = spark.createDataFrame([("a c++ (b) finding",), ("no c++ (b) here",), (None,)], "t string")
+    assert [r[0] for r in df.select(affirmed(F.col("t"), ["c++ (b)", "a|b"])).collect()][0] is True

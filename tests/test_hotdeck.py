@@ -62,3 +62,17 @@ def test_empty_and_marks(spark):
     assert (rows[1].v, rows[1].v_filled, rows[1].w, rows[1].w_filled) == (7.0, True, 5.0, False)
     assert (rows[2].v, rows[2].v_filled, rows[2].w, rows[2].w_filled) == (7.0, False, 5.0, True)
     assert (rows[3].v, rows[3].v_filled) == (None, False)
+
+
+def test_categorical_fields(spark):
+    from cairn.operators.hotdeck import Category
+
+    rows = [(1, "g", "a", 1, " Good "), (2, "g", "b", 2, None), (3, "g", "c", 5, "poor"), (4, "g", "d", 4, ""), (5, "g", "e", 9, "other"), (6, "h", "f", 1, None), (7, None, "i", 1, None)]
+    df = spark.createDataFrame(rows, "k int, g string, e string, t int, v string")
+    fills = hot_deck(df, "k", "g", "e", {"v": Category("v", ("good", "poor"))}, ["t"])
+    assert sorted((r.k, r.filled, r.donor, r.side, r.distance) for r in fills.collect()) == [(2, "good", 1, "previous", 1.0), (4, "poor", 3, "next", 1.0), (5, "poor", 3, "previous", 4.0)]
+    both = {"v": Category("v", ("good", "poor")), "t": Usable("t", 0, 4)}
+    mixed = hot_deck(df, "k", "g", "e", both, ["t"])
+    assert {(r.k, r.field_name): r.filled for r in mixed.collect()}[3, "t"] == "4.0"
+    table = {r.k: r for r in fill_table(df, mixed, "k", both).collect()}
+    assert (table[3].t, table[3].t_filled, table[5].v, table[5].v_filled, table[6].v) == (4.0, True, "poor", True, None)

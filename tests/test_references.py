@@ -89,3 +89,15 @@ def test_partition_of_a_hot_reference_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_causes(spark):
+    from cairn.operators.references import orphan_causes
+
+    day = lambda n: None if n is None else dt.datetime(2024, 1, n + 1)
+    parent = spark.createDataFrame([(i, day(x), day(y)) for i, x, y in [("a", 5, None), ("b", 1, 3), ("b", 9, None), ("c", None, None)]], "id string, s timestamp_ntz, e timestamp_ntz")
+    child = spark.createDataFrame([(k, r, day(n)) for k, r, n in [(1, "a", 4), (2, "a", 5), (3, "b", 4), (4, "b", 0), (5, "c", 4), (6, "x", 4), (7, "a", None), (8, None, 4)]], "k int, ref string, at timestamp_ntz")
+    refs, validity = [Reference("r", ("ref",), ("id",))], Validity("at", "s", "e")
+    orphans = orphan_references(child, parent, refs, ["k"], ["ref", "at"], validity)
+    got = {r.k: r.cause for r in orphan_causes(orphans, parent, refs, validity).collect()}
+    assert got == {1: "late", 3: "deleted", 4: "late", 5: "missing", 6: "missing", 7: "untimed"}
