@@ -48,7 +48,7 @@ from .wikitext import streams
 SHARE = 0.25
 ROUNDS = 5
 FIT_SENTENCES = 150_000
-WEIGH_SENTENCES = 40_000
+WEIGH_SENTENCES = 10_000
 MAX_EXAMPLES = 100_000
 WORD_SHARE = 1e-3
 LEAST_PAGES = 3
@@ -78,8 +78,8 @@ def sentence_words(sentence: str) -> list[str]:
     return [w.translate(_LEET) if not w.isalpha() and not w.isdigit() else w for w in _WORD.findall(sentence.lower()) if not w.isdigit()]
 
 
-def page_parts(text: str | None) -> Iterator[tuple[int, str, bool]]:
-    """The sentences of a page with the number of their section, and the headings that begin sections."""
+def page_lines(text: str | None) -> Iterator[tuple[int, str, bool]]:
+    """The lines of a page with the number of their section, and the headings that begin sections."""
     if not text:
         return
     if m := _REDIRECT.match(text):
@@ -94,13 +94,12 @@ def page_parts(text: str | None) -> Iterator[tuple[int, str, bool]]:
                 section += 1
                 yield section, m.group(1), True
                 continue
-            for s in _SENTENCE.split(line):
-                yield section, s, False
+            yield section, line, False
 
 
 def page_sentences(text: str | None) -> list[tuple[int, list[str]]]:
     """The sentences of a page, as words, with the number of their section."""
-    return [(section, w) for section, s, heading in page_parts(text) if not heading and len(w := sentence_words(s)) >= MIN_SENTENCE_WORDS]
+    return [(section, w) for section, line, heading in page_lines(text) if not heading for s in _SENTENCE.split(line) if len(w := sentence_words(s)) >= MIN_SENTENCE_WORDS]
 
 
 def _hash(word: str) -> int:
@@ -128,6 +127,7 @@ class _Encoder:
         self.flat: list[int] = []
         self.starts, self.meta = [0], []
         self.known: dict[tuple[str, str], int] = {}
+        self.lines: dict[str, list[int]] = {}
         self.sentences: list[int] = []
         self.sections: list[int] = []
         self.lengths: list[int] = []
@@ -170,11 +170,18 @@ class _Encoder:
         return n
 
     def add(self, doc: int | None, page: int, text: str, about: Sequence[tuple[str, str | None]]) -> None:
-        before, section = len(self.sentences), 0
-        for section, s, heading in page_parts(text):
-            if (n := self.number("h:" if heading else "", s)) >= 0:
-                self.sentences.append(n)
-                self.sections.append(section)
+        before, section, lines = len(self.sentences), 0, self.lines
+        for section, line, heading in page_lines(text):
+            if heading:
+                if (n := self.number("h:", line)) >= 0:
+                    self.sentences.append(n)
+                    self.sections.append(section)
+                continue
+            numbers = lines.get(line)  # revisions of a page share most of their lines
+            if numbers is None:
+                numbers = lines[line] = [n for s in _SENTENCE.split(line) if (n := self.number("", s)) >= 0]
+            self.sentences.extend(numbers)
+            self.sections.extend([section] * len(numbers))
         for kind, s in (*about, *(("c:", c) for c in _CATEGORY.findall(text))):
             if s and (n := self.number(kind, s)) >= 0:
                 self.sentences.append(n)

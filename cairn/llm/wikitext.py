@@ -25,8 +25,8 @@ _INLINE_TAGS = (
 _HIDDEN_NAMESPACES = "category|kategorie|catégorie|categoría|categoria"
 _FILE_NAMESPACES = "file|image|media|datei|bild|fichier|archivo|imagen"
 
-# Where markup can begin; everything between is text and isn't looked at again.
-_SPECIAL = re.compile(r"[<{}\[\]'|!_\n]")
+# Where markup can begin; everything between is text and isn't looked at again. A line break counts where a table may begin or go on.
+_SPECIAL = re.compile(r"<(?=[!/a-zA-Z])|\{\{|\}\}|\[\[|\[(?=https?:|ftp:|mailto:|//)|\]\]|''|\||!(?=!)|__(?=[A-Z])|\n(?=[ \t:]*\{\||[ \t]*[|!])", re.IGNORECASE)
 _TOKEN = re.compile(
     r"""
       (?P<comment><!--(?s:.*?)(?:-->|\Z))
