@@ -42,9 +42,13 @@ def bag_score(tokens: Column, haystack: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: F.contains(haystack, t)))
 
 
-def json_haystack(fields: Sequence[str]) -> Column:
-    """A record as lower-case JSON, keys and nulls included."""
-    return F.lower(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+def json_haystack(fields: Sequence[str], raw: Column | None = None) -> Column:
+    """A record as lower-case JSON, keys included. ``raw`` is the record as it came, where there is one: with all its keys and JSON nulls.
+
+    Of a record without it (a row of a table, where a null is a missing value) the fields that aren't null are taken.
+    """
+    own = F.to_json(F.struct(*fields), {"ignoreNullFields": "true"})
+    return F.lower(own if raw is None else F.coalesce(raw, own))
 
 
 def joined_haystack(*parts: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .ranking import EVIDENCE_ORDER, ranked
+from .ranking import EVIDENCE_ORDER, missing, ranked, raw_of
 from .references import Reference, orphan_references
 
 # The relations that a summary counts even where there are none.
@@ -53,6 +53,13 @@ def relation_counts(edges: DataFrame) -> DataFrame:
     return counts.unionByName(known).groupBy("relation").agg(F.sum("edges").alias("edges"))
 
 
+def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: the number of nodes and edges, and whether the graph is valid."""
+    sizes = nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))  # one row each
+    bad = violations(nodes, edges).limit(1).agg(F.count("*").alias("_bad"))
+    return sizes.crossJoin(bad).select("nodes", "edges", (F.col("_bad") == 0).alias("graph_valid"))
+
+
 def edges_by_relation(edges: DataFrame) -> DataFrame:
     """Edges with their position from 1 within their relation, in the order of their row key."""
     named = edges.withColumn("_relation", F.coalesce("relation", F.lit("")))
@@ -80,10 +87,13 @@ def duplicate_ids(nodes: DataFrame) -> DataFrame:
 
 
 def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """All that keeps a graph from being valid: ``check``, ``row`` (null for an id) and ``detail``."""
+    """All that keeps a graph from being valid: ``check``, ``row`` (null for an id) and ``detail``.
+
+    Where the records are there as they came (``_raw``), a required key with a JSON null isn't missing.
+    """
     twice = duplicate_ids(nodes).select(F.lit("duplicate_id").alias("check"), F.lit(None).cast("bigint").alias("row"), F.col("id").alias("detail"))
-    lacking = F.filter(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in sorted(REQUIRED))), lambda x: x.isNotNull())
-    missing = nodes.select(F.lit("missing_field").alias("check"), F.col("_ord").alias("row"), F.explode(lacking).alias("detail"))
+    lacking = F.filter(F.array(*(F.when(missing(c, raw_of(nodes)), F.lit(c)) for c in sorted(REQUIRED))), lambda x: x.isNotNull())
+    without = nodes.select(F.lit("missing_field").alias("check"), F.col("_ord").alias("row"), F.explode(lacking).alias("detail"))
     kinds = nodes.where(F.col("evidence_type").isNotNull() & ~F.col("evidence_type").isin(*EVIDENCE_ORDER)).select(F.lit("unknown_type").alias("check"), F.col("_ord").alias("row"), F.col("evidence_type").alias("detail"))
     ends = dangling(edges, nodes).select(F.lit("dangling_edge").alias("check"), F.col("_ord").alias("row"), F.col("endpoint").alias("detail"))
-    return reduce(DataFrame.unionByName, [twice, missing, kinds, ends])
+    return reduce(DataFrame.unionByName, [twice, without, kinds, ends])

@@ -32,6 +32,7 @@ EVIDENCE_LABELS = {
 }
 QUALITY_ORDER = {"high": 0, "moderate": 1, "low": 2, "very_low": 3}
 UNKNOWN_TYPE, UNKNOWN_QUALITY = 6, 9
+MISSING_QUALITY = QUALITY_ORDER["low"]
 
 
 def lookup(column: Column, values: Mapping[str, object], default: object = None) -> Column:
@@ -46,16 +47,30 @@ def type_order(column: Column) -> Column:
     return lookup(column, EVIDENCE_ORDER, UNKNOWN_TYPE)
 
 
-def quality_order(column: Column) -> Column:
-    """0 to 3; unknown and null qualities come last."""
-    return lookup(column, QUALITY_ORDER, UNKNOWN_QUALITY)
+def missing(name: str, raw: str | None = None) -> Column:
+    """Whether a record lacks a key. With the record as it came, a key whose value is JSON null isn't missing; in a table a null is."""
+    null = F.col(name).isNull()
+    if raw is None:
+        return null
+    # JSON null and a value of another type are null in the typed column, but their key is there.
+    return null & F.coalesce(F.try_variant_get(F.try_parse_json(F.col(raw)), f"$.{name}", "variant").isNull(), F.lit(True))
 
 
-def pyramid_keys() -> list[Column]:
-    """Type, quality, newest first (a missing year or month counts as 0), id and row key."""
+def raw_of(df: DataFrame) -> str | None:
+    return "_raw" if "_raw" in df.columns else None
+
+
+def quality_order(column: Column, absent: Column | None = None) -> Column:
+    """0 to 3; a missing quality counts as low, an unknown one (a JSON null among them) comes last."""
+    found = lookup(column, QUALITY_ORDER, UNKNOWN_QUALITY)
+    return F.when(column.isNull() if absent is None else absent, MISSING_QUALITY).otherwise(found)
+
+
+def pyramid_keys(raw: str | None = None) -> list[Column]:
+    """Type, quality (a missing one counts as low), newest first (a missing year or month counts as 0), id and row key."""
     return [
         type_order(F.col("evidence_type")).alias("_type"),
-        quality_order(F.col("quality")).alias("_quality"),
+        quality_order(F.col("quality"), missing("quality", raw)).alias("_quality"),
         (-F.coalesce("year", F.lit(0))).alias("_year"),
         (-F.coalesce("month", F.lit(0))).alias("_month"),
         F.coalesce("id", F.lit("")).alias("_id"),
@@ -82,13 +97,13 @@ def ranked(df: DataFrame, by: Sequence[Column], within: Sequence[str] = (), name
 
 def pyramid(nodes: DataFrame) -> DataFrame:
     """All nodes with their place in the evidence pyramid."""
-    return ranked(nodes, pyramid_keys(), name="pyramid_rank")
+    return ranked(nodes, pyramid_keys(raw_of(nodes)), name="pyramid_rank")
 
 
 def first_in_pyramid(nodes: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
     """The highest record, among those of ``types`` if given: a top-1, taken in each task first."""
     shown = nodes if types is None else nodes.where(F.col("evidence_type").isin(*types))
-    return shown.orderBy(*pyramid_keys()).limit(1)
+    return shown.orderBy(*pyramid_keys(raw_of(nodes))).limit(1)
 
 
 def lane_positions(nodes: DataFrame) -> DataFrame:
@@ -99,7 +114,7 @@ def lane_positions(nodes: DataFrame) -> DataFrame:
     known = nodes.where(F.col("evidence_type").isin(*EVIDENCE_ORDER))
     present = known.select("evidence_type").distinct()  # six rows at most
     lanes = present.select(F.col("evidence_type").alias("_lane_type"), (F.row_number().over(Window.orderBy(type_order(F.col("evidence_type")))) - 1).cast("bigint").alias("lane"))
-    order = ranked(known, pyramid_keys(), within=["evidence_type"], name="_place")
+    order = ranked(known, pyramid_keys(raw_of(nodes)), within=["evidence_type"], name="_place")
     return order.join(F.broadcast(lanes), F.col("evidence_type") == F.col("_lane_type")).withColumn("row_index", F.col("_place") - 1).drop("_lane_type", "_place")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bag_score, joined_haystack, json_haystack, mixed_tokens, token_set
 from ..session import cut, spread
-from .ranking import EVIDENCE_ORDER, pyramid_keys, ranked, type_order
+from .ranking import EVIDENCE_ORDER, missing, pyramid_keys, ranked, raw_of, type_order
 
 BLOCK = 200
 # The fields of an evidence record, in their order.
@@ -65,6 +65,15 @@ def title_questions(records: DataFrame, every: int = 50) -> DataFrame:
     return records.where(F.col("_ord") % every == 0).select(F.col("_ord").alias("qid"), F.coalesce("title", F.lit("")).alias("text"), F.lit(None).cast("array<string>").alias("types"))
 
 
+def result_questions(results: DataFrame, key: str, inputs: Sequence[str]) -> DataFrame:
+    """Questions from what earlier steps found: a JSON array of their results (columns ``inputs``, structs or arrays), names included; ``qid`` is the key.
+
+    Fields that are null are left out; a step without a result is a JSON null.
+    """
+    text = F.concat(F.lit("["), F.concat_ws(",", *(F.coalesce(F.to_json(c), F.lit("null")) for c in inputs)), F.lit("]"))
+    return results.select(F.col(key).cast("bigint").alias("qid"), text.alias("text"), F.lit(None).cast("array<string>").alias("types"))
+
+
 def _asked(df: DataFrame, questions: Sequence[Question] | DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
     """Each row of ``df`` with each question as ``_q``. A table of questions has its tokens taken once and is joined in partitions, not sent whole."""
     if isinstance(questions, DataFrame):
@@ -77,17 +86,28 @@ def _listed(df: DataFrame, questions: Sequence[Question]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.withColumn("_q", F.explode(question_array(b))) for b in blocks])
 
 
-def retrieve(nodes: DataFrame, questions: Sequence[Question] | DataFrame, fields: Sequence[str] = NODE_FIELDS) -> DataFrame:
+def retrieve(nodes: DataFrame, questions: Sequence[Question] | DataFrame, fields: Sequence[str] = NODE_FIELDS, fallback: bool = True) -> DataFrame:
     """``qid``, ``types``, ``score`` and the node's ranking columns, for each question and node that it retrieves.
 
     A node's score is the number of the question's tokens, repeats counted, that occur in its JSON, keys
-    included. Nodes that score are retrieved; where none does (or there are no tokens) all are, with score 0.
+    included. Nodes that score are retrieved; where none does (or there are no tokens) all are, with score 0, unless ``fallback`` is off. The
+    rows that score are cut to the shared folder.
     """
     kept = ["_ord", "id", "evidence_type", "quality", "year", "month"]
-    scored = spread(nodes.select(*dict.fromkeys([*kept, *fields]))).select(*kept, json_haystack(fields).alias("_hay"))
-    scored = _asked(scored, questions, mixed_tokens).select("_q.qid", "_q.types", *kept, bag_score(F.col("_q.tokens"), F.col("_hay")).cast("bigint").alias("score"))
-    best = scored.groupBy("qid").agg(F.max("score").alias("_best")).withColumnRenamed("qid", "_qid")  # a row per question
-    return scored.join(F.broadcast(best), F.col("qid") == F.col("_qid")).where((F.col("score") > 0) | (F.col("_best") == 0)).drop("_qid", "_best")
+    raw = raw_of(nodes)
+    # where the records are there as they came, a JSON null of the quality is told from a missing one
+    quality = F.col("quality") if raw is None else F.when(F.col("quality").isNull() & ~missing("quality", raw), "unknown").otherwise(F.col("quality")).alias("quality")
+    narrow = [quality if c == "quality" else F.col(c) for c in kept]
+    hay = json_haystack(fields, None if raw is None else F.col(raw)).alias("_hay")
+    asked = _asked(spread(nodes.select(*dict.fromkeys([*kept, *fields, *([raw] if raw else [])]))).select(*narrow, hay), questions, mixed_tokens)
+    hits = asked.select("_q.qid", "_q.types", *kept, bag_score(F.col("_q.tokens"), F.col("_hay")).cast("bigint").alias("score")).where("score > 0")
+    hits = cut(hits)  # each record is read, written as JSON and scored once
+    if not fallback:
+        return hits
+    # Questions that nothing matches take all records.
+    all_ = nodes.sparkSession.createDataFrame([(q.qid, None if q.types is None else list(q.types)) for q in questions], "qid bigint, types array<string>") if not isinstance(questions, DataFrame) else questions.select("qid", "types")
+    unmatched = cut(all_.join(hits.select("qid").distinct(), "qid", "left_anti"))
+    return hits.unionByName(nodes.select(*narrow).crossJoin(unmatched).select("qid", "types", *kept, F.lit(0).cast("bigint").alias("score")))
 
 
 def of_types(retrieved: DataFrame) -> DataFrame:

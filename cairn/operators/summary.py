@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import pyramid_keys, ranked
+from .ranking import pyramid_keys, ranked, raw_of
 
 # The types that count as high-level evidence, and the dose signals for a low dose.
 HIGH_LEVEL = ["guideline", "systematic_review", "randomized_controlled_trial"]
@@ -29,7 +29,7 @@ def highlights(nodes: DataFrame, k: int = 3, separator: str = "；") -> DataFram
 
     The limit applies in each task before the shuffle, so a group holds k rows per task at most.
     """
-    keys = pyramid_keys()
+    keys = pyramid_keys(raw_of(nodes))
     ranked = nodes.select("evidence_type", "citation", "main_findings", *keys)
     w = Window.partitionBy("evidence_type").orderBy("_quality", "_year", "_month", "_id", "_row")
     best = ranked.where(F.col("evidence_type").isNotNull()).withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= k)

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ASCII_TOKEN, IMAGING_PHRASES, affirmed, mixed_tokens, token_set, wrapped_title
 from ..operators.cases import EXPECTED, SECTIONS, exploded_cases, normalized, structured
-from ..operators.graph import RELATIONS, REQUIRED, dangling, duplicate_ids, edges_by_relation, induced, neighbours, relation_counts, violations
-from ..operators.ranking import EVIDENCE_LABELS, EVIDENCE_ORDER, QUALITY_ORDER, first_in_pyramid, lane_positions, pyramid, type_inventory
-from ..operators.retrieval import FLOOR_TOPICS, NODE_FIELDS, NOTHING_FOUND, Question, knowledge_for_case, knowledge_text, knowledge_top, of_types, pyramid_order, question_table, retrieval_order, retrieve, title_questions
+from ..operators.graph import RELATIONS, REQUIRED, dangling, duplicate_ids, edges_by_relation, graph_counts, induced, induced_each, neighbours, relation_counts, violations
+from ..operators.ranking import EVIDENCE_LABELS, EVIDENCE_ORDER, QUALITY_ORDER, MISSING_QUALITY, first_in_pyramid, lane_positions, pyramid, type_inventory
+from ..operators.retrieval import FLOOR_TOPICS, NODE_FIELDS, NOTHING_FOUND, Question, knowledge_for_case, knowledge_text, knowledge_top, of_types, pyramid_order, question_table, result_questions, retrieval_order, retrieve, title_questions
 from ..operators.report import EDGE_FIELDS, STEPS, STEP_OF, leading, markdown, payload, payload_rows, report_lines
 from ..operators.rules import Rule, apply_rules, at_least, below
 from ..operators.summary import HIGH_LEVEL, LOW_DOSE, highlights, support, type_summaries
+from ..sources.json_documents import NODE, records_of
 from ..sources.tables import table
 from .problem_queries import CASES_SQL
-from .workflow import check, latest, trace
+from .workflow import latest, step_violations, trace
 
 # The stated query set: CJK with ASCII, nothing, only punctuation, no match, a JSON key, repeats, type filters.
 QUESTIONS = [
@@ -60,11 +61,16 @@ def _case(column: str, values: dict, default: object) -> str:
     return f"CASE {column} " + " ".join(f"WHEN {_quoted(k)} THEN {v}" for k, v in values.items()) + f" ELSE {default} END"
 
 
-_PYRAMID = f"{_case('evidence_type', EVIDENCE_ORDER, 6)}, {_case('quality', QUALITY_ORDER, 9)}, coalesce(year, 0) DESC, coalesce(month, 0) DESC, coalesce(id, ''), _ord"
+def _quality_sql(column: str) -> str:
+    """A missing quality counts as low."""
+    return f"CASE WHEN {column} IS NULL THEN {MISSING_QUALITY} ELSE {_case(column, QUALITY_ORDER, 9)} END"
+
+
+_PYRAMID = f"{_case('evidence_type', EVIDENCE_ORDER, 6)}, {_quality_sql('quality')}, coalesce(year, 0) DESC, coalesce(month, 0) DESC, coalesce(id, ''), _ord"
 _Q = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({q.qid}::BIGINT, {_quoted(q.text)}, {'NULL::VARCHAR[]' if q.types is None else '[' + ', '.join(map(_quoted, q.types)) + ']::VARCHAR[]'})" for q in QUESTIONS) + ") AS v(qid, text, types))"
 _RETRIEVED = f"""WITH {_Q},
 k AS (SELECT qid, types, list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+|[\\x{{4e00}}-\\x{{9fff}}]+'), lambda t: lower(t)) AS toks FROM q),
-h AS (SELECT *, lower(CAST(to_json(struct_pack({', '.join(f'{c} := {c}' for c in NODE_FIELDS)})) AS VARCHAR)) AS hay FROM evidence_nodes),
+h AS (SELECT *, lower(CAST(json_merge_patch('{{}}'::JSON, to_json(struct_pack({', '.join(f'{c} := {c}' for c in NODE_FIELDS)}))) AS VARCHAR)) AS hay FROM evidence_nodes),
 s AS (SELECT qid, types, h._ord, id, evidence_type, quality, year, month, len(list_filter(toks, lambda t: contains(hay, t))) AS score FROM k, h),
 r AS (SELECT * FROM s QUALIFY score > 0 OR max(score) OVER (PARTITION BY qid) = 0)
 """
@@ -118,22 +124,33 @@ def _rules_sql() -> str:
     return f"SELECT case_ord, least(s, 6.0::DOUBLE) AS rule_score, CASE WHEN s >= 4 THEN 'many' WHEN s >= 2 THEN 'some' ELSE 'few' END AS rule_level, rule_reasons FROM (SELECT case_ord, {score} AS s, {reasons} AS rule_reasons FROM patient_cases)"
 
 
-# ---------------------------------------------------------------- a workflow with faults
+# ---------------------------------------------------------------- workflows
 
-_STEP = {"id": 1, "layer": "input", "tool": [1], "action_type": "quantitative", "action": "a", "input_type": [0], "output_type": "t", "output_path": "p", "proposal_task": "x"}
-FAULTY_PLAN = [
-    _STEP,
-    _STEP | {"id": 3},
-    {k: v for k, v in _STEP.items() if k not in ("layer", "action")},
-    _STEP | {"id": 4, "action_type": "other", "tool": []},
-    _STEP | {"id": 5, "tool": [1, 9], "input_type": [1, 7]},
-]
-FAULTS = [(2, "id", "3"), (3, "fields", "action,layer"), (4, "action_type", "other"), (4, "tool", "none"), (5, "tool", "9"), (5, "input", "7")]
+TOOLS = list(range(10))
 USED_IDS = ["KB-TR-001", "KB-FO-002", "KB-XX-999", "KB-IM-003", "KB-TR-001"]
 
 
 def _plan_faults(s: SparkSession, d: str) -> DataFrame:
-    return s.createDataFrame([(v.step, v.check, v.detail) for v in check(FAULTY_PLAN, [1, 2])], "step bigint, check string, detail string")
+    """Every order as a plan, its lines as steps."""
+    lines = table(s, d, "lineitem")
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")  # a handful of lines an order
+    kind = F.when(F.col("l_returnflag") == "A", "quantitative").when(F.col("l_returnflag") == "N", "qualitative").otherwise(F.col("l_returnflag"))
+    steps = lines.select(F.col("l_orderkey").alias("plan"), F.row_number().over(place).cast("bigint").alias("position"), F.col("l_linenumber").cast("bigint").alias("id"), kind.alias("action_type"),
+                         F.array(F.col("l_suppkey") % 12, F.col("l_partkey") % 11).alias("tools"), F.array((F.col("l_linenumber") - 1).cast("bigint"), F.col("l_partkey") % 5).alias("inputs"))
+    return step_violations(steps, TOOLS)
+
+
+def _json_nodes(s: SparkSession, d: str) -> DataFrame:
+    """Records as JSON, as from a source: rows of odd keys with their nulls, the others without the keys that have none."""
+    texts = _nodes(s, d).select("_ord", F.when(F.col("_ord") % 2 == 1, F.to_json(F.struct(*NODE_FIELDS), {"ignoreNullFields": "false"})).otherwise(F.to_json(F.struct(*NODE_FIELDS))).alias("_text"))
+    return records_of(texts, "_ord", "_text", NODE)
+
+
+def _case_evidence(s: SparkSession, d: str) -> DataFrame:
+    """What the findings of each case retrieve: its scores and its pathogen and treatment words are the question."""
+    flat = apply_rules(structured(table(s, d, "patient_cases"), "case_ord"), _inflammation(), INFLAMMATION_CUTS, "few", "rule", cap=6.0)
+    found = flat.select("case_ord", F.struct("rule_level", "rule_reasons").alias("severity"), F.struct(F.col("pathogen_mycoplasma_pcr").alias("mycoplasma"), F.col("treatment_history_response").alias("treatment")).alias("case"))
+    return knowledge_for_case(_kb(s, d), result_questions(found, "case_ord", ["severity", "case"])).select("qid", "id", "score", "place")
 
 
 def _cases(s: SparkSession, d: str, first_only: bool) -> DataFrame:
@@ -162,7 +179,7 @@ def _latest_cases(s: SparkSession, d: str) -> DataFrame:
 
 def _subgraph(s: SparkSession, d: str) -> DataFrame:
     picked = of_types(retrieve(_nodes(s, d), QUESTIONS)).select("qid", "id")
-    return induced(_edges(s, d), picked, by=["qid"]).select("qid", "_ord", "relation")
+    return induced_each(_edges(s, d).select("_ord", "source", "target", "relation"), picked, "qid").select("qid", "_ord", "relation")
 
 
 def _leading(s: SparkSession, d: str) -> DataFrame:
@@ -211,6 +228,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_dangling_edges": lambda s, d: dangling(_edges(s, d), _nodes(s, d)),
     "q_duplicate_ids": lambda s, d: duplicate_ids(_nodes(s, d)),
     "q_graph_violations": lambda s, d: violations(_nodes(s, d), _edges(s, d)).groupBy("check", "detail").agg(F.count("*").alias("n")),
+    "q_graph_health": lambda s, d: graph_counts(_nodes(s, d), _edges(s, d)),
     "q_neighbours": lambda s, d: neighbours(_edges(s, d), NODE_OF_INTEREST),
     "q_knowledge_top": lambda s, d: knowledge_top(_kb(s, d), QUESTIONS).select("qid", "id", "score", "place"),
     "q_knowledge_for_case": lambda s, d: knowledge_for_case(_kb(s, d), QUESTIONS).select("qid", "id", "score", "place"),
@@ -219,13 +237,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_title_knowledge_for_case": lambda s, d: knowledge_for_case(_kb(s, d), title_questions(_nodes(s, d))).select("qid", "id", "score", "place"),
     "q_knowledge_text": lambda s, d: knowledge_text(knowledge_top(_kb(s, d), QUESTIONS), QUESTIONS),
     "q_support": lambda s, d: support(_nodes(s, d), ["year"]),
-    "q_highlights": lambda s, d: highlights(_nodes(s, d)),
-    "q_type_summaries": lambda s, d: type_summaries(_nodes(s, d)),
-    "q_leading_evidence": lambda s, d: _leading(s, d).select("qid", "evidence_type", "records", F.array_join("lines", "\n").alias("lines")),
-    "q_reports": _reports,
-    "q_report_lines": _report_lines,
-    "q_payloads": _payloads,
-    "q_payload_rows": _payload_rows,
+    "q_top3_highlights": lambda s, d: highlights(_nodes(s, d)),
+    "q_highlights": lambda s, d: type_summaries(_nodes(s, d)),
+    "q_top3_evidence": lambda s, d: _leading(s, d).select("qid", "evidence_type", "records", F.array_join("lines", "\n").alias("lines")),
+    "q_top3_reports": _reports,
+    "q_reports": _report_lines,
+    "q_top3_payloads": _payloads,
+    "q_payloads": _payload_rows,
     "q_first_record": lambda s, d: first_in_pyramid(_nodes(s, d), ["systematic_review", "case_report"]).select("_ord", "id"),
     "q_title_wrap": lambda s, d: _nodes(s, d).select("_ord", F.array_join(wrapped_title(F.col("title")), "|").alias("wrapped")),
     "q_normalized_cases": lambda s, d: _cases(s, d, True),
@@ -236,6 +254,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_latest_cases": _latest_cases,
     "q_evidence_trace": lambda s, d: trace(s.createDataFrame([(i,) for i in USED_IDS], "evidence_id string"), _kb(s, d)),
     "q_plan_check": _plan_faults,
+    "q_source_rank": lambda s, d: pyramid(_json_nodes(s, d)).select("_ord", "pyramid_rank"),
+    "q_source_violations": lambda s, d: violations(_json_nodes(s, d), _edges(s, d)).where(F.col("check") == "missing_field").select("row", "detail"),
+    "q_source_retrieve": lambda s, d: retrieve(_json_nodes(s, d), QUESTIONS, fallback=False).select("qid", "_ord", "score"),
+    "q_case_evidence": _case_evidence,
 }
 
 _DANGLING_SQL = """SELECT _ord, 'source' AS endpoint FROM evidence_edges WHERE source IS NULL OR source NOT IN (SELECT id FROM evidence_nodes WHERE id IS NOT NULL)
@@ -299,7 +321,7 @@ def _whole_cases_sql() -> str:
 {_word_sql('mycoplasma_pcr', '')} AS pathogen_mycoplasma_pcr, {_word_sql('response', '')} AS treatment_history_response, {present} AS modalities, {absent} AS missing_sections FROM z"""
 
 
-_LEADING_SQL = _RETRIEVED + f""", p AS (SELECT qid, r._ord, r.evidence_type, n.citation, n.main_findings, row_number() OVER (PARTITION BY qid, r.evidence_type ORDER BY {_case('r.quality', QUALITY_ORDER, 9)}, coalesce(r.year, 0) DESC, coalesce(r.month, 0) DESC, coalesce(r.id, ''), r._ord) AS place,
+_LEADING_SQL = _RETRIEVED + f""", p AS (SELECT qid, r._ord, r.evidence_type, n.citation, n.main_findings, row_number() OVER (PARTITION BY qid, r.evidence_type ORDER BY {_quality_sql('r.quality')}, coalesce(r.year, 0) DESC, coalesce(r.month, 0) DESC, coalesce(r.id, ''), r._ord) AS place,
   count(*) OVER (PARTITION BY qid, r.evidence_type) AS records FROM r JOIN evidence_nodes n ON n._ord = r._ord WHERE (types IS NULL OR list_contains(types, r.evidence_type)) AND r.evidence_type IN ({', '.join(map(_quoted, EVIDENCE_ORDER))})),
 l AS (SELECT qid, evidence_type, {_case('evidence_type', EVIDENCE_ORDER, 6)} AS ord, records, list('- **' || coalesce(citation, '') || '**：' || coalesce(main_findings, '') ORDER BY place) AS lines FROM p WHERE place <= 3 GROUP BY ALL)
 """
@@ -318,16 +340,28 @@ _KIND = _case("evidence_type", {k: _quoted(v) for k, v in EVIDENCE_LABELS.items(
 _KIND_NO = _case("evidence_type", EVIDENCE_ORDER, 6)
 _STEPS_SQL = ", ".join(f"({i}, {_quoted(x)})" for i, x in enumerate(STEPS))
 
+_WHOLE_JSON = f"to_json(struct_pack({', '.join(f'{c} := {c}' for c in NODE_FIELDS)}))"
+_SOURCE_RETRIEVED = f"""WITH {_Q}, k AS (SELECT qid, list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+|[\\x{{4e00}}-\\x{{9fff}}]+'), lambda t: lower(t)) AS toks FROM q),
+h AS (SELECT _ord, lower(CAST(CASE WHEN _ord % 2 = 1 THEN {_WHOLE_JSON} ELSE json_merge_patch('{{}}'::JSON, {_WHOLE_JSON}) END AS VARCHAR)) AS hay FROM evidence_nodes),
+s AS (SELECT qid, _ord, len(list_filter(toks, lambda t: contains(hay, t))) AS score FROM k, h)
+"""
+_CASE_EVIDENCE_SQL = f"""WITH c AS ({_rules_sql()}),
+q AS (SELECT case_ord AS qid, concat_ws(' ', 'rule_level', rule_level, 'rule_reasons', rule_reasons, 'mycoplasma', lower(coalesce(pathogen.mycoplasma_pcr, '')), 'treatment', lower(coalesce(treatment_history.response, ''))) AS text FROM c JOIN patient_cases p USING (case_ord)),
+w AS (SELECT qid, list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+')) AS asked FROM q),
+k AS (SELECT _ord, id, topic, {_KB_WORDS.format(parts=_KB_PARTS)} AS words FROM knowledge_base),
+s AS (SELECT qid, _ord, id, CASE WHEN len(list_intersect(asked, words)) = 0 AND topic IN ({', '.join(map(_quoted, FLOOR_TOPICS))}) THEN 1 ELSE len(list_intersect(asked, words)) END AS score FROM w, k)
+SELECT qid, id, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, _ord) AS place FROM s WHERE score > 0 QUALIFY place <= 5"""
+
 SQL: dict[str, str] = {
     "q_normalized_cases": _normalized_sql(),
     "q_whole_cases": _whole_cases_sql(),
-    "q_payloads": _LEADING_SQL + f"""SELECT q.qid, CAST(to_json(struct_pack(question := q.text, ranked_evidence := coalesce((SELECT list(struct_pack(type := evidence_type, records := records, lines := lines) ORDER BY ord) FROM l WHERE l.qid = q.qid), []),
+    "q_top3_payloads": _LEADING_SQL + f"""SELECT q.qid, CAST(to_json(struct_pack(question := q.text, ranked_evidence := coalesce((SELECT list(struct_pack(type := evidence_type, records := records, lines := lines) ORDER BY ord) FROM l WHERE l.qid = q.qid), []),
 pyramid_order := [{', '.join(map(_quoted, EVIDENCE_ORDER))}])) AS VARCHAR) AS payload FROM q""",
-    "q_payload_rows": _PLACED_SQL + f"""SELECT p.qid, 'ranked_evidence' AS part, p.place AS position, {_json_sql(NODE_FIELDS, 'n')} AS value FROM p JOIN evidence_nodes n ON n._ord = p._ord
+    "q_payloads": _PLACED_SQL + f"""SELECT p.qid, 'ranked_evidence' AS part, p.place AS position, {_json_sql(NODE_FIELDS, 'n')} AS value FROM p JOIN evidence_nodes n ON n._ord = p._ord
 UNION ALL SELECT qid, 'evidence_edges', _ord, {_json_sql(EDGE_FIELDS, 'x')} FROM x
 UNION ALL SELECT qid, 'question', 0, CAST(to_json(struct_pack(question := text)) AS VARCHAR) FROM q
 UNION ALL SELECT qid, 'pyramid_order', ord, CAST(to_json(struct_pack(type := key)) AS VARCHAR) FROM q, (VALUES {_TYPES}) AS v(key, label, ord)""",
-    "q_report_lines": _PLACED_SQL + f""", t AS (SELECT qid, {_KIND_NO} AS ord, {_KIND} AS kind, count(*) AS n FROM p GROUP BY ALL),
+    "q_reports": _PLACED_SQL + f""", t AS (SELECT qid, {_KIND_NO} AS ord, {_KIND} AS kind, count(*) AS n FROM p GROUP BY ALL),
 e AS (SELECT qid, relation, sum(n) AS n FROM (SELECT qid, coalesce(relation, '') AS relation, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT qid, rel, 0 FROM q, (VALUES {_VALUES}) AS v(rel)) GROUP BY ALL),
 o AS (SELECT qid, 0 AS step_no, 0 AS line_no, NULL AS node_id, text AS line FROM q
 UNION ALL SELECT qid, 1, ord, NULL, '- **' || kind || '** ' || n FROM t
@@ -336,7 +370,7 @@ UNION ALL SELECT qid, 7, ord, NULL, '| ' || kind || ' | ' || n || ' |  |' FROM t
 UNION ALL SELECT q.qid, 7, 7, NULL, coalesce((SELECT count(*) FROM p WHERE p.qid = q.qid), 0) || ' records, ' || coalesce((SELECT count(*) FROM x WHERE x.qid = q.qid), 0) || ' relations.' FROM q
 UNION ALL SELECT qid, 7, {_case('relation', {r: 8 + i for i, r in enumerate(RELATIONS)}, 8 + len(RELATIONS))}, NULL, '- ' || relation || ': ' || n FROM e)
 SELECT qid, step_no, step, line_no, node_id, line FROM o JOIN (VALUES {_STEPS_SQL}) AS v(i, step) ON i = step_no""",
-    "q_reports": _LEADING_SQL + f""", d AS (SELECT DISTINCT qid, id FROM r WHERE types IS NULL OR list_contains(types, evidence_type)),
+    "q_top3_reports": _LEADING_SQL + f""", d AS (SELECT DISTINCT qid, id FROM r WHERE types IS NULL OR list_contains(types, evidence_type)),
 g AS (SELECT a.qid, count(*) AS edges FROM evidence_edges e JOIN d a ON e.source = a.id JOIN d b ON e.target = b.id AND a.qid = b.qid GROUP BY 1),
 t AS (SELECT qid, string_agg('- **' || {_LABEL} || '** ' || records, chr(10) ORDER BY ord) AS inventory, string_agg('| ' || {_LABEL} || ' | ' || records || ' |  |', chr(10) ORDER BY ord) AS table_rows,
   string_agg('#### ' || {_LABEL} || chr(10) || array_to_string(lines, chr(10)) || CASE WHEN records > len(lines) THEN chr(10) || '- and ' || (records - len(lines)) || ' more' ELSE '' END, chr(10) ORDER BY ord) AS blocks FROM l GROUP BY 1)
@@ -360,14 +394,17 @@ SELECT 'duplicate_id' AS "check", id AS detail FROM evidence_nodes GROUP BY id H
 {''.join(f" UNION ALL SELECT 'missing_field', '{c}' FROM evidence_nodes WHERE {c} IS NULL" for c in REQUIRED)}
 UNION ALL SELECT 'unknown_type', evidence_type FROM evidence_nodes WHERE evidence_type NOT IN ({', '.join(map(_quoted, EVIDENCE_ORDER))})
 UNION ALL SELECT 'dangling_edge', endpoint FROM ({_DANGLING_SQL})) GROUP BY ALL""",
+    "q_graph_health": f"""SELECT (SELECT count(*) FROM evidence_nodes) AS nodes, (SELECT count(*) FROM evidence_edges) AS edges,
+NOT EXISTS (SELECT 1 FROM evidence_nodes GROUP BY id HAVING count(*) > 1) AND NOT EXISTS (SELECT 1 FROM evidence_nodes WHERE {' OR '.join(f'{c} IS NULL' for c in REQUIRED)} OR evidence_type NOT IN ({', '.join(map(_quoted, EVIDENCE_ORDER))}))
+AND NOT EXISTS ({_DANGLING_SQL}) AS graph_valid""",
     "q_neighbours": f"SELECT source AS id FROM evidence_edges WHERE target = '{NODE_OF_INTEREST}' AND source IS NOT NULL UNION SELECT target FROM evidence_edges WHERE source = '{NODE_OF_INTEREST}' AND target IS NOT NULL UNION SELECT '{NODE_OF_INTEREST}'",
     "q_knowledge_top": _top_sql("coalesce(id, ''), " + _KB_PARTS, False) + "SELECT qid, id, score, place FROM t",
     "q_knowledge_for_case": _top_sql(_KB_PARTS, True) + "SELECT qid, id, score, place FROM t",
     "q_knowledge_text": _top_sql("coalesce(id, ''), " + _KB_PARTS, False) + f"SELECT q.qid, coalesce(string_agg('[' || coalesce(id, 'None') || '] ' || coalesce(topic, 'None') || ': ' || coalesce(statement, 'None') || ' Use: ' || coalesce(clinical_use, 'None'), chr(10) ORDER BY place) FILTER (WHERE place IS NOT NULL), {_quoted(NOTHING_FOUND)}) AS text FROM q LEFT JOIN t USING (qid) GROUP BY q.qid",
     "q_support": f"SELECT year, count(*) AS records, count(*) FILTER (WHERE {_SUPPORTS}) AS in_support, coalesce(bool_or({_SUPPORTS} AND coalesce(dose_signal IN ({', '.join(map(_quoted, LOW_DOSE))}), false)), false) AS low_dose FROM evidence_nodes GROUP BY 1",
-    "q_highlights": f"SELECT evidence_type, string_agg(coalesce(citation, '') || '：' || coalesce(main_findings, ''), '；' ORDER BY place) AS text FROM (SELECT *, row_number() OVER (PARTITION BY evidence_type ORDER BY {_PYRAMID}) AS place FROM evidence_nodes WHERE evidence_type IS NOT NULL) WHERE place <= 3 GROUP BY 1",
-    "q_type_summaries": f"SELECT evidence_type, (place + 99) // 100 AS chunk_no, count(*) AS records, string_agg(coalesce(citation, '') || '：' || coalesce(main_findings, ''), '；' ORDER BY place) AS text FROM (SELECT *, row_number() OVER (PARTITION BY evidence_type ORDER BY {_PYRAMID}) AS place FROM evidence_nodes) GROUP BY ALL",
-    "q_leading_evidence": _LEADING_SQL + "SELECT qid, evidence_type, records, array_to_string(lines, chr(10)) AS lines FROM l",
+    "q_top3_highlights": f"SELECT evidence_type, string_agg(coalesce(citation, '') || '：' || coalesce(main_findings, ''), '；' ORDER BY place) AS text FROM (SELECT *, row_number() OVER (PARTITION BY evidence_type ORDER BY {_PYRAMID}) AS place FROM evidence_nodes WHERE evidence_type IS NOT NULL) WHERE place <= 3 GROUP BY 1",
+    "q_highlights": f"SELECT evidence_type, (place + 99) // 100 AS chunk_no, count(*) AS records, string_agg(coalesce(citation, '') || '：' || coalesce(main_findings, ''), '；' ORDER BY place) AS text FROM (SELECT *, row_number() OVER (PARTITION BY evidence_type ORDER BY {_PYRAMID}) AS place FROM evidence_nodes) GROUP BY ALL",
+    "q_top3_evidence": _LEADING_SQL + "SELECT qid, evidence_type, records, array_to_string(lines, chr(10)) AS lines FROM l",
     "q_first_record": f"SELECT _ord, id FROM evidence_nodes WHERE evidence_type IN ('systematic_review', 'case_report') ORDER BY {_PYRAMID} LIMIT 1",
     "q_title_wrap": "SELECT _ord, substr(coalesce(title, ''), 1, 12) || CASE WHEN length(title) > 24 THEN '|' || substr(title, 13, 11) || '…' WHEN length(title) > 12 THEN '|' || substr(title, 13, 12) ELSE '' END AS wrapped FROM evidence_nodes",
     "q_imaging_findings": "SELECT case_ord, " + ", ".join(f"({f'coalesce(imaging.image_features.{f}, false) OR ' if f in _FLAGS else ''}{_affirmed_sql('imaging.radiology_report', p)}) AS imaging_{f}" for f, p in IMAGING_PHRASES.items()) + " FROM patient_cases",
@@ -375,7 +412,16 @@ UNION ALL SELECT 'dangling_edge', endpoint FROM ({_DANGLING_SQL})) GROUP BY ALL"
     "q_rule_scores": _rules_sql(),
     "q_latest_cases": "SELECT case_id, case_ord, age_years FROM patient_cases QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY loaded_at DESC NULLS LAST, case_ord DESC) = 1",
     "q_evidence_trace": f"WITH u AS (SELECT DISTINCT unnest([{', '.join(map(_quoted, USED_IDS))}]) AS evidence_id), k AS (SELECT * FROM knowledge_base QUALIFY row_number() OVER (PARTITION BY id ORDER BY _ord DESC) = 1) SELECT evidence_id, coalesce(topic, 'not_retrieved') AS topic, coalesce(statement, '') AS statement FROM u LEFT JOIN k ON k.id = evidence_id",
-    "q_plan_check": "SELECT * FROM (VALUES " + ", ".join(f"({a}::BIGINT, '{b}', '{c}')" for a, b, c in FAULTS) + ') AS v(step, "check", detail)',
+    "q_plan_check": f"""WITH p AS (SELECT l_orderkey AS plan, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS step, l_linenumber AS id,
+  CASE l_returnflag WHEN 'A' THEN 'quantitative' WHEN 'N' THEN 'qualitative' ELSE l_returnflag END AS kind, [l_suppkey % 12, l_partkey % 11] AS tools, [l_linenumber - 1, l_partkey % 5] AS inputs FROM lineitem)
+SELECT plan, step, 'id' AS "check", CAST(id AS VARCHAR) AS detail FROM p WHERE id <> step
+UNION ALL SELECT plan, step, 'action_type', kind FROM p WHERE kind NOT IN ('quantitative', 'qualitative')
+UNION ALL SELECT plan, step, 'tool', array_to_string(list_filter(tools, lambda t: t > 9), ',') FROM p WHERE len(list_filter(tools, lambda t: t > 9)) > 0
+UNION ALL SELECT plan, step, 'input', array_to_string(list_filter(inputs, lambda i: i < 0 OR i >= step), ',') FROM p WHERE len(list_filter(inputs, lambda i: i < 0 OR i >= step)) > 0""",
+    "q_source_rank": f"SELECT _ord, row_number() OVER (ORDER BY {_PYRAMID.replace('WHEN quality IS NULL THEN', 'WHEN quality IS NULL AND _ord % 2 = 0 THEN')}) AS pyramid_rank FROM evidence_nodes",
+    "q_source_violations": " UNION ALL ".join(f"SELECT _ord AS row, '{c}' AS detail FROM evidence_nodes WHERE {c} IS NULL AND _ord % 2 = 0" for c in REQUIRED),
+    "q_source_retrieve": _SOURCE_RETRIEVED + "SELECT qid, _ord, score FROM s WHERE score > 0",
+    "q_case_evidence": _CASE_EVIDENCE_SQL,
 }
 # The same searches with titles as questions.
 SQL |= {f"q_title_{k}": SQL[f"q_{k}"].replace(_Q, _TITLES) for k in ("retrieve", "knowledge_top", "knowledge_for_case")}

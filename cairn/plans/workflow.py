@@ -6,12 +6,16 @@ workflow of any length is one plan that runs when its result is written. Input 0
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.json_documents import documents
+
 # What a step must state, and the kinds of action.
 STEP_FIELDS = ["id", "layer", "tool", "action_type", "action", "input_type", "output_type", "output_path", "proposal_task"]
 ACTION_TYPES = ["quantitative", "qualitative"]
@@ -80,6 +84,66 @@ def compile_plan(raw: DataFrame, plan: Sequence[Mapping], toolset: Sequence[Mapp
     return results
 
 
+def step_violations(steps: DataFrame, tools: Sequence[int]) -> DataFrame:
+    """The same checks for plans in a table: ``plan``, ``step``, ``check``, ``detail``, one pass without a shuffle.
+
+    ``steps`` has plan, position (from 1), id, action_type, tools and inputs (arrays). An input must be 0 or an earlier position.
+    """
+    position = F.col("position")
+
+    def joined(values: Column) -> Column:
+        return F.when(F.size(values) > 0, F.array_join(F.transform(values, lambda v: v.cast("string")), ","))
+
+    unknown = F.filter("tools", lambda t: ~t.isin(*tools)) if tools else F.array().cast("array<bigint>")
+    later = F.filter("inputs", lambda i: (i < 0) | (i >= position))
+    found = [
+        ("id", F.when(F.col("id").isNull() | (F.col("id") != position), F.coalesce(F.col("id").cast("string"), F.lit("none")))),
+        ("action_type", F.when(F.coalesce(~F.col("action_type").isin(*ACTION_TYPES), F.lit(True)), F.coalesce("action_type", F.lit("none")))),
+        ("tool", F.when(F.coalesce(F.size("tools"), F.lit(0)) < 1, F.lit("none")).otherwise(joined(unknown))),
+        ("input", joined(later)),
+    ]
+    each = F.explode(F.filter(F.array(*(F.struct(F.lit(n).alias("check"), d.alias("detail")) for n, d in found)), lambda x: x["detail"].isNotNull()))
+    return steps.select("plan", position.alias("step"), each.alias("_v")).select("plan", "step", "_v.check", "_v.detail")
+
+
+@dataclass
+class Workflow:
+    """What a folder says about a task: its description, its tools and its plan."""
+
+    task: dict
+    toolset: list[dict]
+    plan: list[dict]
+
+
+def _json_at(spark: SparkSession, path: str) -> object | None:
+    """The one JSON document at a path, small enough to configure a run; None where there is nothing."""
+    try:
+        row = documents(spark, path).select(F.to_json("doc")).first()
+    except AnalysisException:
+        return None
+    return None if row is None or row[0] is None else json.loads(row[0])
+
+
+def load_workflow(spark: SparkSession, folder: str, pathway: Callable[[dict, list[dict]], list[dict]] | None = None) -> Workflow:
+    """``task.json``, ``toolset.json`` and ``plan.json`` of a folder. A plan that isn't there is made by ``pathway``, checked, and written there."""
+    task, toolset, plan = (_json_at(spark, f"{folder}/{name}.json") for name in ("task", "toolset", "plan"))
+    if not isinstance(toolset, list):
+        raise ValueError("the folder has no toolset")
+    if plan is None:
+        if pathway is None:
+            raise ValueError("the folder has no plan")
+        plan = pathway(task or {}, toolset)
+        if broken := check(plan, [int(t["id"]) for t in toolset]):
+            raise ValueError(f"step {broken[0].step}: {broken[0].check} {broken[0].detail}")
+        spark.createDataFrame([(json.dumps(plan, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/plan.json")
+    return Workflow(task or {}, toolset, plan)
+
+
+def last_result(results: Mapping[int, DataFrame]) -> DataFrame:
+    """The result of the last step."""
+    return results[max(results)]
+
+
 def latest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Upsert: of the rows with equal key the last in ``order`` wins, whole. A partial aggregate, so a hot key leaves a task as one row."""
     values = [c for c in rows.columns if c not in key]

@@ -40,6 +40,17 @@ def array_documents(spark: SparkSession, path: str, schema: T.StructType, missin
     return rows.select(F.col("_ord").cast("bigint").alias("_ord"), *fields, F.to_json("_e").alias("_raw"))
 
 
+def records_of(df: DataFrame, key: str, text: str, schema: T.StructType) -> DataFrame:
+    """A record per row, as JSON in the column ``text``: ``_ord`` (the column ``key``), the fields of ``schema``, and ``_raw``, the text itself.
+
+    What isn't a JSON object has nulls, and no ``_raw``.
+    """
+    parsed = df.select(F.col(key).cast("bigint").alias("_ord"), F.col(text).alias("_text"), parse_document(F.col(text)).alias("_e"))
+    fields: list[Column] = [F.try_variant_get(child(F.col("_e"), f.name), "$", f.dataType.simpleString()).alias(f.name) for f in schema.fields]
+    whole = F.try_variant_get("_e", "$", "map<string,variant>").isNotNull()
+    return parsed.select("_ord", *fields, F.when(whole, F.col("_text")).alias("_raw"))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines, in place of what is there."""
     df.write.mode("overwrite").json(path)

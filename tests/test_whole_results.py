@@ -2,10 +2,8 @@ from __future__ import annotations
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm.packing import containers, pack_documents
 from cairn.operators.cases import exploded_cases, normalized
 from cairn.operators.graph import induced_each
 from cairn.operators.report import payload_rows, report_lines
@@ -93,19 +91,6 @@ def test_composite_references_of_all_cases(spark, tmp_path):
     assert sorted((r.case_ord, r.null_mask) for r in p2_composite_all(spark, str(tmp_path)).collect()) == [(0, "00"), (2, "00"), (4, "10"), (6, "00"), (7, "00"), (9, "00"), (10, "00")]
 
 
-def test_packs_of_repeated_names(spark):
-    docs = spark.createDataFrame([(1, "a", "some words"), (2, "b", "others")], "doc_id bigint, source string, text string")
-
-    def packs(*rows):
-        return spark.createDataFrame(list(rows), "pack_name string, capacity_tokens bigint")
-
-    given = packs(("p", 100), ("p", None), ("p", 0), ("p", 100), (None, 5))
-    [row] = containers(pack_documents(docs, given), given).collect()
-    assert (row.pack_name, row.items) == ("p", 2) and row.tokens + row.unused == 100
-    with pytest.raises(ValueError, match="p"):
-        pack_documents(docs, packs(("p", 100), ("p", 50)))
-
-
 def test_titles_as_questions(spark):
     n = nodes(spark, *(node(i, f"i{i}", title=f"word{i} {'x' * (i % 7)}" if i else None) for i in range(120)))
     asked = title_questions(n)
