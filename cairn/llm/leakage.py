@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ..session import spread
 from .shared import batches as stored_batches
 from .shared import stored
-from .wikitext import page_words, plain_words
+from .wikitext import Pieces, plain_words, words
 
 MIN_WORDS = 12
 SHARD_WORDS = 1_000_000
@@ -132,6 +132,7 @@ class Shard:
         self.ids = array("i")
         self.starts: list[int] = []
         self.docs: list[int] = []
+        self.pieces = Pieces(self._coded)
         self.text: np.ndarray | None = None
 
     def add(self, doc: int, parts: list[list[str]]) -> None:
@@ -142,6 +143,24 @@ class Shard:
             self.ids.extend([numbers.setdefault(w, len(numbers) + 1) for w in part])
             self.ids.append(0)
 
+    def _coded(self, texts: list[str]) -> list[array]:
+        numbers = self.numbers
+        return [array("i", [numbers.setdefault(w, len(numbers) + 1) for w in words(t)]) for t in texts]
+
+    def read(self, doc: int, page: str | None) -> None:
+        """Adds a page: its main stream and the others, each with its end."""
+        self.starts.append(len(self.ids))
+        self.docs.append(doc)
+        pieces, ids = self.pieces(page), self.ids
+        for piece in pieces:
+            ids.extend(piece[0])
+        ids.append(0)
+        for piece in pieces:
+            for other in piece[1:]:
+                if other:
+                    ids.extend(other)
+                    ids.append(0)
+
     def build(self, min_words: int) -> None:
         n = len(self.ids)
         self.text = np.zeros(n + min_words, np.int32)
@@ -244,7 +263,7 @@ def _searcher(folder: str, min_words: int, shard_words: int, block_words: int) -
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
-                shard.add(ids[i].as_py(), page_words(texts[i].as_py()))
+                shard.read(ids[i].as_py(), texts[i].as_py())
                 if len(shard.ids) >= shard_words:
                     yield from rows(shard)
                     shard = Shard()

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, spread
-from .wikitext import streams
+from .wikitext import Pieces
 
 SHARE = 0.25
 ROUNDS = 5
@@ -78,14 +78,15 @@ def sentence_words(sentence: str) -> list[str]:
     return [w.translate(_LEET) if not w.isalpha() and not w.isdigit() else w for w in _WORD.findall(sentence.lower()) if not w.isdigit()]
 
 
-def page_lines(text: str | None) -> Iterator[tuple[int, str, bool]]:
+def page_lines(text: str | None, pieces: Pieces | None = None) -> Iterator[tuple[int, str, bool]]:
     """The lines of a page with the number of their section, and the headings that begin sections."""
     if not text:
         return
     if m := _REDIRECT.match(text):
         text = text[m.end() :]
     section = 0
-    for stream in streams(text):
+    read = (pieces or Pieces())(text)
+    for stream in (*(p[0] for p in read), *(t for p in read for t in p[1:])):
         for line in stream.split("\n"):
             line = line.strip()
             if not line:
@@ -119,12 +120,11 @@ _BLOCK = {
 class _Encoder:
     def __init__(self) -> None:
         self.hashes: dict[str, int] = {}  # a token's hash, 0 for a number
-        self.split: dict[tuple[str, str], list[int]] = {}
+        self.pieces = Pieces()
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[int, int] = {}
-        self.flat: list[int] = []
+        self.tokens: list[str] = []  # of the sentences, one after the other
         self.starts, self.meta = [0], []
         self.known: dict[tuple[str, str], int] = {}
         self.lines: dict[str, list[int]] = {}
@@ -134,72 +134,68 @@ class _Encoder:
         self.docs: list[int | None] = []
         self.pages: list[int] = []
 
-    def hashed(self, kind: str, text: str) -> list[int]:
-        """Hashes of the words; words of metadata are told from those of the text by a letter before them."""
-        hashes, out = self.hashes, []
-        for w in _WORD.findall(text.lower()):
-            w = kind + w if kind else w
-            h = hashes.get(w)
-            if h is None:
-                if len(hashes) > 1_000_000:
-                    hashes.clear()
-                bare = w[len(kind) :]
-                h = hashes[w] = 0 if bare.isdigit() else _hash(w if bare.isalpha() else kind + bare.translate(_LEET))
-            if h:
-                out.append(h)
-        return out
+    def hashed(self, token: str) -> int:
+        """Words of metadata are told from those of the text by a letter or number and a colon before them."""
+        h = self.hashes.get(token)
+        if h is None:
+            if len(self.hashes) > 1_000_000:
+                self.hashes.clear()
+            kind, _, bare = token.rpartition(":")
+            kind = kind and kind + ":"
+            h = self.hashes[token] = 0 if bare.isdigit() else _hash(token if bare.isalpha() else kind + bare.translate(_LEET))
+        return h
 
     def number(self, kind: str, text: str) -> int:
-        """The number of a sentence in the block, -1 if it has too few words."""
-        key = (kind, text)
-        n = self.known.get(key)
+        """The number of a sentence in the block."""
+        n = self.known.get((kind, text))
         if n is None:
-            words = self.split.get(key)
-            if words is None:
-                if len(self.split) > 100_000:
-                    self.split.clear()
-                words = self.split[key] = self.hashed(kind, text)
-            if len(words) >= (1 if kind else MIN_SENTENCE_WORDS):
-                n, codes = len(self.meta), self.codes
-                self.flat.extend([codes.setdefault(h, len(codes)) for h in words])
-                self.starts.append(len(self.flat))
-                self.meta.append(bool(kind))
-            else:
-                n = -1
-            self.known[key] = n
+            words = _WORD.findall(text.lower())
+            n = self.known[kind, text] = len(self.meta)
+            self.tokens += [kind + w for w in words] if kind else words
+            self.starts.append(len(self.tokens))
+            self.meta.append(bool(kind))
         return n
 
     def add(self, doc: int | None, page: int, text: str, about: Sequence[tuple[str, str | None]]) -> None:
         before, section, lines = len(self.sentences), 0, self.lines
-        for section, line, heading in page_lines(text):
+        for section, line, heading in page_lines(text, self.pieces):
             if heading:
-                if (n := self.number("h:", line)) >= 0:
-                    self.sentences.append(n)
-                    self.sections.append(section)
+                self.sentences.append(self.number("h:", line))
+                self.sections.append(section)
                 continue
             numbers = lines.get(line)  # revisions of a page share most of their lines
             if numbers is None:
-                numbers = lines[line] = [n for s in _SENTENCE.split(line) if (n := self.number("", s)) >= 0]
-            self.sentences.extend(numbers)
-            self.sections.extend([section] * len(numbers))
+                numbers = lines[line] = [self.number("", s) for s in _SENTENCE.split(line)]
+            self.sentences += numbers
+            self.sections += [section] * len(numbers)
         for kind, s in (*about, *(("c:", c) for c in _CATEGORY.findall(text))):
-            if s and (n := self.number(kind, s)) >= 0:
-                self.sentences.append(n)
+            if s:
+                self.sentences.append(self.number(kind, s))
                 self.sections.append(section + 1)
         self.lengths.append(len(self.sentences) - before)
         self.docs.append(doc)
         self.pages.append(page)
 
     def full(self) -> bool:
-        return len(self.docs) >= BLOCK_DOCS or len(self.flat) >= BLOCK_WORDS or len(self.sentences) >= BLOCK_WORDS
+        return len(self.docs) >= BLOCK_DOCS or len(self.tokens) >= BLOCK_WORDS or len(self.sentences) >= BLOCK_WORDS
 
     def block(self) -> pa.RecordBatch:
-        lists = [
-            pa.array([list(self.codes)], pa.list_(pa.int64())), *(pa.array([x], pa.list_(pa.int32())) for x in (self.flat, self.starts)), pa.array([self.meta], pa.list_(pa.bool_())),
-            *(pa.array([x], pa.list_(pa.int32())) for x in (self.sentences, self.sections, self.lengths)), *(pa.array([x], pa.list_(pa.int64())) for x in (self.docs, self.pages)),
+        """The block so far, without numbers and without sentences of too few words."""
+        tokens = pa.array(self.tokens, pa.string()).dictionary_encode()
+        h = np.array([self.hashed(t) for t in tokens.dictionary.to_pylist()], np.int64)[tokens.indices.to_numpy()] if self.tokens else np.zeros(0, np.int64)
+        starts, meta = np.array(self.starts), np.array(self.meta, bool)
+        sizes = _sums((h != 0).astype(np.int64), starts)
+        valid = sizes >= np.where(meta, 1, MIN_SENTENCE_WORDS)
+        words, codes = np.unique(h[(h != 0) & np.repeat(valid, np.diff(starts))], return_inverse=True)
+        sentences, doc = np.array(self.sentences, np.int64), np.repeat(np.arange(len(self.docs)), self.lengths)
+        kept = valid[sentences] if len(sentences) else np.zeros(0, bool)
+        columns = [
+            words, codes.astype(np.int32), np.r_[0, np.cumsum(sizes[valid])].astype(np.int32), meta[valid], (np.cumsum(valid) - 1)[sentences[kept]].astype(np.int32) if len(valid) else sentences.astype(np.int32),
+            np.array(self.sections, np.int32)[kept], np.bincount(doc[kept], minlength=len(self.docs)).astype(np.int32), self.docs, self.pages,
         ]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         self.clear()
-        return pa.RecordBatch.from_arrays(lists, names=list(_BLOCK))
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c, k)) for c, k in zip(columns, kinds)], names=list(_BLOCK))
 
 
 def blocks_of(documents: DataFrame, doc_id: str = "doc_id", page_id: str | None = "page_id", text: str = "text", about: Sequence[str] = ()) -> DataFrame:

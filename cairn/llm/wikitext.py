@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 
 # Tags that the wiki renders, namespaces whose links show nothing or only a caption.
 _BLOCK_TAGS = "br|p|div|li|ul|ol|dl|dt|dd|tr|td|th|table|caption|thead|tbody|h[1-6]|hr|blockquote|center|poem|pre|gallery|references"
@@ -82,8 +83,47 @@ class _Stream:
 
 def streams(page: str | None) -> list[str]:
     """The visible text of a page: the main stream first, the others in the order in which they begin."""
-    if not page:
-        return []
+    return [t for i, t in enumerate(_read(page)[0]) if t and (i == 0 or not t.isspace())] if page else []
+
+
+class Pieces:
+    """Pages read paragraph by paragraph; a paragraph that leaves nothing open is read once, however many pages hold it.
+
+    A page's streams are those of its pieces: the first texts of all pieces, with an empty line between them, are the main stream.
+    """
+
+    def __init__(self, made: Callable[[list[str]], object] = list, most: int = 50_000) -> None:
+        self.made, self.most = made, most
+        self.known: dict[str, object] = {}
+
+    def __call__(self, page: str | None) -> list:
+        """What ``made`` gives for the texts of each piece, the piece's part of the main stream first."""
+        out: list = []
+        if not page:
+            return out
+        parts, known = page.split("\n\n"), self.known
+        for i, p in enumerate(parts):
+            piece = known.get(p)
+            if piece is None:
+                if len(known) > self.most:
+                    known.clear()
+                texts, closed = _read(p) if _alone(p) else ([], False)
+                piece = known[p] = self.made(texts) if closed else False
+            if piece is False:  # something goes on after the paragraph: the rest of the page is one piece
+                out.append(self.made(_read("\n\n".join(parts[i:]))[0]))
+                break
+            out.append(piece)
+        return out
+
+
+def _alone(paragraph: str) -> bool:
+    """Whether no tag, comment or literal text can go on after the paragraph."""
+    comment = paragraph.rfind("<!--")
+    return paragraph.rfind("<") <= paragraph.rfind(">") and (comment < 0 or paragraph.find("-->", comment + 4) >= 0) and "nowiki" not in paragraph.lower()
+
+
+def _read(page: str) -> tuple[list[str], bool]:
+    """The texts of all streams, and whether all markup is closed at the end."""
     out = [_Stream()]
     # Each entry: kind, the stream to go back to, where in it the markup began, and for links the text of the target.
     stack: list[list] = []
@@ -204,7 +244,7 @@ def streams(page: str | None) -> list[str]:
         # comments, formatting, the address of an external link and behaviour switches show nothing
     if at < len(page):
         here.parts.append(page[at:])
-    return [t for i, s in enumerate(out) if (t := s.text()) and (i == 0 or not t.isspace())]
+    return [s.text() for s in out], not stack
 
 
 def _is_name(parts: list[str], began: int) -> bool:

@@ -62,3 +62,18 @@ def test_any_markup_is_read_without_failing():
     pieces = ["{{", "}}", "{{{", "}}}", "[[", "]]", "|", "||", "\n|", "\n|-", "\n{|", "\n|}", "!", "!!", "<ref>", "</ref>", "<ref name=a/>", "''", "<!--", "-->", "=", "a", "b c", "File:", "Category:", "&lt;", "<b>", "<nowiki>", "</nowiki>", "\n"]
     for _ in range(3000):
         page_words("".join(rnd.choice(pieces) for _ in range(rnd.randrange(30))))
+
+
+def test_pieces_are_the_streams():
+    import random
+
+    from cairn.llm.wikitext import Pieces, streams
+
+    rnd = random.Random(5)
+    bits = ["{{", "}}", "{|", "|}", "|-", "|", "||", "!!", "!", "[[", "]]", "[http://x", "]", "'" * 3, "\n", "\n\n", "\n\n", "\n\n\n", "\n|", " ", "a", "b ", "<ref>", "</ref>", "<ref name=", ">", "<", "<br>", "<!--", "-->", "<nowiki>", "</nowiki>", "__TOC__", "&am", "p;", "=x=", "File:x|", "{{{", "}}}", "e\u0301", "\u0301"]
+    pieces = Pieces()
+    for _ in range(20_000):
+        page = "".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 25)))
+        read = pieces(page)
+        whole = ["\n\n".join(p[0] for p in read), *(t for p in read for t in p[1:])]
+        assert [t for i, t in enumerate(whole) if t and (i == 0 or not t.isspace())] == streams(page)
