@@ -46,6 +46,10 @@ def _as_text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
+def _is_text(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+
+
 def parse_document(payload: Column) -> Column:
     """The document as ``VARIANT``; null unless the whole text is one well-formed document.
 
@@ -56,12 +60,17 @@ def parse_document(payload: Column) -> Column:
     return F.when(F.size(pair) == 2, F.get(pair, 0))
 
 
-def unwrap_text(document: Column, depth: int = 2) -> Column:
-    """A document that is a JSON string holds a document as its content, down to ``depth`` strings."""
-    for _ in range(depth):
-        text = F.when(F.schema_of_variant(document) == "STRING", _as_text(document))
-        document = F.when(text.isNotNull(), parse_document(text)).otherwise(document)
-    return document
+def unwrap_text(document: Column, depth: int = 16) -> Column:
+    """A document that is a JSON string holds a document as its content, down to ``depth`` strings.
+
+    Each string doubles the backslashes before the quotes within it, so a text of 16 strings is longer than any document.
+    """
+
+    def content(v: Column) -> Column:
+        return F.when(_is_text(v), parse_document(_as_text(v))).otherwise(v)
+
+    # Documents that are no strings are left as they are; the levels of the others are one expression, run again and again.
+    return F.when(_is_text(document), F.aggregate(F.sequence(F.lit(1), F.lit(depth)), document, lambda v, _: content(v))).otherwise(document)
 
 
 def case_list(document: Column) -> Column:

@@ -127,7 +127,6 @@ def _rules_sql() -> str:
 # ---------------------------------------------------------------- workflows
 
 TOOLS = list(range(10))
-USED_IDS = ["KB-TR-001", "KB-FO-002", "KB-XX-999", "KB-IM-003", "KB-TR-001"]
 
 
 def _plan_faults(s: SparkSession, d: str) -> DataFrame:
@@ -146,6 +145,12 @@ def _json_nodes(s: SparkSession, d: str) -> DataFrame:
     return records_of(texts, "_ord", "_text", NODE)
 
 
+def _trace(s: SparkSession, d: str) -> DataFrame:
+    """All records that edges point to, with what the records of these ids say."""
+    used = _edges(s, d).select(F.col("target").alias("evidence_id"))
+    return trace(used, _nodes(s, d).select("id", "_ord", F.col("evidence_type").alias("topic"), F.col("main_findings").alias("statement")))
+
+
 def _case_evidence(s: SparkSession, d: str) -> DataFrame:
     """What the findings of each case retrieve: its scores and its pathogen and treatment words are the question."""
     flat = apply_rules(structured(table(s, d, "patient_cases"), "case_ord"), _inflammation(), INFLAMMATION_CUTS, "few", "rule", cap=6.0)
@@ -215,6 +220,7 @@ def _guideline_edges(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "q_tokens": lambda s, d: _nodes(s, d).select("_ord", F.array_join(mixed_tokens(F.col("title")), "|").alias("mixed"), F.array_join(F.array_sort(token_set(F.col("title"))), "|").alias("words")),
     "q_token_counts": lambda s, d: _nodes(s, d).select("_ord", F.coalesce(F.size(mixed_tokens(F.col("title"))), F.lit(0)).cast("bigint").alias("mixed"), F.size(token_set(F.col("title"))).cast("bigint").alias("words")),
     "q_retrieve": lambda s, d: retrieval_order(retrieve(_nodes(s, d), QUESTIONS)).select("qid", "_ord", "score", "place"),
     "q_retrieve_by_type": lambda s, d: pyramid_order(of_types(retrieve(_nodes(s, d), QUESTIONS))).select("qid", "_ord", "place"),
@@ -252,7 +258,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_report_findings": _report_findings,
     "q_rule_scores": _scores,
     "q_latest_cases": _latest_cases,
-    "q_evidence_trace": lambda s, d: trace(s.createDataFrame([(i,) for i in USED_IDS], "evidence_id string"), _kb(s, d)),
+    "q_evidence_trace": _trace,
     "q_plan_check": _plan_faults,
     "q_source_rank": lambda s, d: pyramid(_json_nodes(s, d)).select("_ord", "pyramid_rank"),
     "q_source_violations": lambda s, d: violations(_json_nodes(s, d), _edges(s, d)).where(F.col("check") == "missing_field").select("row", "detail"),
@@ -377,6 +383,7 @@ t AS (SELECT qid, string_agg('- **' || {_LABEL} || '** ' || records, chr(10) ORD
 SELECT q.qid, '## Question' || repeat(chr(10), 2) || '**' || q.text || '**' || repeat(chr(10), 2) || '### Evidence found' || repeat(chr(10), 2) || coalesce(inventory, '') || repeat(chr(10), 2) || '### Leading evidence' || repeat(chr(10), 2) || coalesce(blocks, '')
   || repeat(chr(10), 2) || '### Synthesis' || repeat(chr(10), 2) || '| type | records | role |' || chr(10) || '|---|---:|---|' || chr(10) || coalesce(table_rows, '') || repeat(chr(10), 2) || 'Relations among the evidence: ' || coalesce(edges, 0) || '.' AS report
 FROM q LEFT JOIN t USING (qid) LEFT JOIN g USING (qid)""",
+    "q_tokens": f"SELECT _ord, array_to_string(list_transform(regexp_extract_all(title, '[a-zA-Z0-9]+|[\\x{{4e00}}-\\x{{9fff}}]+'), lambda t: lower(t)), '|') AS mixed, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(title), '{ASCII_TOKEN}'))), '|'), '') AS words FROM evidence_nodes",
     "q_token_counts": f"SELECT _ord, coalesce(len(regexp_extract_all(title, '[a-zA-Z0-9]+|[\\x{{4e00}}-\\x{{9fff}}]+')), 0) AS mixed, coalesce(len(list_distinct(regexp_extract_all(lower(title), '{ASCII_TOKEN}'))), 0) AS words FROM evidence_nodes",
     "q_retrieve": _RETRIEVED + f"SELECT qid, _ord, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, {_case('evidence_type', EVIDENCE_ORDER, 6)}, coalesce(year, 0) DESC, coalesce(id, ''), _ord) AS place FROM r",
     "q_retrieve_by_type": _RETRIEVED + f"SELECT qid, _ord, row_number() OVER (PARTITION BY qid ORDER BY {_PYRAMID}) AS place FROM r WHERE types IS NULL OR list_contains(types, evidence_type)",
@@ -411,7 +418,7 @@ AND NOT EXISTS ({_DANGLING_SQL}) AS graph_valid""",
     "q_report_findings": "SELECT case_ord, " + ", ".join(f"{_affirmed_sql('imaging.radiology_report', p)} AS {f}" for f, p in IMAGING_PHRASES.items()) + " FROM patient_cases",
     "q_rule_scores": _rules_sql(),
     "q_latest_cases": "SELECT case_id, case_ord, age_years FROM patient_cases QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY loaded_at DESC NULLS LAST, case_ord DESC) = 1",
-    "q_evidence_trace": f"WITH u AS (SELECT DISTINCT unnest([{', '.join(map(_quoted, USED_IDS))}]) AS evidence_id), k AS (SELECT * FROM knowledge_base QUALIFY row_number() OVER (PARTITION BY id ORDER BY _ord DESC) = 1) SELECT evidence_id, coalesce(topic, 'not_retrieved') AS topic, coalesce(statement, '') AS statement FROM u LEFT JOIN k ON k.id = evidence_id",
+    "q_evidence_trace": "WITH u AS (SELECT DISTINCT target AS evidence_id FROM evidence_edges WHERE target IS NOT NULL), k AS (SELECT * FROM evidence_nodes QUALIFY row_number() OVER (PARTITION BY id ORDER BY _ord DESC) = 1) SELECT evidence_id, coalesce(evidence_type, 'not_retrieved') AS topic, coalesce(main_findings, '') AS statement FROM u LEFT JOIN k ON k.id = evidence_id",
     "q_plan_check": f"""WITH p AS (SELECT l_orderkey AS plan, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS step, l_linenumber AS id,
   CASE l_returnflag WHEN 'A' THEN 'quantitative' WHEN 'N' THEN 'qualitative' ELSE l_returnflag END AS kind, [l_suppkey % 12, l_partkey % 11] AS tools, [l_linenumber - 1, l_partkey % 5] AS inputs FROM lineitem)
 SELECT plan, step, 'id' AS "check", CAST(id AS VARCHAR) AS detail FROM p WHERE id <> step

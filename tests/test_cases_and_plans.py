@@ -92,3 +92,32 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     want = normalized(exploded_cases(df, "raw_id", "payload"))
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_plans_in_a_table(spark):
+    from cairn.plans.workflow import step_violations
+
+    rows = [(1, 1, 1, "quantitative", [1], [0]), (1, 2, 3, "odd", [], [0, 2]), (2, 1, None, None, None, None), (2, 2, 2, "qualitative", [1, 9, 8], [-1, 1])]
+    steps = spark.createDataFrame(rows, "plan bigint, position bigint, id bigint, action_type string, tools array<bigint>, inputs array<bigint>")
+    got = sorted(map(tuple, step_violations(steps, [1, 2]).collect()))
+    assert got == [(1, 2, "action_type", "odd"), (1, 2, "id", "3"), (1, 2, "input", "2"), (1, 2, "tool", "none"), (2, 1, "action_type", "none"), (2, 1, "id", "none"), (2, 1, "tool", "none"), (2, 2, "input", "-1"), (2, 2, "tool", "9,8")]
+
+
+def test_a_folder_with_and_without_a_plan(spark, tmp_path):
+    from cairn.plans.workflow import last_result, load_workflow
+
+    folder = str(tmp_path)
+    with pytest.raises(ValueError, match="toolset"):
+        load_workflow(spark, folder)
+    (tmp_path / "task.json").write_text(json.dumps({"name": "t"}))
+    (tmp_path / "toolset.json").write_text(json.dumps([{"id": 1, "command": "double(x)"}]))
+    with pytest.raises(ValueError, match="plan"):
+        load_workflow(spark, folder)
+    with pytest.raises(ValueError, match="tool 7"):
+        load_workflow(spark, folder, lambda task, tools: [STEP | {"tool": [7]}])
+    made = load_workflow(spark, folder, lambda task, tools: [STEP | {"action": task["name"]}])
+    again = load_workflow(spark, folder, lambda task, tools: 1 / 0)
+    assert made.plan == again.plan == [STEP | {"action": "t"}] and again.task == {"name": "t"}
+    registry = Registry({"double": lambda df: df.withColumn("x", F.col("x") * 2)})
+    results = compile_plan(spark.createDataFrame([(3,)], "x int"), again.plan, again.toolset, registry)
+    assert last_result(results).first().x == 6

@@ -80,7 +80,7 @@ def test_retrieval_with_fallback(spark):
     for r in retrieval_order(got).collect():
         by.setdefault(r.qid, []).append((r.place, r.id, r.score))
     assert {q: [(i, s) for _, i, s in sorted(v)] for q, v in by.items()} == {
-        1: [("a", 1)], 2: [("a", 0), ("b", 0), ("c", 0)], 3: [("a", 0), ("b", 0), ("c", 0)], 4: [("a", 1), ("b", 1), ("c", 1)], 5: [("a", 2)],
+        1: [("a", 1)], 2: [("a", 0), ("b", 0), ("c", 0)], 3: [("a", 0), ("b", 0), ("c", 0)], 4: [("a", 1), ("b", 1)], 5: [("a", 2)],
         6: [("a", 0), ("b", 0), ("c", 0)], 7: [("a", 0), ("b", 0), ("c", 0)],
     }
     left = {(r.qid, r.id) for r in pyramid_order(of_types(got)).collect()}
@@ -219,3 +219,42 @@ def test_phrases_are_taken_literally(spark):
 
     df = spark.createDataFrame([("a c++ (b) finding",), ("no c++ (b) here",), (None,)], "t string")
     assert [r[0] for r in df.select(affirmed(F.col("t"), ["c++ (b)", "a|b"])).collect()][0] is True
+
+
+RAW = ['{"id":"a","title":"t","evidence_type":"guideline","year":2020,"main_findings":null,"quality":null}', '{"id":"b","title":"t","evidence_type":"guideline","year":2020}', '{"id":"c","title":"t","evidence_type":"guideline","year":2020,"main_findings":"f","quality":"low","extra":"month 7"}', "[1]"]
+
+
+def test_missing_keys_are_not_nulls(spark):
+    from cairn.sources.json_documents import NODE, records_of
+
+    n = records_of(spark.createDataFrame(list(enumerate(RAW)), "k int, t string"), "k", "t", NODE)
+    # a missing quality counts as low and so ties with a low one, a null comes after them
+    assert [r.id for r in pyramid(n).where("id IS NOT NULL").orderBy("pyramid_rank").collect()] == ["b", "c", "a"]
+    edges = spark.createDataFrame([], "_ord bigint, source string, target string, relation string, description string")
+    assert sorted((r.row, r.detail) for r in violations(n, edges).where("check = 'missing_field' AND row < 3").collect()) == [(1, "main_findings")]
+    hits = retrieve(n.where("_ord < 3"), [Question(1, "null"), Question(2, "month"), Question(3, "nothing at all zz")])
+    assert sorted((r.qid, r._ord) for r in hits.collect()) == [(1, 0), (2, 2), (3, 0), (3, 1), (3, 2)]
+    assert {r.qid for r in retrieve(n, [Question(1, "null"), Question(3, "zz")], fallback=False).collect()} == {1}
+    table = n.drop("_raw").where("_ord < 3")  # in a table a null is a missing value
+    assert {r.row for r in violations(table, edges).where("check = 'missing_field'").collect()} == {0, 1}
+    assert [r.id for r in pyramid(table).orderBy("pyramid_rank").collect()] == ["a", "b", "c"]
+
+
+def test_graph_health(spark):
+    from cairn.operators.graph import graph_counts
+    from cairn.sources.json_documents import NODE, records_of
+
+    n = records_of(spark.createDataFrame([(2, RAW[2])], "k int, t string"), "k", "t", NODE)
+    edges = spark.createDataFrame([(0, "c", "c", "r", None), (1, "c", "x", "r", None)], "_ord bigint, source string, target string, relation string, description string")
+    assert tuple(graph_counts(n, edges.where("_ord = 0")).first()) == (1, 1, True)
+    assert tuple(graph_counts(n, edges).first()) == (1, 2, False)
+    assert tuple(graph_counts(n.limit(0), edges.limit(0)).first()) == (0, 0, True)
+
+
+def test_questions_from_results(spark):
+    from cairn.operators.retrieval import result_questions
+
+    df = spark.createDataFrame([(1, ("high", None), ["a b"]), (2, None, None)], "k int, s struct<level:string,other:string>, r array<string>")
+    assert [(r.qid, r.text) for r in result_questions(df, "k", ["s", "r"]).orderBy("qid").collect()] == [(1, '[{"level":"high"},["a b"]]'), (2, "[null,null]")]
+    kb = spark.createDataFrame([(0, "K", "x", ["level"], "high", None)], "_ord bigint, id string, topic string, tags array<string>, statement string, clinical_use string")
+    assert [(r.qid, r.score) for r in knowledge_for_case(kb, result_questions(df, "k", ["s", "r"])).collect()] == [(1, 2)]

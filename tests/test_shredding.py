@@ -106,3 +106,15 @@ def test_ordinals_of_levels():
     first, second = _ordinals(r, 2)
     assert first.tolist() == [0, 0, 0, 1, 1, 0, 1, 1]
     assert second.tolist() == [0, 1, 2, 0, 1, 0, 0, 1]
+
+
+def test_documents_wrapped_in_many_strings(spark):
+    inner = json.dumps({"symptoms": {"fever_days": 3}})
+    rows, text = [], inner
+    for n in range(8):
+        rows.append((n, text))
+        text = json.dumps(text)
+    rows += [(20, json.dumps("plain")), (21, '"' + inner), (22, json.dumps(inner + " x"))]
+    levels = shred(spark.createDataFrame(rows, "raw_id bigint, payload string"), "raw_id", "payload", ["symptoms.fever_days"])
+    got = leaf_rows(levels, "raw_id", {"symptoms": "fever_days"}, ["case_no", "item_no"]).collect()
+    assert sorted(r.raw_id for r in got) == list(range(8))
