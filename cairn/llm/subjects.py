@@ -18,8 +18,8 @@ of a page that holds more than ``PAGE_SHARE`` of them the revisions count less,
 
 Classifiers. Logistic fits over unigrams and hashed bigrams, which start from the evidence of single words, on excerpts
 and a sample of weakly labelled sentences, chosen by a hash per label, of about ``FIT_SENTENCES`` in all. A quarter of all
-sentences, by hash, is held out. On a sample of those (``WEIGH_SENTENCES``) four weights are fitted that join a
-subject's score, the best other score and what the page's other sentences are about. Per subject the threshold is then
+sentences, by hash, is held out. On a sample of those (``WEIGH_SENTENCES``) five weights are fitted that join a
+subject's score, the best other score, what the page's other sentences are about and how much they say. Per subject the threshold is then
 the one with the best F1 over all held-out sentences, whether another subject scores higher or not: a sentence has
 every subject that reaches its threshold. A page gets every subject that at least ``SHARE`` of its
 subject-bearing sentences are about.
@@ -456,8 +456,8 @@ class SubjectModel:
     joint: np.ndarray
     thresholds: np.ndarray
 
-    def parts(self, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each sentence of each document, per subject: its score, the best other score, and the log share of the subject in the rest of the page."""
+    def parts(self, b: Block) -> tuple[np.ndarray, ...]:
+        """Of each sentence of each document, per subject: its score, the best other score, the log share of the subject in the rest of the page, and how little that rest says."""
         k, n = len(self.subjects), len(b.docs)
         flat, starts = _grams(b.flat, b.starts, len(self.vocabulary))
         score = _sums(self.weights[flat], starts) + self.bias
@@ -468,11 +468,12 @@ class SubjectModel:
             other = np.zeros_like(score)
         about = (1 / (1 + np.exp(-np.clip(score, -30, 30))))[b.sentences] * b.said[:, None]
         rest = np.maximum(_by(about, b.doc, n)[b.doc] - about, 0) + 0.5
-        return score[b.sentences], other[b.sentences], np.log(rest / rest.sum(axis=1, keepdims=True))
+        whole = rest.sum(axis=1, keepdims=True)
+        alone = 1 / (1 + whole - 0.5 * k)
+        return score[b.sentences], other[b.sentences], np.log(rest / whole), np.repeat(alone, k, axis=1)
 
     def joined(self, b: Block) -> np.ndarray:
-        score, other, rest = self.parts(b)
-        return np.round(self.joint[0] * score + self.joint[1] * other + self.joint[2] * rest + self.joint[3], 6)
+        return np.round(sum(w * x for w, x in zip(self.joint, self.parts(b))) + self.joint[-1], 6)
 
     def found(self, b: Block, share: float) -> tuple[np.ndarray, np.ndarray]:
         """(document, subject) of a block, by number."""
@@ -561,7 +562,7 @@ def _weighed(model: SubjectModel, evidence: Evidence, rate: float):
             chance = _share(_mixed(keys[b.sentences], b.pages[b.doc].view(np.uint64)))
             taken = np.flatnonzero(b.said & (label > -2) & _held(keys)[b.sentences] & (chance < rate))
             columns = [pa.array(np.round(x[taken].astype(np.float64), 6).ravel()) for x in model.parts(b)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array((label[taken][:, None] == np.arange(len(model.subjects))).ravel())], names=["score", "other", "rest", "is"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array((label[taken][:, None] == np.arange(len(model.subjects))).ravel())], names=["score", "other", "rest", "alone", "is"])
 
     return choose
 
@@ -652,11 +653,11 @@ def fit_subjects(
     start = np.zeros((v + BUCKETS, k), np.float32)
     start[:v] = evidence.weights
     weights, bias = _fit(grams, np.array(labels), start, k) if grams else (start, np.zeros(k, np.float32))
-    model = SubjectModel(subjects, vocabulary, weights, bias, np.array([1.0, 0.0, 1.0, 0.0]), np.zeros(k))
+    model = SubjectModel(subjects, vocabulary, weights, bias, np.array([1.0, 0.0, 1.0, 0.0, 0.0]), np.zeros(k))
     rate = min(1.0, 4 * WEIGH_SENTENCES / max(1.0, sizes.sum()))
-    table = blocks.mapInArrow(_weighed(model, evidence, rate), "score double, other double, rest double, is boolean").orderBy("score", "other", "rest", "is").toPandas()
+    table = blocks.mapInArrow(_weighed(model, evidence, rate), "score double, other double, rest double, alone double, is boolean").orderBy("score", "other", "rest", "alone", "is").toPandas()
     if len(table):
-        model.joint = np.round(_logistic(np.c_[table[["score", "other", "rest"]].to_numpy(), np.ones(len(table))], table["is"].to_numpy().astype(float)), 6)
+        model.joint = np.round(_logistic(np.c_[table[["score", "other", "rest", "alone"]].to_numpy(), np.ones(len(table))], table["is"].to_numpy().astype(float)), 6)
     histograms = _totals(blocks.mapInArrow(_histograms(model, evidence), "range int, sums array<double>"), k * 2 * len(_BINS))
     model.thresholds = _thresholds(histograms.reshape(k, 2, len(_BINS)))
     return model
@@ -681,7 +682,7 @@ def subject_areas(
     return apply_subjects(fit_subjects(examples, documents, doc_id=doc_id, page_id=page_id, text=text, about=about, blocks=blocks, **kwargs), blocks, share)
 
 
-def held_out(documents: DataFrame, examples: DataFrame, example_id: str = "example_id", parts: int = 4, **kwargs) -> DataFrame:
+def held_out(documents: DataFrame, examples: DataFrame, example_id: str = "example_id", parts: int = 8, **kwargs) -> DataFrame:
     """Per subject the excerpts that the fit didn't see (one of ``parts``, by a hash of the text), how many of them get a subject, and how many just their own."""
     mine: Column = F.pmod(F.xxhash64("text"), F.lit(parts)) == 0
     blocks = blocks_of(documents, about=kwargs.get("about", ()))
