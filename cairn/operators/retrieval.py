@@ -77,7 +77,7 @@ def result_questions(results: DataFrame, key: str, inputs: Sequence[str]) -> Dat
 def _asked(df: DataFrame, questions: Sequence[Question] | DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
     """Each row of ``df`` with each question as ``_q``. A table of questions has its tokens taken once and is joined in partitions, not sent whole."""
     if isinstance(questions, DataFrame):
-        return df.crossJoin(cut(questions.select(F.struct("qid", "text", "types", tokens(F.col("text")).alias("tokens")).alias("_q"))))
+        return df.crossJoin(cut(spread(questions.select(F.struct("qid", "text", "types", tokens(F.col("text")).alias("tokens")).alias("_q")))))
     return _listed(df, questions).withColumn("_q", F.col("_q").withField("tokens", tokens(F.col("_q.text"))))
 
 
