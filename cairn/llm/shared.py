@@ -1,42 +1,5 @@
-"""Tables in the shared folder that tasks read by themselves, block by block, so that neither the driver nor a plan holds them."""
+"""The tables in the shared folder, under the name that the operators of this package use."""
 
-from __future__ import annotations
+from ..sources.stored_tables import batches, new_folder, remove, stored
 
-import uuid
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-from ..session import shared_dir
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """The full address of a folder that isn't there yet, below the one all executors share."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
-def stored(df: DataFrame, name: str) -> str:
-    """Writes ``df`` as Parquet and gives its address; it stays in the shared folder for the plans that read it."""
-    folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return folder
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def batches(folder: str, rows: int) -> Iterator[pa.RecordBatch]:
-    """What ``stored`` wrote, in a task; any address that Arrow can open."""
-    import pyarrow.dataset as ds
-    from pyarrow import fs
-
-    scheme, _, rest = folder.partition(":")
-    if scheme == "file":
-        files, path = fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    else:
-        files, path = fs.FileSystem.from_uri("s3" + folder[3:] if scheme in ("s3a", "s3n") else folder)
-    return ds.dataset(path, filesystem=files, format="parquet").to_batches(batch_size=rows, batch_readahead=1, fragment_readahead=1)
+__all__ = ["batches", "new_folder", "remove", "stored"]
